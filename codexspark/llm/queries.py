@@ -5,10 +5,40 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codexspark.llm import pii, quality_rules
+from codexspark.llm import mixing, pii, quality_rules
 from codexspark.llm.shared import table
 
 
+def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mixing.mix_sources(docs).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
+
+
+OP3_SQL = r"""
+WITH sizes AS (
+  SELECT doc_id, source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), w -> w <> ''))::BIGINT AS size,
+         ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS key
+  FROM documents),
+src AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source ASC NULLS LAST) - 1 AS sid FROM sizes GROUP BY source),
+weighed AS (SELECT *, CASE sid % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight, source_size * 2.0::DOUBLE AS cap FROM src),
+steps AS (
+  SELECT *, coalesce(sum(cap) OVER (ORDER BY cap / weight, sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below,
+         sum(weight) OVER (ORDER BY cap / weight, sid ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS above,
+         (SELECT sum(source_size) * 1.5::DOUBLE FROM src) AS budget FROM weighed),
+level AS (SELECT min_by((budget - below) / above, cap / weight) AS lvl FROM steps WHERE (budget - below) / above <= cap / weight),
+targets AS (SELECT source, source_size, least(cap, weight * coalesce(lvl, cap)) AS target FROM weighed, level),
+lined AS (
+  SELECT doc_id, key, size, source_size, target, sum(size) OVER (PARTITION BY t.sid ORDER BY key, doc_id, size ROWS UNBOUNDED PRECEDING) AS done
+  FROM sizes s JOIN (SELECT targets.*, src.sid FROM targets JOIN src ON targets.source IS NOT DISTINCT FROM src.source) t ON s.source IS NOT DISTINCT FROM t.source),
+queue AS (
+  SELECT doc_id, key, size, done::DOUBLE / target AS finish FROM lined WHERE size > 0 AND target > 0
+  UNION ALL SELECT doc_id, key, size, (done + source_size)::DOUBLE / target FROM lined WHERE size > 0 AND target > 0),
+running AS (SELECT *, sum(size) OVER (ORDER BY finish, key, doc_id ROWS UNBOUNDED PRECEDING) AS used FROM queue),
+taken AS (SELECT doc_id, sum(size)::BIGINT AS taken FROM running WHERE used <= (SELECT max(budget) FROM steps) GROUP BY doc_id)
+SELECT l.doc_id, l.size, l.source_size, l.target, coalesce(t.taken, 0)::BIGINT AS taken FROM lined l LEFT JOIN taken t ON l.doc_id = t.doc_id
+"""
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality_rules.quality_rules(docs).select("doc_id", "rules.*")
@@ -27,5 +57,5 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op9_quality_rules, op10_pii)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op3_mix_sources, op9_quality_rules, op10_pii)}
+ORACLES: dict[str, str] = {"op3_mix_sources": OP3_SQL}
