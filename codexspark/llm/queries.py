@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codexspark.llm import mixing, pii, quality_rules
+from codexspark.llm import fingerprints, mixing, pii, quality_rules
 from codexspark.llm.shared import table
 
 
@@ -39,6 +39,22 @@ SELECT l.doc_id, l.size, l.source_size, l.target, coalesce(t.taken, 0)::BIGINT A
 """
 
 
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fingerprints.tail_edits(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    own, edited = F.col("print"), F.col("edited_print")
+    return rows.select(
+        "doc_id",
+        "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        fingerprints.printed(own).alias("fingerprint"),
+        fingerprints.printed(edited).alias("edited_fingerprint"),
+        fingerprints.resemblance(own, edited).alias("near_edited"),
+        F.coalesce(fingerprints.resemblance(own, F.col("next_print")), F.lit(0.0)).alias("near_next"),
+        fingerprints.containment(own, edited).alias("contained_in_edited"),
+        fingerprints.distinct_shingles(own).alias("n_shingles_estimate"),
+    )
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality_rules.quality_rules(docs).select("doc_id", "rules.*")
@@ -57,5 +73,5 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op3_mix_sources, op9_quality_rules, op10_pii)}
+QUERIES = {f.__name__: f for f in (op3_mix_sources, op8_fingerprints, op9_quality_rules, op10_pii)}
 ORACLES: dict[str, str] = {"op3_mix_sources": OP3_SQL}
