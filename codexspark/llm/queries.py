@@ -2,13 +2,24 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codexspark.llm import fingerprints, mixing, pii, quality_rules
+from codexspark.llm import fingerprints, mixing, pieces, pii, quality_rules
 from codexspark.llm.shared import table
 
 
+def tokenizer_file(name: str) -> str:
+    """A public tokenizer's file; the folder can be moved with CODEXSPARK_TOKENIZERS."""
+    return os.path.join(os.environ.get("CODEXSPARK_TOKENIZERS", "/opt/tokenizers"), name)
+
+
+def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_file("piece_bpe_32k.model"))
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mixing.mix_sources(docs).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
@@ -73,5 +84,5 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op3_mix_sources, op8_fingerprints, op9_quality_rules, op10_pii)}
+QUERIES = {f.__name__: f for f in (op2_pieces, op3_mix_sources, op8_fingerprints, op9_quality_rules, op10_pii)}
 ORACLES: dict[str, str] = {"op3_mix_sources": OP3_SQL}
