@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codexspark.llm import fingerprints, mixing, pieces, pii, quality_rules
+from codexspark.llm import fingerprints, mixing, pieces, pii, quality_rules, token_counts
 from codexspark.llm.shared import table
 
 
@@ -50,6 +50,17 @@ SELECT l.doc_id, l.size, l.source_size, l.target, coalesce(t.taken, 0)::BIGINT A
 """
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three edits for each document: its middle twentieth is rewritten, a phrase goes in at a quarter, the end is cut."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    n = F.coalesce(F.char_length("text"), F.lit(0)).cast("long")
+    script = [(F.floor(n / 2), F.floor(n / 2) + F.floor(n / 20), "in other words, it's 42"), (F.floor(n / 4), F.floor(n / 4), " we'll see "), (n - F.floor(n / 50), n + 1000, None)]
+    one = lambda a, b, new: F.struct(a.cast("long").alias("start"), b.cast("long").alias("stop"), F.lit(new).cast("string").alias("new"))
+    got = token_counts.counted(docs.withColumn("edits", F.array(*[one(*e) for e in script])), tokenizer_file("byte_bpe_50k.tiktoken"))
+    fields = [F.col(f"counts.{c}").alias(c) for c in ("n_tokens", "n_tokens_edited", "n_pretokens", "n_reencoded", "n_chars_edited")]
+    return got.select("doc_id", *fields, F.sha2("counts.edited", 256).alias("edited_sha256"))
+
+
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fingerprints.tail_edits(table(spark, sf_dir, "documents").select("doc_id", "text"))
     own, edited = F.col("print"), F.col("edited_print")
@@ -84,5 +95,5 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_pieces, op3_mix_sources, op8_fingerprints, op9_quality_rules, op10_pii)}
+QUERIES = {f.__name__: f for f in (op2_pieces, op3_mix_sources, op4_token_counts, op8_fingerprints, op9_quality_rules, op10_pii)}
 ORACLES: dict[str, str] = {"op3_mix_sources": OP3_SQL}
