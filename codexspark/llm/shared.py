@@ -51,3 +51,35 @@ def words_of(text: str | None) -> list[bytes]:
 def let(value: Column, body) -> Column:
     """body(value) with value computed once for each row: a lambda's argument is bound, never inlined again."""
     return F.transform(F.array(value), body)[0]
+
+
+def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, prior: float = 1.0) -> tuple[list[float], list[float]]:
+    """Knots (x, rate) of the increasing step function nearest to y by x, found by pooling adjacent violators; each
+    block stands at its mean, drawn a little (by `prior` rows) towards the overall rate, so that few rows never give 0
+    or 1."""
+    weight = np.ones(len(x)) if weight is None else weight
+    order = np.argsort(x, kind="stable")
+    xs, first = np.unique(x[order], return_index=True)
+    sums = [np.add.reduceat((v * weight)[order], first) if len(first) else np.zeros(0) for v in (x, y, np.ones(len(x)))]
+    blocks: list[list[float]] = []
+    for a, b, n in zip(*(s.tolist() for s in sums)):
+        blocks.append([a, b, n])
+        while len(blocks) > 1 and blocks[-2][1] * blocks[-1][2] >= blocks[-1][1] * blocks[-2][2]:
+            top = blocks.pop()
+            blocks[-1] = [p + q for p, q in zip(blocks[-1], top)]
+    rate = sum(b[1] for b in blocks) / max(1.0, sum(b[2] for b in blocks))
+    rates = np.maximum.accumulate([(b[1] + prior * rate) / (b[2] + prior) for b in blocks]) if blocks else np.zeros(0)
+    return [b[0] / b[2] for b in blocks], rates.tolist()
+
+
+def interpolated(value: Column, xs: list[float], ys: list[float]) -> Column:
+    """Linear between knots, flat beyond them."""
+    if not xs:
+        return F.lit(0.5)
+    ax, ay = F.array(*map(F.lit, xs)), F.array(*map(F.lit, ys))
+
+    def at(i: Column) -> Column:
+        x0, y0, x1, y1 = (F.get(a, j) for j in (i - 1, i) for a in (ax, ay))
+        return F.when(i == 0, F.lit(ys[0])).when(i == len(xs), F.lit(ys[-1])).otherwise(y0 + (y1 - y0) * (value - x0) / (x1 - x0))
+
+    return let(F.size(F.filter(ax, lambda x: x <= value)), at)
