@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codexspark.llm import fingerprints, mixing, pieces, pii, quality_rules, token_counts, toxicity
+from codexspark.llm import fingerprints, mixing, pieces, pii, quality_classifier, quality_rules, token_counts, toxicity
 from codexspark.llm.shared import table
 
 
@@ -61,6 +61,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", *fields, F.sha2("counts.edited", 256).alias("edited_sha256"))
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -99,5 +103,5 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_pieces, op3_mix_sources, op4_token_counts, op7_toxicity, op8_fingerprints, op9_quality_rules, op10_pii)}
+QUERIES = {f.__name__: f for f in (op2_pieces, op3_mix_sources, op4_token_counts, op6_quality_classifier, op7_toxicity, op8_fingerprints, op9_quality_rules, op10_pii)}
 ORACLES: dict[str, str] = {"op3_mix_sources": OP3_SQL}
