@@ -32,8 +32,8 @@ BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 MIX = np.uint64(0xD6E8FEB86659FD93)
 NONE, UNKNOWN = -1, -2
 CELLS = 1 << 18  # characters that advance together
-CACHE = 300_000  # words in each of two generations that a worker remembers
-BITS = 20  # of the tables that hashes are looked up in first
+CACHE = 500_000  # words in each of two generations that a worker remembers
+BITS, PAIR_BITS = 20, 22  # of the tables that hashes and pairs are looked up in first
 FAR = np.int64(1) << np.int64(40)
 
 
@@ -91,6 +91,7 @@ class Model:
             self.trees(normal, size)
         #: Where a word surely ends: before a run of spaces, unless a piece reaches over that.
         joined = any(re.search(f"[^{SPACE}]{SPACE}", p) for _, p, _ in normal)
+        self.simple = not joined and not any("\n" in p for _, p, _ in normal)
         self.units = re.compile(r"(?s).+" if joined else f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
         raw = [b""] * size
         for i, p, _ in normal:
@@ -101,10 +102,10 @@ class Model:
             raw[unknown] = " ⁇ ".encode()
         self.raw = raw
         #: Pairs asked for before, by a slot of their key; a newer pair takes the slot.
-        self.pair_keys = np.full(1 << BITS, -1, np.int64)
-        self.pair_good = np.zeros(1 << BITS, bool)
-        self.cache: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
+        self.pair_keys = np.full(1 << PAIR_BITS, -1, np.int64)
+        self.pair_good = np.zeros(1 << PAIR_BITS, bool)
+        self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def find(self, hashes: np.ndarray, length) -> np.ndarray:
         """Ids of the pieces with these hashes and lengths, NONE where there is none."""
@@ -158,9 +159,13 @@ class Model:
         good = np.ones(len(a), bool)
         for i in range(self.right.shape[1]):
             x = self.right[a, i]
+            if (x == NONE).all():
+                break
             x_ends = self.rank[self.right[a, i - 1]] if i else np.full(len(a), FAR)
             for j in range(self.left.shape[1]):
                 y = self.left[b, j]
+                if (y == NONE).all():
+                    break
                 y_ends = self.rank[self.left[b, j - 1]] if j else np.full(len(b), FAR)
                 at = np.flatnonzero(good & (x != NONE) & (y != NONE) & (self.rank[x] <= y_ends) & (self.rank[y] < x_ends))
                 if not len(at):
@@ -174,7 +179,7 @@ class Model:
     def allowed(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """admissible(), remembered by pair."""
         pairs = a * np.int64(len(self.hash)) + b
-        slots = (pairs.astype(np.uint64) * MIX >> np.uint64(64 - BITS)).astype(np.int64)
+        slots = (pairs.astype(np.uint64) * MIX >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
         good = self.pair_good[slots]
         new = np.flatnonzero(self.pair_keys[slots] != pairs)
         if len(new):
@@ -187,45 +192,47 @@ class Model:
     def viterbi(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, lengths) for words of one length, given as code points: what ends at each position on the best path."""
         n, length = words.shape
-        top = min(self.longest, length)
         sums = np.zeros((n, length + 1), np.uint64)
         for i in range(length):
             sums[:, i + 1] = sums[:, i] * BASE + words[:, i].astype(np.uint64)
-        ends = np.full((n, length + 1, top), NONE, np.int64)  # piece of length l + 1 that ends at i
-        for l in range(1, top + 1):
+        found = []  # (end, word, length, id) of all candidates
+        for l in range(1, min(self.longest, length) + 1):
             ids = self.find(sums[:, l:] - sums[:, :-l] * self.powers[l], l)
-            ends[:, l:, l - 1] = np.where((ids != NONE) & self.usable[ids], ids, NONE)
-        one = ends[:, 1:, 0]
-        one[one == NONE] = UNKNOWN
-        best = np.full((n, length + 1), -np.inf)
-        best[:, 0] = 0
+            good = self.usable[ids] & (ids != NONE)
+            if l == 1:
+                ids, good = np.where(good, ids, UNKNOWN), np.ones_like(good)
+            w, start = np.nonzero(good)
+            found.append((start + l, w, np.full(len(w), l), ids[w, start]))
+        end, word, size, piece = map(np.concatenate, zip(*found))
+        order = np.argsort(end, kind="stable")
+        word, size, piece = word[order], size[order], piece[order]
+        steps = np.searchsorted(end[order], np.arange(1, length + 2))
+        best = np.zeros((n, length + 1))
         last = np.full((n, length + 1), NONE, np.int64)
-        size = np.zeros((n, length + 1), np.int64)
+        sizes = np.zeros((n, length + 1), np.int64)
         worst = float(self.score.min()) - 10
         for i in range(1, length + 1):
-            reach = min(top, i)
-            ids = ends[:, i, :reach]
-            before = last[:, i - reach : i][:, ::-1]
-            total = best[:, i - reach : i][:, ::-1] + np.where(ids == UNKNOWN, worst, self.score[ids])
-            fits = ids != NONE
-            if self.bpe:
-                total = np.where(np.isinf(best[:, i - reach : i][:, ::-1]), -np.inf, np.arange(1.0, reach + 1))
-                r, c = np.nonzero(fits & (ids >= 0) & (before >= 0))
-                fits[r, c] = self.allowed(before[r, c], ids[r, c])
-            total = np.where(fits, total, -np.inf)
-            pick = total.argmax(1)
-            rows = np.arange(n)
-            best[:, i] = 0 if self.bpe else total[rows, pick]
-            last[:, i], size[:, i] = ids[rows, pick], pick + 1
+            part = slice(steps[i - 1], steps[i])
+            w, l, ids = word[part], size[part], piece[part]
             if self.bpe:
-                best[np.isinf(total[rows, pick]), i] = -np.inf
-        return last, size
-
-    def fallback(self, c: str) -> tuple[int, ...]:
-        return tuple(self.byte[b] for b in c.encode("utf-8", "surrogatepass")) if self.byte else (self.unknown,)
+                before = last[w, i - l]
+                both = np.flatnonzero((before >= 0) & (ids >= 0))
+                fits = (before != NONE) | (l == i)
+                fits[both] &= self.allowed(before[both], ids[both])
+                w, l, ids = w[fits], l[fits], ids[fits]  # of several the longest comes last
+            else:
+                total = best[w, i - l] + np.where(ids == UNKNOWN, worst, self.score[ids])
+                up = np.argsort(total, kind="stable")
+                w, l, ids = w[up], l[up], ids[up]
+                best[w, i] = total[up]
+            last[w, i], sizes[w, i] = ids, l
+        return last, sizes
+
+    def fallback(self, c: str) -> list[int]:
+        return [self.byte[b] for b in c.encode("utf-8", "surrogatepass")] if self.byte else [self.unknown]
 
     def learn(self, words: list[str]) -> None:
-        """Encode words and remember them."""
+        """Encode words and remember their ids as bytes."""
         for length, group in itertools.groupby(sorted(words, key=len), key=len):
             group = list(group)
             step = max(1, CELLS // length)
@@ -233,22 +240,46 @@ class Model:
                 part = group[at : at + step]
                 codes = np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(part), length)
                 last, size = self.viterbi(codes)
-                for word, ids, sizes in zip(part, last.tolist(), size.tolist()):
-                    out, i = [], length
-                    while i:
-                        out.append((ids[i],) if ids[i] >= 0 else self.fallback(word[i - 1]))
-                        i -= sizes[i]
-                    self.cache[word] = tuple(itertools.chain.from_iterable(reversed(out)))
+                rows = np.arange(len(part))
+                ids = np.full((len(part), length), NONE, np.int32)
+                to, strange = np.full(len(part), length), np.zeros(len(part), bool)
+                for column in range(length - 1, -1, -1):  # back along the pointers, all words at once
+                    piece = np.where(to > 0, last[rows, to], NONE)
+                    strange |= piece == UNKNOWN
+                    ids[:, column] = piece
+                    to = to - size[rows, to]
+                    if not to.any():
+                        break
+                flat = ids[ids != NONE].tobytes()
+                ends = (4 * np.cumsum((ids != NONE).sum(1))).tolist()
+                for word, a, b in zip(part, [0, *ends], ends):
+                    self.cache[word] = flat[a:b]
+                for i in np.flatnonzero(strange).tolist():
+                    out, k, word = [], length, part[i]
+                    while k:
+                        out.append([int(last[i, k])] if last[i, k] >= 0 else self.fallback(word[k - 1]))
+                        k -= int(size[i, k])
+                    self.cache[word] = np.array([x for o in reversed(out) for x in o], np.int32).tobytes()
 
     def normal(self, text: str) -> str:
         return ((SPACE if self.prefix else "") + text.replace(" ", SPACE)) if text else ""
 
     def cut(self, text: str) -> list[str]:
-        """The units of a text. Where single spaces part its words, splitting there gives the same, faster."""
-        words = text.split(" ")
-        if "" in words or not self.prefix or SPACE in text or self.units.pattern.startswith("(?s)"):
+        """The units of a text. Where single spaces part its words and no piece has a line's end, splitting at both
+        gives the same, faster, and finds more words again."""
+        if "  " in text or not self.prefix or SPACE in text or not self.simple or not text:
             return self.units.findall(self.normal(text))
-        return [SPACE + w for w in words]
+        out = []
+        for i, line in enumerate(text.split("\n")):
+            if i:
+                out.append("\n")
+            words = line.split(" ")
+            if i == 0:
+                out.append(SPACE + words[0])
+            elif words[0]:
+                out.append(words[0])
+            out += [SPACE + w for w in words[1:]]
+        return out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         cut = [self.cut(t) for t in texts]
@@ -258,14 +289,12 @@ class Model:
             again = new & self.older.keys()
             if len(self.cache) + len(new) > CACHE:  # words used since the last time stay
                 self.older, self.cache = {u: i for units, ids in zip(cut, found) for u, i in zip(units, ids) if i} | self.cache, {}
-                found = [list(map(self.older.get, units)) for units in cut]
-                new, again = {u for units, ids in zip(cut, found) for u, i in zip(units, ids) if i is None}, set()
-            self.cache |= {u: self.older[u] for u in again}
-            self.learn(list(new - again))
+            self.cache |= {u: self.older[u] for u in again if u in self.older}
+            self.learn(list(new - self.cache.keys()))
             for at, (units, ids) in enumerate(zip(cut, found)):
                 if None in ids:
                     found[at] = [self.cache[u] if i is None else i for u, i in zip(units, ids)]
-        return [np.fromiter(itertools.chain.from_iterable(ids), np.int32) for ids in found]
+        return [np.frombuffer(b"".join(ids), np.int32) for ids in found]
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids: pieces and bytes joined, U+2581 as space, the added leading space dropped."""

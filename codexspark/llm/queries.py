@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codexspark.llm import fingerprints, mixing, pieces, pii, quality_classifier, quality_rules, token_counts, toxicity
+from codexspark.llm import fingerprints, mixing, near_dedup, pieces, pii, quality_classifier, quality_rules, token_counts, toxicity
 from codexspark.llm.shared import table
 
 
@@ -61,6 +61,30 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", *fields, F.sha2("counts.edited", 256).alias("edited_sha256"))
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+OP5_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM words WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM shingles x JOIN shingles y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY ALL),
+links AS (
+  SELECT a, b FROM common JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE 100 * k >= 75 * (p.n + q.n - k)),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(node, other) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT r.node, e.b FROM reach r JOIN edges e ON r.other = e.a),
+least AS (SELECT node, min(other) AS component_id FROM reach GROUP BY node)
+SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, l.component_id, d.doc_id = l.component_id AS kept
+FROM documents d JOIN least l ON l.node = d.doc_id LEFT JOIN sizes s ON s.doc_id = d.doc_id
+"""
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -103,5 +127,5 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_pieces, op3_mix_sources, op4_token_counts, op6_quality_classifier, op7_toxicity, op8_fingerprints, op9_quality_rules, op10_pii)}
-ORACLES: dict[str, str] = {"op3_mix_sources": OP3_SQL}
+QUERIES = {f.__name__: f for f in (op2_pieces, op3_mix_sources, op4_token_counts, op5_near_dedup, op6_quality_classifier, op7_toxicity, op8_fingerprints, op9_quality_rules, op10_pii)}
+ORACLES: dict[str, str] = {"op3_mix_sources": OP3_SQL, "op5_near_dedup": OP5_SQL}
