@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codexspark.llm import fingerprints, mixing, near_dedup, pieces, pii, quality_classifier, quality_rules, token_counts, toxicity
+from codexspark.llm import fingerprints, mixing, near_dedup, pieces, pii, quality_classifier, quality_rules, repeats, token_counts, toxicity
 from codexspark.llm.shared import table
 
 
@@ -16,6 +16,28 @@ def tokenizer_file(name: str) -> str:
     return os.path.join(os.environ.get("CODEXSPARK_TOKENIZERS", "/opt/tokenizers"), name)
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.removed(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+OP1_SQL = r"""
+WITH texts AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+sized AS (SELECT doc_id, h, (length(h) // 2)::BIGINT AS n FROM texts),
+windows AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS w FROM (SELECT doc_id, h, unnest(range(0, n - 49)) AS i FROM sized WHERE n >= 50)),
+late AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY w) AS first FROM windows) WHERE first < doc_id),
+marked AS (SELECT doc_id, i, CASE WHEN i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 1 ELSE 0 END AS jump FROM late),
+runs AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM (SELECT doc_id, i, sum(jump) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM marked) GROUP BY doc_id, run),
+gaps AS (
+  SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS a, a AS b FROM runs
+  UNION ALL SELECT r.doc_id, max(r.b), any_value(s.n) FROM runs r JOIN sized s USING (doc_id) GROUP BY r.doc_id),
+left_over AS (SELECT doc_id, string_agg(substr(h, 2 * a + 1, 2 * (b - a)), '' ORDER BY a) AS h FROM gaps JOIN sized USING (doc_id) GROUP BY doc_id),
+removed AS (SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*)::BIGINT AS n_spans FROM runs GROUP BY doc_id)
+SELECT s.doc_id, s.n AS n_bytes, coalesce(r.n_removed, 0)::BIGINT AS n_removed, coalesce(r.n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(l.h, s.h))) AS kept_sha256
+FROM sized s LEFT JOIN removed r USING (doc_id) LEFT JOIN left_over l USING (doc_id)
+"""
+
+
 def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_file("piece_bpe_32k.model"))
 
@@ -67,7 +89,8 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP5_SQL = r"""
 WITH RECURSIVE words AS (
-  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS w FROM documents),
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+') AS w FROM documents),
 shingles AS (
   SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s
   FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM words WHERE len(w) > 0)),
@@ -127,5 +150,5 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_pieces, op3_mix_sources, op4_token_counts, op5_near_dedup, op6_quality_classifier, op7_toxicity, op8_fingerprints, op9_quality_rules, op10_pii)}
-ORACLES: dict[str, str] = {"op3_mix_sources": OP3_SQL, "op5_near_dedup": OP5_SQL}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_pieces, op3_mix_sources, op4_token_counts, op5_near_dedup, op6_quality_classifier, op7_toxicity, op8_fingerprints, op9_quality_rules, op10_pii)}
+ORACLES: dict[str, str] = {"op1_suffix_dedup": OP1_SQL, "op3_mix_sources": OP3_SQL, "op5_near_dedup": OP5_SQL}
