@@ -95,7 +95,8 @@ def added_spans(text: str) -> list[tuple[str, int, int, float]]:
     found = [("iban", *m.span()) for m in IBAN.finditer(text) if 15 <= len(a := m[0].replace(" ", "")) <= 34 and mod97(a)]
     found += [("pan", *m.span()) for m in CARD.finditer(text) if 13 <= len(d := digits_of(m[0])) <= 15 and luhn(d)]
     found += [("ssn", *m.span()) for m in SSN.finditer(text)]
-    found += [("secret", *m.span()) for m in SECRET.finditer(text) if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0])]
+    taken = [(a, b) for _, a, b in found]  # what a checksum names is no secret as well
+    found += [("secret", *m.span()) for m in SECRET.finditer(text) if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0]) and not any(a < m.end() and m.start() < b for a, b in taken)]
     return [(k, a, b, round(s, 4)) for k, a, b in found if (s := score(k, text, a, b)) >= THRESHOLD]
 
 
