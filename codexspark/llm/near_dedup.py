@@ -8,7 +8,8 @@ Candidates of a band are held together batch by batch of their signatures and dr
 No bucket's pairs are written out. First each bucket is a star around its smallest id, which joins large groups at once.
 Only buckets that then still hold several components are looked into again: members of the largest one are dealt over
 chunks, the others meet every chunk, and signatures are compared inside the task. One round lets each member name one
-partner in another component, the last names all that are left, so that no link between different texts is lost.
+partner in another component; the last confirms all pairs that are left, in the task where they meet first, so that no
+link between different texts is lost.
 
 A shingle set has the distinct runs of five words (`[^\\x20\\x09-\\x0D]+`, A-Z lower-cased), or the whole of fewer words.
 Texts without words, null ones too, are linked with nothing; a null doc_id has no component and is kept; rows that repeat
@@ -34,7 +35,7 @@ ROWS, BANDS = 4, 32
 MINIMA = ROWS * BANDS
 BATCH = 16  # signature bytes compared at a time
 MISS = 1e-6
-CHUNK = 2048  # members of a bucket that are compared in one task
+CHUNK = 512  # members of a bucket's largest component that are compared in one task
 WORDS = 200_000  # word hashes that a worker remembers
 MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -190,33 +191,41 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
-def across(members: DataFrame, reps: DataFrame, labels: DataFrame, all_left: bool, turn: int) -> DataFrame:
-    """Likely pairs (a, b) of one bucket but different components; members: (key, rep). Unless all_left, each member
-    names one partner at most."""
+def dealt(members: DataFrame, reps: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, chunk, rep, component, inner, home, n_shingles, sig, bands) for buckets (key, rep) that hold several
+    components. A bucket's largest component is dealt over chunks (inner), the other members go to every chunk."""
     own = members.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left")
     own = own.withColumn("component", F.coalesce("component", "rep"))
     parts = own.groupBy("key", "component").agg(F.count("*").alias("n"))
     open_ = parts.groupBy("key").agg(F.count("*").alias("parts"), F.sum("n").alias("members"), F.max(F.struct("n", "component"))["component"].alias("major")).filter("parts > 1")
-    own = own.join(open_.select("key", "members", "major"), "key").join(reps.select("rep", "sig", "n_shingles"), "rep")
+    own = own.join(open_.select("key", "members", "major"), "key").join(reps.select("rep", "n_shingles", "sig", "bands"), "rep")
     chunks = F.ceil(F.col("members") / CHUNK).cast("int")
     home = F.pmod(F.xxhash64("rep"), chunks).cast("int")
     inner = F.col("component") == F.col("major")
-    own = own.select("key", "rep", "component", "sig", "n_shingles", inner.alias("inner"), home.alias("home"), F.explode(F.when(inner, F.array(home)).otherwise(F.sequence(F.lit(0), chunks - 1))).alias("chunk"))
-    own = own.repartition("key", "chunk").sortWithinPartitions("key", "chunk")
-
-    def compare(group: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        sig, n, rep, part = signatures(group["sig"]), group["n_shingles"].to_numpy(), group["rep"].to_numpy(), group["component"].to_numpy()
-        outer = np.flatnonzero(~group["inner"].to_numpy())
-        meets = group["inner"].to_numpy() | (group["home"].to_numpy() == group["chunk"].to_numpy())  # so that each pair meets once
-        for i in outer.tolist():
-            j = np.flatnonzero(meets & (part != part[i]))
-            j = j[likely(np.broadcast_to(sig[i], (len(j), MINIMA)), sig[j], np.full(len(j), n[i]), n[j])]
-            if len(j):
-                a, b = np.minimum(rep[i], rep[j]), np.maximum(rep[i], rep[j])
-                if not all_left:
-                    pick = mixed(a.astype(np.uint64) * PLACES[1] + b.astype(np.uint64) * PLACES[2] + np.uint64(turn)).argmin()
-                    a, b = a[pick : pick + 1], b[pick : pick + 1]
-                yield pd.DataFrame({"a": a, "b": b})
+    chunk = F.explode(F.when(inner, F.array(home)).otherwise(F.sequence(F.lit(0), chunks - 1)))
+    return own.select("key", "rep", "component", "n_shingles", "sig", "bands", inner.alias("inner"), home.alias("home"), chunk.alias("chunk"))
+
+
+class Group:
+    """One chunk of a bucket: which members may be linked across components."""
+
+    def __init__(self, rows: pd.DataFrame):
+        self.rep, self.part, self.n = (rows[c].to_numpy() for c in ("rep", "component", "n_shingles"))
+        self.sig, self.bands = signatures(rows["sig"]), np.stack(rows["bands"].to_numpy())
+        inner, key = rows["inner"].to_numpy(), rows["key"].iloc[0]
+        self.outer = np.flatnonzero(~inner)
+        self.meets = inner | (rows["home"].to_numpy() == rows["chunk"].to_numpy())  # so that each pair meets in one chunk
+        self.band = int(np.flatnonzero(self.bands[0] == key)[0])
+
+    def partners(self, i: int) -> np.ndarray:
+        """Members of other components that the signatures allow, if this is the first bucket that both are in."""
+        j = np.flatnonzero(self.meets & (self.part != self.part[i]))
+        j = j[likely(np.broadcast_to(self.sig[i], (len(j), MINIMA)), self.sig[j], np.full(len(j), self.n[i]), self.n[j])]
+        return j[(self.bands[j, : self.band] != self.bands[i, : self.band]).all(1)]
+
+
+def by_group(rows: DataFrame, work, result: str) -> DataFrame:
+    """work(rows of one key and chunk) for each of them, in one pass over sorted partitions."""
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
@@ -225,12 +234,65 @@ def across(members: DataFrame, reps: DataFrame, labels: DataFrame, all_left: boo
             key, chunk = batch["key"].to_numpy(), batch["chunk"].to_numpy()
             cuts = np.r_[0, np.flatnonzero((key[1:] != key[:-1]) | (chunk[1:] != chunk[:-1])) + 1]
             for i, j in zip(cuts, cuts[1:]):
-                yield from compare(batch.iloc[i:j])
+                yield from work(batch.iloc[i:j])
             rest = batch.iloc[cuts[-1] :] if len(batch) else None
         if rest is not None and len(rest):
-            yield from compare(rest)
+            yield from work(rest)
+
+    return rows.repartition("key", "chunk").sortWithinPartitions("key", "chunk").mapInPandas(walk, result)
+
 
-    return own.mapInPandas(walk, "a long, b long").distinct()
+def one_each(groups: DataFrame) -> DataFrame:
+    """Likely pairs (a, b): each member names one partner of another component."""
+
+    def work(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        g = Group(rows)
+        for i in g.outer.tolist():
+            j = g.partners(i)
+            if len(j):
+                a, b = np.minimum(g.rep[i], g.rep[j]), np.maximum(g.rep[i], g.rep[j])
+                pick = mixed(a.astype(np.uint64) * PLACES[1] + b.astype(np.uint64) * PLACES[2]).argmin()
+                yield pd.DataFrame({"a": a[pick : pick + 1], "b": b[pick : pick + 1]})
+
+    return by_group(groups, work, "a long, b long").distinct()
+
+
+def all_left(groups: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) that are left in any group. Members with a likely partner fetch their text; pairs are then confirmed
+    where they meet, so what is exchanged grows with the members, not with their pairs."""
+    columns = "key long, rep long, component long, n_shingles long, sig binary, bands array<long>, inner boolean, home int, chunk int"
+
+    def needed(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        g, used = Group(rows), np.zeros(len(rows), bool)
+        for i in g.outer.tolist():
+            j = g.partners(i)
+            used[j] = True
+            used[i] |= len(j) > 0
+        if used.any():
+            yield rows[used][[c.split()[0] for c in columns.split(", ")]]
+
+    def confirm(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        g, shingles, up, links = Group(rows), Shingles(), {}, []
+        sets = [shingles(t) for t in rows["text"]]
+
+        def root(x: int) -> int:
+            while x in up:
+                x = up[x]
+            return x
+
+        for i in g.outer.tolist():
+            for j in g.partners(i).tolist():
+                x, y = root(g.part[i]), root(g.part[j])
+                if x != y:  # else linked already
+                    both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                    if 100 * both >= 75 * (len(sets[i]) + len(sets[j]) - both):
+                        up[max(x, y)] = min(x, y)
+                        links.append((min(g.rep[i], g.rep[j]), max(g.rep[i], g.rep[j])))
+        if links:
+            yield pd.DataFrame(links, columns=["a", "b"])
+
+    rows = staged(by_group(groups, needed, columns), "left")
+    return by_group(rows.join(texts.select(F.col("doc_id").alias("rep"), "text"), "rep"), confirm, "a long, b long").distinct()
 
 
 def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -247,13 +309,12 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     tried = staged(pruned(stars, reps), "tried")
     links = staged(confirmed(tried, texts), "confirmed")
     labels = components(links)
-    for turn, all_left in ((1, False), (2, True)):
-        more = across(members.select("key", "rep"), reps, labels, all_left, turn).join(tried, ["a", "b"], "left_anti")
-        more = staged(more, "tried")
-        new = staged(confirmed(more, texts), "confirmed")
+    for left in (False, True):
+        groups = dealt(members.select("key", "rep"), reps, labels)
+        new = all_left(groups, texts) if left else confirmed(staged(one_each(groups).join(tried, ["a", "b"], "left_anti"), "tried"), texts)
+        new = staged(new, "confirmed")
         if not new.isEmpty():
             labels = components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(new))
-        tried = tried.unionByName(more)
     return rows.select("doc_id", "n_shingles", "digest"), reps.select("digest", "rep"), labels
 
 

@@ -20,6 +20,7 @@ from __future__ import annotations
 import functools
 import itertools
 import re
+import string
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,8 +33,9 @@ BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 MIX = np.uint64(0xD6E8FEB86659FD93)
 NONE, UNKNOWN = -1, -2
 CELLS = 1 << 18  # characters that advance together
-CACHE = 500_000  # words in each of two generations that a worker remembers
-BITS, PAIR_BITS = 20, 22  # of the tables that hashes and pairs are looked up in first
+TEXT = 1 << 20
+CACHE = 200_000  # words in each of two generations that a worker remembers
+BITS, PAIR_BITS = 20, 21  # of the tables that hashes and pairs are looked up in first
 FAR = np.int64(1) << np.int64(40)
 
 
@@ -81,9 +83,11 @@ class Model:
         keys = self.hash[ids] * MIX + self.chars[ids].astype(np.uint64)
         order = np.argsort(keys)
         self.keys, self.ids = keys[order], ids[order]
-        #: Which leading bits any key has: most substrings are no piece, and this says so in one lookup.
-        self.marks = np.zeros(1 << BITS, bool)
-        self.marks[keys >> np.uint64(64 - BITS)] = True
+        #: The one key with some leading bits, -1 for none, -2 where several keys have them and a search is needed.
+        slots = (self.keys >> np.uint64(64 - BITS)).astype(np.int64)
+        self.slots = np.full(1 << BITS, NONE, np.int32)
+        self.slots[slots] = np.arange(len(slots))
+        self.slots[slots[np.flatnonzero(slots[1:] == slots[:-1])]] = UNKNOWN
         if len(np.unique(keys)) != len(keys):
             raise ValueError("two pieces have one hash")
         self.usable = np.ones(size, bool)
@@ -91,6 +95,8 @@ class Model:
             self.trees(normal, size)
         #: Where a word surely ends: before a run of spaces, unless a piece reaches over that.
         joined = any(re.search(f"[^{SPACE}]{SPACE}", p) for _, p, _ in normal)
+        #: Marks that no piece has after a letter: a word surely ends before them.
+        self.ends = "".join(c for c in string.punctuation if not any(re.search(rf"[^\W\d_]{re.escape(c)}", p) for _, p, _ in normal))
         self.simple = not joined and not any("\n" in p for _, p, _ in normal)
         self.units = re.compile(r"(?s).+" if joined else f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
         raw = [b""] * size
@@ -110,10 +116,12 @@ class Model:
     def find(self, hashes: np.ndarray, length) -> np.ndarray:
         """Ids of the pieces with these hashes and lengths, NONE where there is none."""
         keys = hashes * MIX + np.asarray(length, np.uint64)
+        at = self.slots[keys >> np.uint64(64 - BITS)]
         out = np.full(keys.shape, NONE, np.int64)
-        likely = np.nonzero(self.marks[keys >> np.uint64(64 - BITS)])
-        some = keys[likely]
-        at = np.minimum(np.searchsorted(self.keys, some), len(self.keys) - 1)
+        likely = np.nonzero(at != NONE)
+        some, at = keys[likely], at[likely]
+        many = np.flatnonzero(at == UNKNOWN)
+        at[many] = np.minimum(np.searchsorted(self.keys, some[many]), len(self.keys) - 1)
         out[likely] = np.where(self.keys[at] == some, self.ids[at], NONE)
         return out
 
@@ -265,23 +273,42 @@ class Model:
         return ((SPACE if self.prefix else "") + text.replace(" ", SPACE)) if text else ""
 
     def cut(self, text: str) -> list[str]:
-        """The units of a text. Where single spaces part its words and no piece has a line's end, splitting at both
-        gives the same, faster, and finds more words again."""
+        """The units of a text. Where single spaces part its words and no piece has a line's end, splitting at both,
+        and before marks after a word, gives the same, faster, and finds more words again."""
         if not self.simple or not self.prefix or not text or text[0] == " " or "  " in text or SPACE in text:
             return self.units.findall(self.normal(text))
-        out = []
+        out, ends = [], self.ends
         for i, line in enumerate(text.split("\n")):
             if i:
                 out.append("\n")
             words = line.split(" ")
-            if i == 0:
-                out.append(SPACE + words[0])
-            elif words[0]:
-                out.append(words[0])
-            out += [SPACE + w for w in words[1:]]
+            if i and not words[0]:
+                del words[0]
+                bare = False
+            else:
+                bare = i > 0
+            for w in words:
+                unit = w if bare else SPACE + w
+                bare = False
+                if w and w[-1] in ends and (part := w.rstrip(ends)) and part[-1].isalpha():
+                    out.append(unit[: len(part) - len(w)])
+                    out.append(w[len(part) :])
+                else:
+                    out.append(unit)
         return out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text; about TEXT characters of them are in work at a time."""
+        out, part, size = [], [], 0
+        for t in texts:
+            part.append(t)
+            size += len(t)
+            if size >= TEXT:
+                out += self.encode_part(part)
+                part, size = [], 0
+        return out + self.encode_part(part)
+
+    def encode_part(self, texts: list[str]) -> list[np.ndarray]:
         cut = [self.cut(t) for t in texts]
         found = [list(map(self.cache.get, units)) for units in cut]
         new = {u for units, ids in zip(cut, found) if None in ids for u, i in zip(units, ids) if i is None}

@@ -24,6 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,10 +32,11 @@ from codexspark.llm.near_dedup import mixed
 from codexspark.llm.shared import staged
 
 LONG = 50  # bytes of a repeat
-GRAM = 20  # bytes of an anchor
+GRAM = 28  # bytes of an anchor: longer ones are shared by chance less often, shorter ones are fewer
 SPAN = LONG - GRAM + 1  # grams in a window
 BLOCK = 1 << 15  # windows that are looked at together
 HOT = 500  # different contexts of an anchor above which its windows are aggregated one by one
+SLICE = 4096  # contexts of a suffix array
 BASE, MIX = 0x9E3779B97F4A7C15, np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -115,8 +117,17 @@ def named(docs: DataFrame) -> DataFrame:
     return docs.mapInPandas(name, "doc_id long, key binary, n_bytes long")
 
 
+def squeezed(x: np.ndarray) -> bytes:
+    return zstandard.compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+
+
+def widened(data) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(bytes(data)), np.uint8).reshape(4, -1).T).reshape(-1).view(np.uint32)
+
+
 def packed_anchors(docs: DataFrame, parts: int) -> DataFrame:
-    """(part, keys, which, tags): the anchors of a batch that go to a part, as short tags and places in a list of keys."""
+    """(part, keys, which, tags): the anchors of a batch that go to a part, as ascending short tags and places in a list of
+    keys, compressed byte plane by byte plane."""
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -131,7 +142,7 @@ def packed_anchors(docs: DataFrame, parts: int) -> DataFrame:
             rows = []
             for i, j in zip(cuts, cuts[1:]):
                 used, which = np.unique(text[i:j], return_inverse=True)
-                rows.append((int(part[i]), b"".join(texts[k][0] for k in used), which.astype(np.uint16).tobytes(), tag[i:j].tobytes()))
+                rows.append((int(part[i]), b"".join(texts[k][0] for k in used), squeezed(which.astype(np.uint32)), squeezed(np.diff(tag[i:j], prepend=np.uint32(0)))))
             yield pd.DataFrame(rows, columns=["part", "keys", "which", "tags"])
 
     return docs.select("text").mapInPandas(pack, "part int, keys binary, which binary, tags binary")
@@ -146,8 +157,8 @@ def shared_anchors(packed: DataFrame, parts: int) -> DataFrame:
         for b in batches:
             for part, k, w, t in zip(b["part"], b["keys"], b["which"], b["tags"]):
                 keys.append(np.frombuffer(bytes(k), np.dtype((np.void, 16))))
-                which.append(np.frombuffer(bytes(w), np.uint16).astype(np.int64) + n)
-                tags.append(np.frombuffer(bytes(t), np.uint32).astype(np.uint64) | np.uint64(part) << np.uint64(32))
+                which.append(widened(w).astype(np.int64) + n)
+                tags.append(np.cumsum(widened(t), dtype=np.uint32).astype(np.uint64) | np.uint64(part) << np.uint64(32))
                 n += len(keys[-1])
         if not keys:
             return
@@ -251,11 +262,7 @@ def removed_by_part(distinct: DataFrame, parts: int) -> DataFrame:
     """(name, doc, cover) for each distinct context (anchor, context, doc) that repeats an earlier one in part: pairs of
     32-bit offsets of what is removed from it in its smallest document."""
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        got = [b for b in batches if len(b)]
-        if not got:
-            return
-        rows = pd.concat(got, ignore_index=True)
+    def scan(rows: pd.DataFrame) -> pd.DataFrame:
         texts, docs = [bytes(c) for c in rows["context"]], rows["doc"].to_numpy()
         cover: dict[int, list[tuple[int, int]]] = {}
         for size, text, start in maximal_repeats(texts):
@@ -264,9 +271,23 @@ def removed_by_part(distinct: DataFrame, parts: int) -> DataFrame:
             for i, s in zip(text[late].tolist(), start[late].tolist()):
                 cover.setdefault(i, []).append((s, s + size))
         out = [(digest(texts[i]), docs[i], np.array(c, np.uint32).tobytes()) for i, c in cover.items()]
-        yield pd.DataFrame(out, columns=["name", "doc", "cover"])
-
-    return distinct.repartition(parts, "anchor").mapInPandas(scan, "name binary, doc long, cover binary")
+        return pd.DataFrame(out, columns=["name", "doc", "cover"])
+
+    def slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Whole anchors at a time: about SLICE contexts share a suffix array, so memory doesn't grow with the part."""
+        rest = None
+        for batch in batches:
+            rest = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+            if len(rest) >= SLICE:
+                anchor = rest["anchor"].to_numpy()
+                cut = int(np.flatnonzero(anchor != anchor[-1])[-1]) + 1 if anchor[0] != anchor[-1] else 0
+                if cut:
+                    yield scan(rest.iloc[:cut])
+                    rest = rest.iloc[cut:]
+        if rest is not None and len(rest):
+            yield scan(rest)
+
+    return distinct.repartition(parts, "anchor").sortWithinPartitions("anchor").mapInPandas(slices, "name binary, doc long, cover binary")
 
 
 def removed_by_window(distinct: DataFrame) -> DataFrame:
