@@ -1,7 +1,7 @@
 """Exact repeats of 50 bytes or more across documents, found with suffix arrays over the parts that can repeat.
 
 A suffix array of everything doesn't fit a cluster's tasks, so suffixes are dealt to tasks such that equal strings of 50
-bytes always meet. Of each such string the least 20-byte gram (by hash) is its anchor: the choice depends on the string
+bytes always meet. Of each such string the least 28-byte gram (by hash) is its anchor: the choice depends on the string
 alone. (1) Anchors are exchanged as packed hashes; those of one text only are dropped. (2) The others send their context:
 the bytes of all windows of 50 that they own. Equal contexts collapse to the smallest document, so a hot passage costs one
 context. (3) Each task sorts the suffixes of its contexts, takes common prefixes, scans them with a stack into the tree of
@@ -35,6 +35,7 @@ LONG = 50  # bytes of a repeat
 GRAM = 28  # bytes of an anchor: longer ones are shared by chance less often, shorter ones are fewer
 SPAN = LONG - GRAM + 1  # grams in a window
 BLOCK = 1 << 15  # windows that are looked at together
+CHUNK = 1 << 20  # bytes whose anchors are held together
 HOT = 500  # different contexts of an anchor above which its windows are aggregated one by one
 SLICE = 4096  # contexts of a suffix array
 BASE, MIX = 0x9E3779B97F4A7C15, np.uint64(0xD6E8FEB86659FD93)
@@ -81,21 +82,37 @@ def owners(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
-    """(text, first, last, hash) for each run of windows with one anchor, by place; first and last count in the text."""
-    own = [i for i, t in enumerate(texts) if len(t) >= LONG]
-    if not own:
-        return tuple(np.zeros(0, k) for k in (np.int64, np.int64, np.int64, np.uint64))
-    sizes = np.array([len(texts[i]) for i in own])
-    starts = np.r_[0, np.cumsum(sizes)[:-1]]
-    place, h = owners(np.frombuffer(b"".join(texts[i] for i in own), np.uint8))
+    """(text, first, last, hash) for each run of windows with one anchor, by place; first and last count in the text.
+    Short texts are looked at together and long ones in slices, so memory follows CHUNK and not the batch; a run that a
+    slice cuts gives two."""
+    found, group, held = [], [], 0
+    for i, t in enumerate(texts):
+        for a in range(0, len(t) - LONG + 1, CHUNK):
+            piece = t[a : a + CHUNK + LONG - 1]
+            if group and held + len(piece) > CHUNK:
+                found.append(anchors_of(group))
+                group, held = [], 0
+            group.append((i, a, piece))
+            held += len(piece)
+    if group:
+        found.append(anchors_of(group))
+    return tuple(map(np.concatenate, zip(*found))) if found else tuple(np.zeros(0, k) for k in (np.int64, np.int64, np.int64, np.uint64))
+
+
+def anchors_of(pieces: list[tuple[int, int, bytes]]) -> tuple[np.ndarray, ...]:
+    """anchors() of pieces (text, where it begins in the text, bytes)."""
+    sizes = np.array([len(b) for _, _, b in pieces])
+    starts = np.cumsum(sizes) - sizes
+    place, h = owners(np.frombuffer(b"".join(b for _, _, b in pieces), np.uint8))
     at = np.arange(len(place))
-    text = np.repeat(np.arange(len(own)), sizes)[: len(place)]
-    good = at + LONG <= (starts + sizes)[text]
-    at, text, place, h = at[good], text[good], place[good], h[good]
-    new = np.r_[True, (place[1:] != place[:-1]) | (text[1:] != text[:-1])]
-    first = np.flatnonzero(new)
+    piece = np.repeat(np.arange(len(pieces)), sizes)[: len(place)]
+    good = at + LONG <= (starts + sizes)[piece]
+    at, piece, place, h = at[good], piece[good], place[good], h[good]
+    first = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]) | (piece[1:] != piece[:-1])])
     last = np.r_[first[1:], len(at)] - 1
-    return np.array(own)[text[first]], at[first] - starts[text[first]], at[last] - starts[text[first]], h[first]
+    own = piece[first]
+    move = np.array([a for _, a, _ in pieces])[own] - starts[own]
+    return np.array([i for i, _, _ in pieces])[own], at[first] + move, at[last] + move, h[first]
 
 
 def digest(data: bytes) -> bytes:
@@ -295,12 +312,13 @@ def removed_by_window(distinct: DataFrame) -> DataFrame:
 
     def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
-            for context, doc in zip(b["context"], b["doc"]):
-                c = bytes(context)
-                name = digest(c)
-                rows += [(digest(c[i : i + LONG]), name, doc, i) for i in range(len(c) - LONG + 1)]
-            yield pd.DataFrame(rows, columns=["window", "name", "doc", "start"])
+            for at in range(0, len(b), 100):
+                rows = []
+                for context, doc in zip(b["context"].iloc[at : at + 100], b["doc"].iloc[at : at + 100]):
+                    c = bytes(context)
+                    name = digest(c)
+                    rows += [(digest(c[i : i + LONG]), name, doc, i) for i in range(len(c) - LONG + 1)]
+                yield pd.DataFrame(rows, columns=["window", "name", "doc", "start"])
 
     each = staged(distinct.select("context", "doc").mapInPandas(windows, "window binary, name binary, doc long, start int"), "windows")
     least = each.groupBy("window").agg(F.min("doc").alias("least"))
