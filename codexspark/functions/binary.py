@@ -13,8 +13,7 @@ EPOCH_1904 = 2082844800
 def part(data: Column, at: Column | int, size: Column | int) -> Column:
     """size bytes of data from 0-based offset `at`; null when data ends before."""
     at, size = (x if isinstance(x, Column) else F.lit(x) for x in (at, size))
-    cut = F.substring(data, (at + 1).cast("int"), size.cast("int"))
-    return F.when((at >= 0) & (F.length(cut) == size), cut)
+    return F.when((at >= 0) & (at + size <= F.length(data)), F.substring(data, (at + 1).cast("int"), size.cast("int")))
 
 
 def number(data: Column) -> Column:

@@ -78,17 +78,17 @@ def record0(recs: DataFrame, base: Column | int = 0) -> DataFrame:
 def headers(recs: DataFrame, base: Column | int = 0) -> DataFrame:
     """record0() with the long header's fields. A field exists where the declared length reaches it (0 counts as 24);
     NOTSET in a field that exists stays as it is. full_name is raw bytes."""
-    d = F.col("data")
-    there = part(d, 16, 4) == F.lit(b"MOBI")
-    length = F.when(u32(d, 20) == 0, 24).otherwise(u32(d, 20))
-    field = lambda at, width: F.when(there & (length + 16 >= at + width), (u32 if width == 4 else u16)(d, at))
-    newer = (length >= 0xE4) & (u32(d, 36) == 8)
+    d, there, length, newer = (F.col(c) for c in ("data", "has_header", "_length", "_newer"))
+    declared = u32(d, 20)
+    rows = record0(recs, base).withColumn("has_header", F.coalesce(part(d, 16, 4) == F.lit(b"MOBI"), F.lit(False)))
+    rows = rows.withColumn("_length", F.when(there, F.when(declared == 0, 24).otherwise(declared))).withColumn("_newer", F.coalesce((length >= 0xE4) & (u32(d, 36) == 8), F.lit(False)))
+    field = lambda at, width: F.when(length + 16 >= at + width, (u32 if width == 4 else u16)(d, at))
     shared = {at for _, at, _ in NEWER}
-    own = [F.when(newer, None).otherwise(field(at, w)).alias(n) if at in shared or n == "last_text_index" else field(at, w).alias(n) for n, at, w in FIELDS if n != "header_magic"]
+    own = [F.when(~newer, field(at, w)).alias(n) if at in shared or n == "last_text_index" else field(at, w).alias(n) for n, at, w in FIELDS if n not in ("header_magic", "header_length")]
     own += [F.when(newer, field(at, w)).alias(n) for n, at, w in NEWER]
-    name_at, name_size = field(84, 4), field(88, 4)
-    full = F.when((name_size > 0) & (name_size <= LONGEST_NAME), part(d, name_at, name_size))
-    return record0(recs, base).select("*", F.coalesce(there, F.lit(False)).alias("has_header"), *own, full.alias("full_name"))
+    rows = rows.select("*", F.when(length.isNotNull(), declared).alias("header_length"), *own).drop("_length", "_newer")
+    name_size = F.col("full_name_length")
+    return rows.withColumn("full_name", F.when((name_size > 0) & (name_size <= LONGEST_NAME), part(d, F.col("full_name_offset"), name_size)))
 
 
 def exth(heads: DataFrame) -> DataFrame:

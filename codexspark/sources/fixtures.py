@@ -63,7 +63,12 @@ def text_records(docs: DataFrame, size: int = RECORD) -> DataFrame:
     return rows.withColumn("seq", F.col("seq") + 1)
 
 
-def records(docs: DataFrame, compression: int = 1, values: dict[str, Column] | None = None, tags: Column | None = None, name: Column | None = None) -> DataFrame:
+def n_text_records(text: str = "text") -> Column:
+    """Records that a text is cut into; an empty one has one."""
+    return F.greatest(F.ceil(F.length(F.encode(F.coalesce(text, F.lit("")), "UTF-8")) / RECORD).cast("int"), F.lit(1))
+
+
+def records(docs: DataFrame, compression: int = 1, values: dict[str, Column] | None = None, tags: Column | None = None, name: Column | None = None, newer: bool = False) -> DataFrame:
     """(doc_id, seq, data) for containers of (doc_id, text, ...): record 0, text, dictionary records for 17480."""
     coded = {1: lambda c: c, 2: lz_record, 17480: huff_encoded}[compression]
     texts = text_records(docs).select("doc_id", "seq", coded(F.col("chunk")).alias("data"))
@@ -74,7 +79,7 @@ def records(docs: DataFrame, compression: int = 1, values: dict[str, Column] | N
         known |= {"huff_rec_index": n + 1, "huff_rec_count": F.lit(2), "image_index": n + 3}
     tags = F.array().cast(NO_TAGS) if tags is None else tags
     full = F.encode(F.coalesce(name, F.lit("")) if name is not None else F.lit(""), "UTF-8")
-    zero = docs.select("doc_id", F.lit(0).alias("seq"), writer.record0_bytes(F.lit(compression), n_bytes, n, known | (values or {}), tags, full).alias("data"))
+    zero = docs.select("doc_id", F.lit(0).alias("seq"), writer.record0_bytes(F.lit(compression), n_bytes, n, known | (values or {}), tags, full, newer=newer).alias("data"))
     out = zero.unionByName(texts)
     if compression == 17480:
         for k, data in enumerate((huff_record(), cdic_record())):
