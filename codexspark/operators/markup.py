@@ -194,22 +194,22 @@ def link_targets(found: DataFrame, toc: DataFrame | None = None) -> DataFrame:
 def old_markup(text: DataFrame, resource_names: DataFrame, toc: DataFrame | None = None, inserts: DataFrame | None = None) -> DataFrame:
     """(doc_id, data): the older format's text with links and images rewritten, an anchor at each target, and inserts
     (doc_id, start, ord, value binary), such as dictionary entries. Images are numbered from 1; 0 and those without a
-    resource stay."""
+    resource stay. Edits are rows of a table until each text meets its own."""
     found = old_links(text)
-    names = resource_names.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct((F.col("uid") + 1).cast("long").alias("no"), "file_name"))).alias("_names"))
-    rows = found.join(names, "doc_id", "left").join(link_targets(found, toc), "doc_id", "left")
-    edit = lambda start, stop, value: F.struct(start.cast("long").alias("start"), stop.cast("long").alias("stop"), F.encode(value, "UTF-8").alias("value"))
-    none = F.array().cast("array<struct<start:bigint,stop:bigint,value:binary>>")
-    links = F.transform("links", lambda f: edit(f["start"], f["stop"], F.concat(F.lit('href="#'), F.lpad(f["value"], 10, "0"), F.lit('"'))))
-    no = lambda f: F.regexp_extract(f["value"], "([0-9]+)", 1).cast("long")
-    images = F.transform(F.filter("images", lambda f: F.get(F.map_values(F.map_filter("_names", lambda k, v: k == no(f))), F.lit(0)).isNotNull()), lambda f: edit(f["start"], f["stop"], F.concat(F.lit('src="'), F.element_at("_names", no(f)), F.lit('"'))))
-    marks = F.transform("targets", lambda t: edit(t, t, F.concat(F.lit('<a id="'), F.lpad(t.cast("string"), 10, "0"), F.lit('"></a>'))))
-    edits = F.concat(F.coalesce(marks, none), F.coalesce(links, none), F.coalesce(images, none))
+    spot = lambda rows, start, stop, rank, no, value: rows.select("doc_id", start.cast("long").alias("start"), F.lit(rank).alias("rank"), no.cast("long").alias("no"), stop.cast("long").alias("stop"), value.alias("value"))
+    links = found.select("doc_id", F.explode("links").alias("f"))
+    href = F.encode(F.concat(F.lit('href="#'), F.lpad(F.col("f.value"), 10, "0"), F.lit('"')), "UTF-8")
+    images = found.select("doc_id", F.explode("images").alias("f")).withColumn("number", F.regexp_extract("f.value", "([0-9]+)", 1).cast("long"))
+    images = images.join(resource_names.select("doc_id", (F.col("uid") + 1).cast("long").alias("number"), "file_name"), ["doc_id", "number"])
+    source = F.encode(F.concat(F.lit('src="'), "file_name", F.lit('"')), "UTF-8")
+    marks = link_targets(found, toc).select("doc_id", F.explode("targets").alias("at"))
+    mark = F.encode(F.concat(F.lit('<a id="'), F.lpad(F.col("at").cast("string"), 10, "0"), F.lit('"></a>')), "UTF-8")
+    edits = spot(marks, F.col("at"), F.col("at"), 0, F.lit(0), mark)
+    edits = edits.unionByName(spot(links, F.col("f.start"), F.col("f.stop"), 2, F.lit(0), href)).unionByName(spot(images, F.col("f.start"), F.col("f.stop"), 2, F.lit(0), source))
     if inserts is not None:
-        more = inserts.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "ord", "value"))).alias("_more"))
-        rows = rows.join(more, "doc_id", "left")
-        edits = F.concat(edits, F.coalesce(F.transform("_more", lambda i: F.struct(i["start"].cast("long").alias("start"), i["start"].cast("long").alias("stop"), i["value"].alias("value"))), none))
-    return rows.select("doc_id", splice("text", edits).alias("data"))
+        edits = edits.unionByName(spot(inserts, F.col("start"), F.col("start"), 1, F.col("ord"), F.col("value")))
+    lists = edits.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "rank", "no", "stop", "value"))).alias("edits"))
+    return text.select("doc_id", "text").join(lists, "doc_id", "left").select("doc_id", splice("text", "edits").alias("data"))
 
 
 def stripped(parts: DataFrame, newer: bool = True) -> DataFrame:

@@ -312,11 +312,11 @@ def names_inside(data: Column) -> Column:
     return inside(data)
 
 
-@query("""SELECT doc_id, ['mimetype', 'META-INF/container.xml', 'OEBPS/content.opf', 'OEBPS/part00000.html'] AS names FROM documents""")
+@query("""SELECT doc_id, 'mimetype META-INF/container.xml OEBPS/part00000.html OEBPS/content.opf' AS names FROM documents""")
 def epub_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = docs_of(spark, sf_dir)
     files = docs.select("doc_id", F.explode(F.array(F.struct(F.lit("part00000.html").alias("file_name"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("data")), F.struct(F.lit("resource00001.opf").alias("file_name"), F.lit(b"<package/>").alias("data")))).alias("f")).select("doc_id", "f.*")
-    return resources.epub(files).select("doc_id", names_inside(F.col("epub")).alias("names"))
+    return resources.epub(files).select("doc_id", F.array_join(names_inside(F.col("epub")), " ").alias("names"))
 
 
 @query("""SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'FILE_ENCRYPTED' ELSE 'SUCCESS' END AS status FROM documents""")

@@ -154,8 +154,8 @@ def dangling_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH s AS (SELECT page_id, string_split(html, ' href="') AS h, string_split(html, ' class="') AS c FROM pages),
-h AS (SELECT page_id, i, (list_sum(list_transform(h[1:i], x -> strlen(x))) + 7 * (i - 1))::BIGINT AS at FROM (SELECT page_id, h, unnest(range(1, len(h))) AS i FROM s)),
-c AS (SELECT page_id, (list_sum(list_transform(c[1:i], x -> strlen(x))) + 8 * (i - 1))::BIGINT AS at, string_split(c[i + 1], '"')[1] AS value FROM (SELECT page_id, c, unnest(range(1, len(c))) AS i FROM s))
+h AS (SELECT page_id, i, (list_sum(list_transform(h[1:i], lambda x: strlen(x))) + 7 * (i - 1))::BIGINT AS at FROM (SELECT page_id, h, unnest(range(1, len(h))) AS i FROM s)),
+c AS (SELECT page_id, (list_sum(list_transform(c[1:i], lambda x: strlen(x))) + 8 * (i - 1))::BIGINT AS at, string_split(c[i + 1], '"')[1] AS value FROM (SELECT page_id, c, unnest(range(1, len(c))) AS i FROM s))
 SELECT h.page_id, h.at AS at, (SELECT min_by(c.value, c.at) FROM c WHERE c.page_id = h.page_id AND c.at >= h.at) AS anchor FROM h""")
 def anchor_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first class attribute at or after each link."""

@@ -12,7 +12,7 @@ from codexspark.plans.registry import query, table
 from codexspark.sources import fixtures
 
 
-@query("SELECT o_orderkey, upper(lpad(list_aggregate(list_transform(range(0, 6), i -> substr('0123456789ABCDEFGHIJKLMNOPQRSTUV', ((o_orderkey // (32 ** (5 - i))::BIGINT) % 32 + 1)::INT, 1)), 'string_agg', ''), 6, '0')) AS coded, o_orderkey AS decoded FROM orders")
+@query("SELECT o_orderkey, upper(lpad(list_aggregate(list_transform(range(0, 6), lambda i: substr('0123456789ABCDEFGHIJKLMNOPQRSTUV', ((o_orderkey // (32 ** (5 - i))::BIGINT) % 32 + 1)::INT, 1)), 'string_agg', ''), 6, '0')) AS coded, o_orderkey AS decoded FROM orders")
 def base32(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = B.to_base32(F.col("o_orderkey"), 6)
     return table(spark, sf_dir, "orders").select("o_orderkey", coded.alias("coded")).withColumn("decoded", B.base32(F.col("coded")))
