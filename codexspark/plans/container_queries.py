@@ -27,6 +27,11 @@ def stored(docs: DataFrame, compression: int = 1, **more) -> DataFrame:
     return staged(fixtures.containers(docs, compression, **more), "containers")
 
 
+def heads_of(recs: DataFrame) -> DataFrame:
+    """Headers at rest: one short row a document, read by several steps."""
+    return staged(C.headers(recs), "headers")
+
+
 def read_text(files: DataFrame) -> DataFrame:
     """(doc_id, status, text) of containers."""
     recs = C.records(files)
@@ -90,7 +95,7 @@ def tagged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 def metadata_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Named fields of documents with their fallbacks."""
     files, recs = tagged(spark, sf_dir)
-    heads = C.headers(recs)
+    heads = heads_of(recs)
     decoded = metadata.decoded_tags(C.exth(heads), heads)
     return metadata.summary(C.pdb_headers(files), heads, decoded).select("doc_id", "author", "subject", "language", "title", "publisher")
 
@@ -99,7 +104,7 @@ def metadata_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 UNION ALL SELECT doc_id, 105, 'first & last; ' || coalesce(lang, 'none'), 'string' FROM documents UNION ALL SELECT doc_id, 524, coalesce(lang, 'none'), 'string' FROM documents""")
 def exth_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, recs = tagged(spark, sf_dir)
-    heads = C.headers(recs)
+    heads = heads_of(recs)
     decoded = metadata.decoded_tags(C.exth(heads), heads)
     kinds = metadata.tag_table(spark).select("tag", "kind")
     return metadata.joined(decoded).join(F.broadcast(kinds), "tag").select("doc_id", F.col("tag").cast("long").alias("tag"), "value", "kind")
@@ -109,14 +114,14 @@ def exth_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 def exth_edit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metadata set, added and deleted, written into new containers and read from them again."""
     files, recs = tagged(spark, sf_dir)
-    heads = C.headers(recs)
+    heads = heads_of(recs)
     act = lambda step, action, tag, value: F.struct(F.lit(step).alias("step"), F.lit(action).alias("action"), F.lit(tag).alias("tag"), F.encode(value, "UTF-8").alias("data"))
     actions = F.array(act(1, "add", 100, F.lit("gone")), act(2, "set", 100, F.concat(F.lit("new "), F.col("doc_id").cast("string"))), act(3, "add", 105, F.lit("third")), act(4, "delete", 524, F.lit("")))
     steps = files.select("doc_id", F.explode(actions).alias("a")).select("doc_id", "a.*")
     tags = metadata.apply_actions(C.exth(heads), steps)
     zero = edits.with_tags(heads, tags).select("doc_id", F.lit(0).alias("seq"), "data")
     new = recs.filter("seq > 0").select("doc_id", "seq", "data").unionByName(zero)
-    again = C.headers(C.records(staged(writer.assembled(new, C.pdb_headers(files)), "containers")))
+    again = heads_of(C.records(staged(writer.assembled(new, C.pdb_headers(files)), "containers")))
     return metadata.joined(metadata.decoded_tags(C.exth(again), again)).select("doc_id", F.col("tag").cast("long").alias("tag"), "value")
 
 
@@ -124,7 +129,7 @@ def exth_edit(spark: SparkSession, sf_dir: str) -> DataFrame:
 def title_and_language_edit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A new title reaches tag, full name and container name; a language reaches the header's locale."""
     files, recs = tagged(spark, sf_dir)
-    heads = C.headers(recs)
+    heads = heads_of(recs)
     docs = docs_of(spark, sf_dir, "lang")
     names = C.pdb_headers(files).select("doc_id", "name")
     tags, heads, names = metadata.set_titles(C.exth(heads), heads, names, docs.select("doc_id", F.concat(F.lit("Title "), F.col("doc_id").cast("string")).alias("title")))
@@ -223,7 +228,7 @@ def write_back(spark: SparkSession, sf_dir: str) -> DataFrame:
     files, recs = tagged(spark, sf_dir)
     again = staged(writer.assembled(recs.select("doc_id", "seq", "data"), C.pdb_headers(files)), "containers")
     recs = C.records(again)
-    heads = C.headers(recs)
+    heads = heads_of(recs)
     subject = metadata.joined(metadata.decoded_tags(C.exth(heads), heads)).filter("tag = 105").select("doc_id", F.col("value").alias("subject"))
     return text.rawml(recs, heads).select("doc_id", F.md5("text").alias("text_md5")).join(subject, "doc_id")
 
@@ -259,17 +264,19 @@ def hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def split_hybrids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both versions of hybrids taken apart into documents of their own."""
     recs = hybrid(spark, sf_dir)
-    heads = C.headers(recs)
-    tags = C.exth(heads)
-    parts = C.halves(recs, tags)
+    heads = heads_of(recs)
+    tags = staged(C.exth(heads), "tags")
+    parts = staged(C.halves(recs, tags), "halves")
     mark = parts.filter("half = 'newer'")
     new_recs = recs.join(mark.select("doc_id", "base_seq"), "doc_id").filter("seq >= base_seq").select("doc_id", (F.col("seq") - F.col("base_seq")).cast("int").alias("seq"), "data")
-    new_heads = C.headers(new_recs)
-    new_tags = C.exth(new_heads)
-    old = edits.older_half(recs, heads, mark)
+    new_recs = staged(new_recs, "records")
+    new_heads = heads_of(new_recs)
+    new_tags = staged(C.exth(new_heads), "tags")
+    old = staged(edits.older_half(recs, heads, mark), "records")
     new, shift = edits.newer_half(recs, heads, new_heads, tags, new_tags, mark)
+    new = staged(new, "records")
     kept = edits.newer_tags(new_tags, shift, new_heads).filter("tag = 125").select("doc_id", F.conv(F.hex("data"), 16, 10).cast("long").alias("newer_resources"))
-    read = lambda rows, name: text.rawml(rows, C.headers(rows)).select("doc_id", F.md5("text").alias(name))
+    read = lambda rows, name: text.rawml(rows, heads_of(rows)).select("doc_id", F.md5("text").alias(name))
     count = lambda rows, name: rows.groupBy("doc_id").agg(F.count("*").alias(name))
     out = edits.versions(parts).join(count(old, "older_records"), "doc_id").join(count(new, "newer_records"), "doc_id")
     return out.join(read(old, "older_md5"), "doc_id").join(read(new, "newer_md5"), "doc_id").join(kept, "doc_id")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from codexspark.functions.binary import be, encoded_varlen
 from codexspark.operators import dictionary, index, markup, metadata, navigation, predicates, resources, text
-from codexspark.plans.container_queries import docs_of, stored, tagged
+from codexspark.plans.container_queries import docs_of, heads_of, stored, tagged
 from codexspark.plans.registry import query, table
 from codexspark.sources import containers as C
 from codexspark.sources import fixtures
@@ -73,7 +73,7 @@ def flow_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = [be(x, 4) for x in (F.lit(0), third, third, half, half, n)]
     table_ = F.array(F.concat(F.lit(b"FDST"), be(12, 4), be(3, 4), *pairs))
     recs = new_records(docs, [("fdst_index", table_)])
-    heads = C.headers(recs)
+    heads = heads_of(recs)
     got = markup.flows(text.rawml(recs, heads), C.sections(recs, heads))
     return got.select("doc_id", "status", F.col("uid").cast("long").alias("uid"), F.md5(F.hex("data").cast("binary")).alias("hex_md5"))
 
@@ -232,7 +232,7 @@ def guide_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT doc_id, 'dc' AS grp, u.e AS element, u.v AS value FROM documents, LATERAL (VALUES ('creator', coalesce(source, 'nobody')), ('subject', 'first & last'), ('subject', coalesce(lang, 'none')), ('language', coalesce(lang, 'none')), ('identifier', doc_id::VARCHAR), ('title', 'Unknown')) u(e, v)""")
 def package_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, recs = tagged(spark, sf_dir)
-    heads = C.headers(recs)
+    heads = heads_of(recs)
     docs = heads.select("doc_id", "uid", F.lit(None).cast("string").alias("title"), F.col("locale").alias("locale_no"))
     return navigation.package_metadata(metadata.decoded_tags(C.exth(heads), heads), docs).select("doc_id", "grp", "element", "value")
 
@@ -254,7 +254,7 @@ def manifest_union(spark: SparkSession, sf_dir: str) -> DataFrame:
  || '<manifest><item id="part00000" href="part00000.html" media-type="application/xhtml+xml"/><item id="resource00009" href="resource00009.ncx" media-type="application/x-dtbncx+xml"/></manifest><spine toc="resource00009"><itemref idref="part00000"/></spine><guide><reference type="toc" title="Contents" href="part00000.html"/></guide></package>' AS xml FROM documents""")
 def package_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, recs = tagged(spark, sf_dir)
-    heads = C.headers(recs)
+    heads = heads_of(recs)
     docs = heads.select("doc_id", "uid", F.lit(None).cast("string").alias("title"), F.col("locale").alias("locale_no"))
     meta = navigation.package_metadata(metadata.decoded_tags(C.exth(heads), heads), docs)
     part = lambda grp, uid, kind: F.struct(F.lit(grp).alias("grp"), F.lit(uid).alias("uid"), F.lit(kind).alias("kind"))
