@@ -56,7 +56,7 @@ def test_huffman_damage():
 
 
 def test_trailing_entries():
-    assert codecs.trailing(b"text\x82", 2) is None or codecs.trailing(b"text.\x82", 2) == 2
+    assert codecs.trailing(b"text.\x82", 2) == 2
     assert codecs.trailing(b"text\x00", 1) == 1
     assert codecs.trailing(b"tex\x01\x02\x03", 1) == 4
     assert codecs.trailing(b"", 1) is None
