@@ -38,6 +38,7 @@ BLOCK = 1 << 15  # windows that are looked at together
 CHUNK = 1 << 20  # bytes whose anchors are held together
 HOT = 500  # different contexts of an anchor above which its windows are aggregated one by one
 SLICE = 4096  # contexts of a suffix array
+KEY = np.dtype((np.void, 16))  # a text's name
 BASE, MIX = 0x9E3779B97F4A7C15, np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -167,13 +168,14 @@ def packed_anchors(docs: DataFrame, parts: int) -> DataFrame:
 
 def shared_anchors(packed: DataFrame, parts: int) -> DataFrame:
     """(key, flags): of each text the anchors that another text may have too, as part and tag in 8 bytes. A tag can be
-    shared by chance; that only costs a context."""
+    shared by chance; that only costs a context. Each part sends its finds on in one row for each bucket of keys, so rows
+    follow texts and not texts times parts."""
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         keys, which, tags, n = [], [], [], 0
         for b in batches:
             for part, k, w, t in zip(b["part"], b["keys"], b["which"], b["tags"]):
-                keys.append(np.frombuffer(bytes(k), np.dtype((np.void, 16))))
+                keys.append(np.frombuffer(bytes(k), KEY))
                 which.append(widened(w).astype(np.int64) + n)
                 tags.append(np.cumsum(widened(t), dtype=np.uint32).astype(np.uint64) | np.uint64(part) << np.uint64(32))
                 n += len(keys[-1])
@@ -189,14 +191,31 @@ def shared_anchors(packed: DataFrame, parts: int) -> DataFrame:
         ends = np.r_[np.flatnonzero(new)[1:], len(tags)] - 1
         several = (which[np.flatnonzero(new)] != which[ends])[group]
         which, tags = which[several], tags[several]
+        bucket = (np.frombuffer(names.tobytes(), ">u4")[::4].astype(np.int64) * parts >> 32)[which]
+        order = np.lexsort((which, bucket))
+        which, tags, bucket = which[order], tags[order], bucket[order]
+        cuts = np.r_[np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]), len(bucket)] if len(bucket) else np.zeros(1, np.int64)
+        rows = []
+        for i, j in zip(cuts, cuts[1:]):
+            used, counts = np.unique(which[i:j], return_counts=True)
+            rows.append((int(bucket[i]), names[used].tobytes(), counts.astype(np.uint32).tobytes(), tags[i:j].tobytes()))
+        yield pd.DataFrame(rows, columns=["bucket", "keys", "counts", "tags"])
+
+    def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found = [(np.frombuffer(bytes(k), KEY), np.frombuffer(bytes(c), np.uint32), np.frombuffer(bytes(t), np.uint64)) for b in batches for k, c, t in zip(b["keys"], b["counts"], b["tags"])]
+        if not found:
+            return
+        keys, counts, tags = map(np.concatenate, zip(*found))
+        names, same = np.unique(keys, return_inverse=True)
+        which = np.repeat(same, counts)
         order = np.argsort(which, kind="stable")
-        which, tags = which[order], tags[order]
-        cuts = np.r_[np.flatnonzero(np.r_[True, which[1:] != which[:-1]]), len(which)] if len(which) else np.zeros(1, np.int64)
-        rows = [(names[which[i]].tobytes(), tags[i:j].tobytes()) for i, j in zip(cuts, cuts[1:])]
-        for at in range(0, len(rows), 5000):
-            yield pd.DataFrame(rows[at : at + 5000], columns=["key", "flags"])
+        tags = tags[order]
+        ends = np.cumsum(np.bincount(which, minlength=len(names)))
+        for at in range(0, len(names), 1000):
+            yield pd.DataFrame([(names[i].tobytes(), tags[ends[i - 1] if i else 0 : ends[i]].tobytes()) for i in range(at, min(len(names), at + 1000))], columns=["key", "flags"])
 
-    return packed.repartition(parts, "part").mapInPandas(meet, "key binary, flags binary")
+    met = packed.repartition(parts, "part").mapInPandas(meet, "bucket int, keys binary, counts binary, tags binary")
+    return met.repartition(parts, "bucket").mapInPandas(gather, "key binary, flags binary")
 
 
 def contexts(texts: DataFrame, parts: int) -> DataFrame:
@@ -211,7 +230,7 @@ def contexts(texts: DataFrame, parts: int) -> DataFrame:
             edges = np.searchsorted(text, np.arange(len(data) + 1))
             for i, flags in enumerate(b["flags"]):
                 part = slice(edges[i], edges[i + 1])
-                keep[part] = np.isin(tags[part], np.concatenate([np.frombuffer(bytes(f), np.uint64) for f in flags]))
+                keep[part] = np.isin(tags[part], np.frombuffer(bytes(flags), np.uint64))
             at = np.flatnonzero(keep)
             keys, docs = b["key"].to_numpy(), b["doc"].to_numpy()
             i = text[at]
@@ -382,7 +401,7 @@ def removed(docs: DataFrame, with_text: bool = False) -> DataFrame:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     names = staged(named(docs), "names")
-    flags = staged(shared_anchors(packed_anchors(docs.filter("doc_id is not null"), parts), parts).groupBy("key").agg(F.collect_list("flags").alias("flags")), "flags")
+    flags = staged(shared_anchors(packed_anchors(docs.filter("doc_id is not null"), parts), parts), "flags")
 
     @F.pandas_udf("binary")
     def key(texts: pd.Series) -> pd.Series:
