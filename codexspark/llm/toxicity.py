@@ -1,8 +1,10 @@
 """Toxicity: noisy-channel deobfuscation, then scoring of the restored text.
 
-Disguised tokens (leetspeak, letters set apart, repeated letters, marks inside words) become lattices of letters. Viterbi
-finds the most likely word under a character language model: trigrams counted over every document, mixed with those of
-the lexicon. The lexicon holds words that speak for label 1: for each word of toxic training texts the count of distinct
+Disguised tokens (leetspeak, letters set apart, repeated letters, marks inside words) become lattices of letters in which
+each mark or space is kept as a boundary or dropped. Viterbi finds the most likely words under a character language model
+(trigrams counted over every document, mixed with those of the lexicon) in which words of the lexicon are likelier; each
+word on the best path is looked up. A walk of the lexicon's beginnings leaves out only tokens that no path can spell an
+entry from. Accents are folded in texts and lexicon alike. The lexicon holds words that speak for label 1: for each word of toxic training texts the count of distinct
 words before it (copies of a text add nothing) against the number of other training texts that have it. A small logistic
 model turns a document's hits, plain and restored, into a score.
 
@@ -20,6 +22,7 @@ from __future__ import annotations
 import functools
 import math
 import re
+import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -40,9 +43,22 @@ WORDS = re.compile(r"[^\W\d_]+")
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "li", "+": "t", "(": "c", "€": "e", "¡": "i"}
 #: Signs that may be put between letters.
 MARKS = set(".,-_*~'`^/\\:;") | {" "}
-#: A sign among letters, at the start or end of a word, marks between single letters, or a letter three times.
-DISGUISED = re.compile(r"[A-Za-z][0-9@$!|+(€¡*_.~^-]{1,3}[A-Za-z]|(?<!\S)[0-9@$!|+(€¡]{1,3}[A-Za-z]|[A-Za-z][0-9@$]{1,2}(?=[\s.,;!?]|$)|([A-Za-z])\1\1")
-APART = re.compile(r"(?<!\S)(?:[A-Za-z0-9@$!|+][ ._*-]){3,30}[A-Za-z0-9@$!|+](?!\S)")
+KEPT, LISTED = -0.5, 1.2  # log odds of a mark kept as a boundary, and of each letter of an entry
+SIGNS = re.escape("".join(sorted({*LEET, *MARKS} - {" "})))
+DIGITS, LAST, APARTS = (re.escape("".join(sorted(x))) for x in (LEET, {*LEET} - {"!", "("}, MARKS))
+#: Signs among letters, at the start or end of a word ("!" and "(" at an end are punctuation), or a letter three times.
+DISGUISED = re.compile(rf"[a-z][{SIGNS}]++[a-z]|(?<![a-z{DIGITS}])[{DIGITS}]++[a-z]|[a-z][{LAST}]++(?![a-z])|([a-z])\1\1")
+TOKEN = re.compile(rf"[a-z{SIGNS}]++")
+#: Three or more single letters with marks between.
+APART = re.compile(rf"(?<![a-z0-9])[a-z{DIGITS}](?:[{APARTS}]{{1,3}}[a-z{DIGITS}](?![a-z0-9])){{2,}}+")
+#: Plain contractions, which would read as other words without their mark (he'll).
+SHORT = re.compile(r"(?:i|you|he|she|it|we|they|who|that|there|what|how|where)'(?:ll|re|ve|[sdm])|[a-z]+n't")
+RUN = re.compile(r"(.)\1{3,}", re.S)
+REPEATED = re.compile(r"([a-z])\1+")
+COMBINING = re.compile("[\u0300-\u036f]+")
+#: Letters with accents, and the plain ones.
+PLAIN = {c: d[0] for c in map(chr, [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]) if len(d := unicodedata.normalize("NFD", c)) > 1 and d[0].isascii()}
+ACCENTED = re.compile(f"[{''.join(PLAIN)}]")
 FEATURES = ("top", "total", "hits", "restored")
 
 
@@ -60,6 +76,13 @@ def training_labels(labels: DataFrame, label: str, folds: int, fold: int, most:
     return own
 
 
+def folded(text: str) -> str:
+    """The text without accents on Latin letters."""
+    if text.isascii():
+        return text
+    return COMBINING.sub("", ACCENTED.sub(lambda m: PLAIN[m[0]], text))
+
+
 def trigrams(docs: DataFrame) -> np.ndarray:
     """Counts of letter trigrams over all texts; 0 is the edge of a word, 1 to 26 are a to z."""
 
@@ -71,7 +94,7 @@ def trigrams(docs: DataFrame) -> np.ndarray:
         for batch in batches:
             for t in batch["text"]:
                 if t:
-                    x = letter[np.frombuffer(f"  {t}  ".encode("utf-8", "surrogatepass"), np.uint8)]
+                    x = letter[np.frombuffer(f"  {folded(t)}  ".encode("utf-8", "surrogatepass"), np.uint8)]
                     sums += np.bincount(x[:-2] * 729 + x[1:-1] * 27 + x[2:], minlength=27**3)
         at = np.flatnonzero(sums)
         yield pd.DataFrame({"gram": at, "n": sums[at]})
@@ -98,47 +121,91 @@ def model_of(counts: np.ndarray, lexicon: dict[str, float]) -> np.ndarray:
     return np.log(0.5 * smooth(counts) + 0.5 * smooth(own))
 
 
-def decode(token: str, lm: np.ndarray) -> str:
-    """The most likely word behind a disguised token. At each sign the lattice has the letters it can stand for, nothing
-    if it is a mark, and nothing if it repeats the letter before; a path's cost adds those steps to the model's."""
-    paths = {(0, 0): (0.0, "")}
+@functools.cache
+def letters(c: str) -> list[tuple[str, float]]:
+    """What a sign can stand for, with its log odds."""
+    return [(c, 0.0)] if "a" <= c <= "z" else [(x, -0.7 - 0.3 * k) for k, x in enumerate(LEET.get(c, ""))]
+
+
+@functools.cache
+def droppable(c: str) -> bool:
+    """Whether a sign that is no mark can be nothing at all."""
+    return c not in MARKS and (c in "!|+(" or not letters(c))
+
+
+def decode(token: str, lm: np.ndarray, lexicon: dict[str, float] | None = None, prefixes: frozenset[str] = frozenset()) -> str:
+    """The most likely words behind a disguised token. At each sign the lattice has the letters it can stand for, nothing
+    or a boundary if it is a mark, and nothing if it repeats the letter before; a path's cost adds those steps to the
+    model's. A state is the last two letters and how the word so far stands in the lexicon: a beginning of an entry, True
+    behind a stem that counted, or None."""
+    lexicon = lexicon or {}
+    paths = {(0, 0, ""): (0.0, "")}
     for c in token.lower():
-        step: dict[tuple[int, int], tuple[float, str]] = {}
+        step: dict[tuple, tuple[float, str]] = {}
 
-        def offer(state: tuple[int, int], score: float, word: str) -> None:
+        def offer(state: tuple, score: float, words: str) -> None:
             if state not in step or score > step[state][0]:
-                step[state] = (score, word)
+                step[state] = (score, words)
 
-        for (a, b), (score, word) in paths.items():
-            options = [(c, 0.0)] if "a" <= c <= "z" else [(x, -0.7 - 0.3 * k) for k, x in enumerate(LEET.get(c, ""))]
+        options, mark, drop = letters(c), c in MARKS, droppable(c)
+        for (a, b, node), (score, words) in paths.items():
             for x, cost in options:
-                i = ord(x) - 96
-                offer((b, i), score + cost + lm[a, b, i], word + x)
+                i, own, more = ord(x) - 96, node, 0.0
+                if isinstance(node, str):
+                    if f"{node}*" in lexicon:
+                        own, more = True, LISTED * len(node)
+                    else:
+                        own = node + x if node + x in prefixes else None
+                offer((b, i, own), score + cost + more + lm[a, b, i], words + x)
                 if i == b:
-                    offer((a, b), score - 1.2, word)
-            if c in MARKS:
-                offer((a, b), score - 0.5, word)
-            elif not options or not "a" <= c <= "z" and c in "!|+(":
-                offer((a, b), score - 2.5, word)
+                    offer((a, b, node), score - 1.2, words)
+            if mark:
+                offer((a, b, node), score - 0.5, words)
+                if b:
+                    offer((b, 0, ""), score + KEPT + lm[a, b, 0] + LISTED * (len(node) if node in lexicon else 0), f"{words} ")
+            elif drop:
+                offer((a, b, node), score - 2.5, words)
         paths = step
         if not paths:
             return ""
-    return max((score + lm[a, b, 0], word) for (a, b), (score, word) in paths.items())[1]
+    return max((score + lm[a, b, 0] + LISTED * (len(node) if node in lexicon else 0), words) for (a, b, node), (score, words) in paths.items())[1].strip()
+
+
+def spelled(token: str, start: int, lexicon: dict[str, float], prefixes: frozenset[str]) -> bool:
+    """Whether any path from there spells an entry, to its end or beyond it."""
+    live = {""}
+    for c in token[start : start + 2 * LONGEST]:
+        options, stay, step = letters(c), c in MARKS or droppable(c), set()
+        for p in live:
+            for x, _ in options:
+                q = p + x
+                if q in prefixes:
+                    if q in lexicon or f"{q}*" in lexicon:
+                        return True
+                    step.add(q)
+                if p and p[-1] == x:
+                    step.add(p)
+            if stay:
+                step.add(p)
+        if not step:
+            return False
+        live = step
+    return False
 
 
 def disguised(text: str) -> set[str]:
-    """Tokens that may hide a word: spelled with signs, or letters set apart."""
-    out = set()
+    """Tokens of a lower-case text that may hide a word: spelled with signs, or letters set apart."""
+    out, done = set(), 0
     for m in DISGUISED.finditer(text):
-        i, j = m.span()
-        while i and j - i <= LONGEST and not text[i - 1].isspace():
+        if m.start() < done:
+            continue
+        i = m.start()
+        while i > done and TOKEN.match(text, i - 1, i):
             i -= 1
-        while j < len(text) and j - i <= LONGEST and not text[j].isspace():
-            j += 1
-        if j - i <= LONGEST:
-            out.add(text[i:j])
-    out.update(m[0] for m in APART.finditer(text) if len(m[0]) <= 2 * LONGEST)
-    return out
+        done = TOKEN.match(text, i).end()
+        out.add(text[i:done])
+    out.update(m[0] for m in APART.finditer(text))
+    return {t for t in out if not SHORT.fullmatch(t.strip(".,-_*~'`^/\\:;!("))}
 
 
 def entries(word: str) -> list[str]:
@@ -149,17 +216,45 @@ def entries(word: str) -> list[str]:
 class Scorer:
     def __init__(self, lexicon: dict[str, float], lm: np.ndarray):
         self.lexicon, self.lm = lexicon, lm
-        self.restore = functools.lru_cache(maxsize=100_000)(lambda token: decode(token, lm))
+        self.prefixes = frozenset(e[:n] for w in lexicon for e in [w.rstrip("*")] for n in range(1, len(e) + 1))
         self.weight = functools.lru_cache(maxsize=200_000)(lambda word: max((lexicon.get(e, 0.0) for e in entries(word)), default=0.0))
+        self.tight = {REPEATED.sub(r"\1", e) for e in lexicon}
+        short = functools.lru_cache(maxsize=100_000)(self.decoded)
+        self.restore = lambda token: short(token) if len(token) <= 2 * LONGEST else self.decoded(token)
+        self.known = functools.lru_cache(maxsize=200_000)(lambda word: (x := self.weight(word), self.doubled(word) if not x else ()))
+
+    def decoded(self, token: str) -> frozenset[str]:
+        """Words with a weight behind a token. Long tokens are read in a window from each place where an entry may start."""
+        token = RUN.sub(r"\1\1\1", token)
+        starts = (i for i, c in enumerate(token) if c not in MARKS and (not i or token[i - 1] in MARKS))
+        hits = (i for i in starts if spelled(token, i, self.lexicon, self.prefixes))
+        if len(token) <= 2 * LONGEST:
+            windows = [token] if next(hits, None) is not None else []
+        else:
+            windows = (token[i : i + 2 * LONGEST] for i in hits)
+        return frozenset(w for t in windows for w in decode(t, self.lm, self.lexicon, self.prefixes).split() if self.weight(w))
+
+    def doubled(self, word: str) -> frozenset[str]:
+        """The same for a plain word with repeated letters."""
+        tight = REPEATED.sub(r"\1", word) if len(word) <= LONGEST else word
+        if len(tight) == len(word) or tight not in self.tight and not any(f"{tight[:n]}*" in self.tight for n in range(1, STEMS[-1] + 1)):
+            return frozenset()
+        return self.decoded(word)
 
     def features(self, text: str | None) -> tuple[float, float, float, float]:
         """Highest weight, sum of weights, number of hits and of those restored, by distinct word."""
         if not text or not self.lexicon:
             return 0.0, 0.0, 0.0, 0.0
-        words = set(WORDS.findall(text.lower()))
-        found = {w: x for w in words if (x := self.weight(w))}
-        more = {w: x for t in disguised(text) if (w := self.restore(t)) not in words and (x := self.weight(w))}
-        weights = sorted([*found.values(), *more.values()], reverse=True)
+        text = folded(text.lower())
+        words = set(WORDS.findall(text))
+        found, hidden = [], {w for t in disguised(text) for w in self.restore(t)}
+        for x, others in map(self.known, words):
+            if x:
+                found.append(x)
+            elif others:
+                hidden |= others
+        more = [self.weight(w) for w in hidden - words]
+        weights = sorted([*found, *more], reverse=True)
         return (weights[0] if weights else 0.0), sum(weights[:8]), float(len(weights)), float(len(more))
 
 
@@ -170,7 +265,7 @@ def lexicon_of(texts: DataFrame) -> dict[str, float]:
         for batch in batches:
             seen = set()
             for t in batch["text"]:
-                words = WORDS.findall(t.lower()) if t else []
+                words = WORDS.findall(folded(t.lower())) if t else []
                 seen.update((w, b) for w, b in zip(words, ["", *words]) if 3 <= len(w) <= LONGEST)
             yield pd.DataFrame(sorted(seen), columns=["word", "before"]).astype(object)
 
@@ -184,7 +279,7 @@ def lexicon_of(texts: DataFrame) -> dict[str, float]:
         counts, n = Counter(), 0
         for batch in batches:
             for t in batch["text"]:
-                words = set(WORDS.findall(t.lower())) if t else ()
+                words = set(WORDS.findall(folded(t.lower()))) if t else ()
                 counts.update({e for w in words for e in entries(w) if e in some})
                 n += 1
         yield pd.DataFrame([*counts.items(), ("", n)], columns=["word", "n"])

@@ -304,6 +304,22 @@ def test_decoding_restores_words():
         assert toxicity.decode(token, lm) == word
 
 
+def test_every_disguise_reaches_the_lattice():
+    lexicon = {"moron": 5.0, "idiot": 5.0, "stupid": 5.0, "dumb": 5.0, "ugh": 5.0}
+    plain = "he is a man and so are you but this is not an offer of the day it was at the end " * 50
+    letter = np.zeros(256, np.int64)
+    letter[97:123] = range(1, 27)
+    x = letter[np.frombuffer(plain.encode(), np.uint8)]
+    scorer = toxicity.Scorer(lexicon, toxicity.model_of(np.bincount(x[:-2] * 729 + x[1:-1] * 27 + x[2:], minlength=27**3).astype(float), lexicon))
+    for text, n in (
+        ("is a s t u p i d man", 1), ("y o u i d i o t", 1), ("s t u p i d m o r o n", 2), ("d u m b.", 1), ("u g h", 1), ("st/upid", 1), ("s,t,u,p,i,d", 1),
+        ("stuupid", 1), ("st\u00fap!d", 1), ("stu\u0301p!d", 1), ("x" * 60 + "/" + "st*pid.".replace("*", "@").replace("@", "u*"), 1), ("nice-day," * 12 + "m0ron," + "good-day," * 12, 1),
+        ("he'll offer 1, 2, 3 and 4. and/or the end", 0), ("s" * 5000, 0), ("a-" * 5000, 0), ("0" * 200_000, 0), ("a" + "-" * 200_000, 0),
+    ):
+        assert scorer.features(text)[3] == n, text[:60]
+    assert scorer.features("st\u00fapid")[2] == 1
+
+
 # 8
 def shingles(t):
     w = t.lower().split()
