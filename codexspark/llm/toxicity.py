@@ -9,7 +9,7 @@ words before it (copies of a text add nothing) against the number of other train
 model turns a document's hits, plain and restored, into a score.
 
 Labels are learned only from the rows that `held_out` leaves, at most MOST_ROWS of them (a hash picks them; the tables of
-ids and words that go to every task are bounded by that and by LEXICON). Everything else covers all documents, in passes
+ids and words that go to every task are bounded by that: an entry needs several contexts in those rows). Everything else covers all documents, in passes
 without a shuffle of texts.
 
 Null and empty texts have no hits and get the base score; repeated rows get equal scores; conflicting labels of one id
@@ -20,10 +20,9 @@ count as 1; without labels of both kinds every score is 0.5; an empty table give
 from __future__ import annotations
 
 import functools
-import math
 import re
 import unicodedata
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +33,7 @@ from pyspark.sql import functions as F
 from codexspark.llm.shared import interpolated, isotonic, staged
 
 MOST_ROWS = 60_000  # labelled rows that are learned from
-CANDIDATES, LEXICON = 100_000, 5_000  # entries looked at, entries kept
+FLUSH = 200_000  # entries that a task counts before it hands them on
 LEAST, WEIGHT, SURE = 3, 1.5, 1.64  # an entry's contexts, its weight, and the standard errors taken off that
 STEMS = range(4, 9)  # letters of a beginning
 LONGEST = 40  # letters of a token that can be a word
@@ -273,29 +272,28 @@ def lexicon_of(texts: DataFrame) -> dict[str, float]:
     stems = F.expr(f"transform(filter(sequence({STEMS[0]}, {STEMS[-1]}), n -> n < length(word)), n -> concat(left(word, n), '*'))")
     contexts = toxic.groupBy("word").agg(F.count("*").alias("n")).select(F.explode(F.concat(F.array("word"), stems)).alias("word"), "n")
     found = contexts.groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST)
-    some = {r.word: r.n for r in found.orderBy(F.desc("n"), "word").limit(CANDIDATES).collect()}
 
     def ordinary(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts, n = Counter(), 0
+        counts = Counter()
         for batch in batches:
             for t in batch["text"]:
                 words = set(WORDS.findall(folded(t.lower()))) if t else ()
-                counts.update({e for w in words for e in entries(w) if e in some})
-                n += 1
-        yield pd.DataFrame([*counts.items(), ("", n)], columns=["word", "n"])
-
-    other = {w: n for w, n in texts.filter("y = 0").select("text").mapInPandas(ordinary, "word string, n long").groupBy("word").agg(F.sum("n")).collect()}
-    n_toxic, n_other = texts.filter("y = 1").count(), other.get("", 0)
+                counts.update({e for w in words if len(w) <= LONGEST for e in entries(w)})
+                if len(counts) > FLUSH:
+                    yield pd.DataFrame([*counts.items()], columns=["word", "b"])
+                    counts.clear()
+        yield pd.DataFrame([*counts.items()], columns=["word", "b"]).astype({"word": object, "b": "int64"})
+
+    sizes = dict(texts.groupBy("y").count().collect())
+    n_toxic, n_other = sizes.get(1, 0), sizes.get(0, 0)
     if not n_toxic or not n_other:
         return {}
-
-    def weight(w: str) -> float:
-        """Lower bound of the log odds: few contexts, or few other texts to tell from, count less."""
-        a, b = some[w] + 0.5, other.get(w, 0) + 0.5
-        return math.log(a / (n_toxic + 1)) - math.log(b / (n_other + 1)) - SURE * math.sqrt(1 / a + 1 / b)
-
-    weights = {w: round(x, 6) for w in some if (x := weight(w)) > WEIGHT}
-    return dict(sorted(weights.items(), key=lambda p: (-p[1], p[0]))[:LEXICON])
+    other = texts.filter("y = 0").select("text").mapInPandas(ordinary, "word string, b long").groupBy("word").agg(F.sum("b").alias("b"))
+    a, b = F.col("n") + 0.5, F.coalesce("b", F.lit(0)) + 0.5
+    # Lower bound of the log odds: few contexts, or few other texts to tell from, count less.
+    weight = F.log(a / (n_toxic + 1)) - F.log(b / (n_other + 1)) - SURE * F.sqrt(1 / a + 1 / b)
+    rows = found.join(other, "word", "left").select("word", F.round(weight, 6).alias("weight"), (weight > WEIGHT).alias("kept")).filter("kept")
+    return dict(sorted(((r.word, r.weight) for r in rows.collect()), key=lambda p: (-p[1], p[0])))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 50) -> np.ndarray:

@@ -320,6 +320,15 @@ def test_every_disguise_reaches_the_lattice():
     assert scorer.features("st\u00fapid")[2] == 1
 
 
+def test_rare_toxic_words_stay_in_the_lexicon(spark):
+    rng, common = random.Random(8), [f"{a}{b}{c}" for a in "bdfgk" for b in "aeiou" for c in "lmnrs"]
+    texts = [(" ".join(rng.choice(common) for _ in range(10)), 0) for _ in range(2000)]
+    rare = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(8)) for _ in range(6000)]
+    texts += [(" ".join(f"{rng.choice(common)} {w}" for w in rare[k::20] for _ in range(6)), 1) for k in range(20)]
+    lexicon = toxicity.lexicon_of(spark.createDataFrame(texts, "text string, y int").repartition(4))
+    assert all(w in lexicon for w in rare)
+
+
 # 8
 def shingles(t):
     w = t.lower().split()
