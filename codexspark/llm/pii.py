@@ -29,7 +29,7 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
-SECRET = re.compile(r"(?<![A-Za-z0-9])[A-Za-z0-9_/+-]{20,128}(?![A-Za-z0-9_/+-])")
+SECRET = re.compile(r"(?<![A-Za-z0-9])[A-Za-z0-9_/+-]{20,}+")
 
 #: kind: (score of a confirmed match, words that raise it, words that lower it)
 CONTEXT = {
@@ -91,8 +91,21 @@ def score(kind: str, text: str, start: int, end: int) -> float:
     return min(1.0, own + RAISE * any(w in near for w in up)) - LOWER * any(w in near for w in down)
 
 
+def accounts(text: str) -> Iterator[tuple[int, int]]:
+    """Account numbers, each up to its last group end that the checksum confirms: words behind it may look like groups."""
+    at = 0
+    while m := IBAN.search(text, at):
+        start, at = m.start(), m.start() + 4
+        for end in [m.end(), *(start + i for i in range(len(m[0]) - 1, 0, -1) if m[0][i] == " ")]:
+            account = text[start:end].replace(" ", "")
+            if 15 <= len(account) <= 34 and mod97(account):
+                yield start, end
+                at = end
+                break
+
+
 def added_spans(text: str) -> list[tuple[str, int, int, float]]:
-    found = [("iban", *m.span()) for m in IBAN.finditer(text) if 15 <= len(a := m[0].replace(" ", "")) <= 34 and mod97(a)]
+    found = [("iban", a, b) for a, b in accounts(text)]
     found += [("pan", *m.span()) for m in CARD.finditer(text) if 13 <= len(d := digits_of(m[0])) <= 15 and luhn(d)]
     found += [("ssn", *m.span()) for m in SSN.finditer(text)]
     taken = [(a, b) for _, a, b in found]  # what a checksum names is no secret as well
