@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from codexspark import plans
@@ -15,7 +16,7 @@ def plain(value):
         return tuple(value.tolist())
     if isinstance(value, list):
         return tuple(value)
-    if value is None or value != value:
+    if pd.isna(value):
         return None
     return int(value) if isinstance(value, float) and value == int(value) else value
 
