@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codexspark.sources.staging import dropped, staged
+
 #: White space of every word pattern here: a word is `[^\x20\x09-\x0D]+`. bytes.split() cuts at exactly these.
 SPACES = " \t\n\x0b\x0c\r"
 SPLIT = r"[\x20\x09-\x0D]+"
@@ -25,24 +24,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where the session names none (tests, local mode)."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = tempfile.mkdtemp(prefix="codexspark-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where
-
-
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it again: lineage ends there, so a lost executor
-    costs only what comes after. A unique name keeps concurrent runs apart; zstandard takes half of snappy's disk."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def words_of(text: str | None) -> list[bytes]:
     """Words of a text as UTF-8 bytes."""
     return text.encode("utf-8", "surrogatepass").split() if text else []

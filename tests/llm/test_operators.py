@@ -74,13 +74,31 @@ def plain_removed(rows):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("hot", [500, 1])
-def test_repeats_match_brute_force(docs, rows, monkeypatch, hot):
-    monkeypatch.setattr(repeats, "HOT", hot)
-    got = sorted(map(tuple, repeats.removed(docs).collect()), key=str)
+TIGHT = repeats.Limits(unit=20_000, held=60, flags=500, sent=300, hot=2, texts=7)
+
+
+@pytest.mark.parametrize("limits", [repeats.Limits(), repeats.Limits(unit=30_000), TIGHT])
+def test_repeats_match_brute_force(docs, rows, limits):
+    got = sorted(map(tuple, repeats.removed(docs, limits=limits).collect()), key=str)
+    assert got == plain_removed(rows)
+
+
+def test_hot_passages_match_brute_force(spark):
+    """Two passages in most texts, between words of their own, so their rims have a different context in each."""
+    rng = random.Random(5)
+    parts = [words(rng, 14), words(rng, 30)]
+    texts = [f"{words(rng, rng.randint(0, 12))} {rng.choice(parts)} {words(rng, rng.randint(0, 12))} {rng.choice(parts)}{'!' * rng.randint(0, 60)}" for _ in range(400)]
+    rows = [(1000 - i, t) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sorted(map(tuple, repeats.removed(docs, limits=TIGHT).collect()), key=str)
     assert got == plain_removed(rows)
 
 
+def test_what_is_left_is_given_as_bytes(docs, rows):
+    for r in repeats.removed(docs, with_text=True).collect():
+        assert hashlib.sha256(bytes(r.kept)).hexdigest() == r.kept_sha256 and len(r.kept) == r.n_bytes - r.n_removed
+
+
 def test_repeats_of_nothing(none):
     assert repeats.removed(none).collect() == []
 
@@ -101,15 +119,23 @@ def plain_maximal(texts, least):
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.text("ab", min_size=3, max_size=12), min_size=1, max_size=5))
-def test_maximal_repeats_are_all_found(texts):
-    texts = [t.encode() for t in texts]
-    old, repeats.LONG = repeats.LONG, 3
-    try:
-        got = {(n, tuple(sorted(zip(t.tolist(), s.tolist())))) for n, t, s in repeats.maximal_repeats(texts, 3)}
-    finally:
-        repeats.LONG = old
-    assert got == plain_maximal(texts, 3)
+@given(st.lists(st.tuples(st.text("ab", max_size=22), st.text("ab", max_size=22)).filter(lambda p: len(p[0] + p[1]) >= 22), min_size=1, max_size=6, unique=True))
+def test_maximal_repeats_are_all_found(sides):
+    gram = b"0123456789" * 2 + b"01234567"
+    pad = np.zeros((len(sides), 44), np.uint8)
+    for i, (x, y) in enumerate(sides):
+        pad[i, 22 - len(x) : 22], pad[i, 22 : 22 + len(y)] = list(x.encode()), list(y.encode())
+    left, right = (np.array([len(p[k]) for p in sides], np.uint8) for k in (0, 1))
+    at = np.arange(len(sides))
+    c = repeats.Contexts(np.full(len(sides), 7, np.uint64), at.astype(np.uint64), at, at + 100, left, right, pad)
+    got = set()
+    for group, size, context, start in repeats.maximal_repeats(c):
+        for g in set(group.tolist()):
+            of = group == g
+            begin = start[of] - (22 - left[context[of]].astype(int))
+            if len(set(c.side[i, s - 1] if s > 22 - left[i] else -1 - i for i, s in zip(context[of].tolist(), start[of].tolist()))) > 1:
+                got.add((int(size[of][0]), tuple(sorted(zip(context[of].tolist(), begin.tolist())))))
+    assert got == plain_maximal([x.encode() + gram + y.encode() for x, y in sides], 50)
 
 
 # 2
