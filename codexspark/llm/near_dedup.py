@@ -11,6 +11,11 @@ chunks, the others meet every chunk, and signatures are compared inside the task
 partner in another component; the last confirms all pairs that are left, in the task where they meet first, so that no
 link between different texts is lost.
 
+A bucket whose other members are too many for that (texts that share boilerplate, but are not alike) is split by finer keys:
+sets at 0.75 share one of the first quarter (and one) of their shingles in any common order, here from rare to frequent, so
+each member goes to the buckets of those instead, where boilerplate comes last. That loses no pair. What is still
+too large after that is dealt over a grid of chunks of which a task sees two.
+
 A shingle set has the distinct runs of five words (`[^\\x20\\x09-\\x0D]+`, A-Z lower-cased), or the whole of fewer words.
 Texts without words, null ones too, are linked with nothing; a null doc_id has no component and is kept; rows that repeat
 a doc_id count as one document with all their links; an empty table gives an empty result; other columns are not read.
@@ -28,14 +33,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codexspark.llm.shared import staged
+from codexspark.llm.shared import dropped, given_back, staged
 
 SIZE, NEAR = 5, 0.75
 ROWS, BANDS = 4, 32
 MINIMA = ROWS * BANDS
 BATCH = 16  # signature bytes compared at a time
 MISS = 1e-6
-CHUNK = 512  # members of a bucket's largest component that are compared in one task
+CHUNK = 512  # members of a bucket (long texts count more) that are dealt to one task
+HEAVY = 4096  # shingles that count as a member
+SLOTS = 20  # bits of the table of shingle frequencies: 2 ** 20 counters at most reach the driver
 WORDS = 200_000  # word hashes that a worker remembers
 MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -102,6 +109,8 @@ def signed(docs: DataFrame) -> DataFrame:
             out = pd.DataFrame(rows, columns=["n_shingles", "digest", "bands", "sig"])
             out.insert(0, "doc_id", batch["doc_id"].array)
             yield out
+        del shingles
+        given_back()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(sign, "doc_id long, n_shingles long, digest string, bands array<long>, sig binary")
 
@@ -166,6 +175,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 both = len(np.intersect1d(s, t, assume_unique=True))
                 keep.append(100 * both >= 75 * (len(s) + len(t) - both))
             yield p[["a", "b"]][np.array(keep, bool)]
+        given_back()
 
     return pairs.mapInPandas(confirm, "a long, b long").distinct()
 
@@ -181,9 +191,11 @@ def components(edges: DataFrame) -> DataFrame:
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         large = staged(large, "large-star")
+        dropped(edges)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = staged(small.unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct(), "small-star")
+        dropped(large)
         after = mark(edges)
         if after == before:
             break
@@ -191,55 +203,98 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
-def dealt(members: DataFrame, reps: DataFrame, labels: DataFrame) -> DataFrame:
-    """(key, chunk, rep, component, inner, home, n_shingles, sig, bands) for buckets (key, rep) that hold several
-    components. A bucket's largest component is dealt over chunks (inner), the other members go to every chunk."""
-    own = members.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left")
+def weighed(members: DataFrame, reps: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, rep, component, n_shingles, outside, weight, inner) for members of buckets that hold several components: the
+    weights of the whole bucket and of all outside its largest component."""
+    own = members.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").join(reps.select("rep", "n_shingles"), "rep")
     own = own.withColumn("component", F.coalesce("component", "rep"))
-    parts = own.groupBy("key", "component").agg(F.count("*").alias("n"))
-    open_ = parts.groupBy("key").agg(F.count("*").alias("parts"), F.sum("n").alias("members"), F.max(F.struct("n", "component"))["component"].alias("major")).filter("parts > 1")
-    own = own.join(open_.select("key", "members", "major"), "key").join(reps.select("rep", "n_shingles", "sig", "bands"), "rep")
-    chunks = F.ceil(F.col("members") / CHUNK).cast("int")
-    home = F.pmod(F.xxhash64("rep"), chunks).cast("int")
-    inner = F.col("component") == F.col("major")
-    chunk = F.explode(F.when(inner, F.array(home)).otherwise(F.sequence(F.lit(0), chunks - 1)))
-    return own.select("key", "rep", "component", "n_shingles", "sig", "bands", inner.alias("inner"), home.alias("home"), chunk.alias("chunk"))
+    parts = own.groupBy("key", "component").agg(F.count("*").alias("n"), F.sum(1 + F.col("n_shingles") / HEAVY).alias("w"))
+    major = F.max(F.struct("w", "component"))
+    open_ = parts.groupBy("key").agg(F.count("*").alias("parts"), F.sum("w").alias("weight"), (F.sum("w") - major["w"]).alias("outside"), major["component"].alias("major")).filter("parts > 1")
+    return own.join(open_.drop("parts"), "key").withColumn("inner", F.col("component") == F.col("major")).drop("major")
+
+
+def dealt(members: DataFrame, reps: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, cell, rep, component, inner, grid, home, n_shingles, sig, bands) for buckets (key, rep) that hold several
+    components. A bucket's largest component is dealt over chunks (inner), the other members go to every chunk; if those are
+    more than a chunk, all members go to the cells of a grid in which their chunk meets another."""
+    own = weighed(members, reps, labels).join(reps.select("rep", "sig", "bands"), "rep")
+    chunks, grid = F.ceil(F.col("weight") / CHUNK).cast("long"), F.col("outside") > CHUNK
+    home = F.pmod(F.xxhash64("rep"), chunks)
+    every = F.sequence(F.lit(0).cast("long"), chunks - 1)
+    cells = F.when(grid, F.transform(every, lambda k: F.least(k, home) * chunks + F.greatest(k, home))).when(F.col("inner"), F.array(home)).otherwise(every)
+    return own.select("key", "rep", "component", "n_shingles", "sig", "bands", "inner", grid.alias("grid"), home.alias("home"), F.explode(cells).alias("cell"))
 
 
 class Group:
-    """One chunk of a bucket: which members may be linked across components."""
+    """One cell of a bucket: which members may be linked across components."""
 
     def __init__(self, rows: pd.DataFrame):
-        self.rep, self.part, self.n = (rows[c].to_numpy() for c in ("rep", "component", "n_shingles"))
+        self.rep, self.part, self.n, self.home = (rows[c].to_numpy() for c in ("rep", "component", "n_shingles", "home"))
         self.sig, self.bands = signatures(rows["sig"]), np.stack(rows["bands"].to_numpy())
         inner, key = rows["inner"].to_numpy(), rows["key"].iloc[0]
         self.outer = np.flatnonzero(~inner)
-        self.meets = inner | (rows["home"].to_numpy() == rows["chunk"].to_numpy())  # so that each pair meets in one chunk
-        self.band = int(np.flatnonzero(self.bands[0] == key)[0])
+        self.across = bool(rows["grid"].iloc[0]) and self.home.min() != self.home.max()
+        #: So that each pair meets in one cell only.
+        self.meets = np.ones(len(rows), bool) if rows["grid"].iloc[0] else inner | (self.home == rows["cell"].to_numpy())
+        at = np.flatnonzero(self.bands[0] == key)
+        self.band = int(at[0]) if len(at) else 0  # 0: a finer key, which no band has
 
     def partners(self, i: int) -> np.ndarray:
         """Members of other components that the signatures allow, if this is the first bucket that both are in."""
-        j = np.flatnonzero(self.meets & (self.part != self.part[i]))
+        j = np.flatnonzero(self.meets & (self.part != self.part[i]) & ((self.home != self.home[i]) | (not self.across)))
         j = j[likely(np.broadcast_to(self.sig[i], (len(j), MINIMA)), self.sig[j], np.full(len(j), self.n[i]), self.n[j])]
         return j[(self.bands[j, : self.band] != self.bands[i, : self.band]).all(1)]
 
 
+def rare_first(pool: DataFrame) -> DataFrame:
+    """(rep, key): keys of the first n - ceil(0.75 n) + 1 shingles of each text of pool (rep, text), in the order of how often
+    the slot of their hash occurs in pool, then of the hash. Two sets at 0.75 or more share one of them, whatever the order;
+    this one keeps what many texts have for last."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shingles, sums = Shingles(), np.zeros(1 << SLOTS, np.int64)
+        for batch in batches:
+            for text in batch["text"]:
+                np.add.at(sums, shingles(text) >> np.uint64(64 - SLOTS), 1)
+        at = np.flatnonzero(sums)
+        yield pd.DataFrame({"slot": at, "n": sums[at]})
+
+    often = np.zeros(1 << SLOTS, np.int64)
+    found = pool.select("text").mapInPandas(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    often[found["slot"].to_numpy()] = found["n"].to_numpy()
+
+    def name(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shingles = Shingles()
+        for batch in batches:
+            reps, keys = [], []
+            for rep, text in zip(batch["rep"].tolist(), batch["text"]):
+                s = shingles(text)
+                first = s[np.lexsort((s, often[s >> np.uint64(64 - SLOTS)]))][: len(s) - (3 * len(s) + 3) // 4 + 1]
+                reps.append(np.full(len(first), rep))
+                keys.append(mixed(first + PLACES[1]).view(np.int64))
+            yield pd.DataFrame({"rep": np.concatenate(reps), "key": np.concatenate(keys)}) if reps else pd.DataFrame({"rep": [], "key": []}, dtype="int64")
+
+    return pool.mapInPandas(name, "rep long, key long")
+
+
 def by_group(rows: DataFrame, work, result: str) -> DataFrame:
-    """work(rows of one key and chunk) for each of them, in one pass over sorted partitions."""
+    """work(rows of one key and cell) for each of them, in one pass over sorted partitions."""
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
         for batch in batches:
             batch = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-            key, chunk = batch["key"].to_numpy(), batch["chunk"].to_numpy()
-            cuts = np.r_[0, np.flatnonzero((key[1:] != key[:-1]) | (chunk[1:] != chunk[:-1])) + 1]
+            key, cell = batch["key"].to_numpy(), batch["cell"].to_numpy()
+            cuts = np.r_[0, np.flatnonzero((key[1:] != key[:-1]) | (cell[1:] != cell[:-1])) + 1]
             for i, j in zip(cuts, cuts[1:]):
                 yield from work(batch.iloc[i:j])
             rest = batch.iloc[cuts[-1] :] if len(batch) else None
         if rest is not None and len(rest):
             yield from work(rest)
+        given_back()
 
-    return rows.repartition("key", "chunk").sortWithinPartitions("key", "chunk").mapInPandas(walk, result)
+    return rows.repartition("key", "cell").sortWithinPartitions("key", "cell").mapInPandas(walk, result)
 
 
 def one_each(groups: DataFrame) -> DataFrame:
@@ -260,7 +315,7 @@ def one_each(groups: DataFrame) -> DataFrame:
 def all_left(groups: DataFrame, texts: DataFrame) -> DataFrame:
     """Links (a, b) that are left in any group. Members with a likely partner fetch their text; pairs are then confirmed
     where they meet, so what is exchanged grows with the members, not with their pairs."""
-    columns = "key long, rep long, component long, n_shingles long, sig binary, bands array<long>, inner boolean, home int, chunk int"
+    columns = "key long, rep long, component long, n_shingles long, sig binary, bands array<long>, inner boolean, grid boolean, home long, cell long"
 
     def needed(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
         g, used = Group(rows), np.zeros(len(rows), bool)
@@ -295,26 +350,48 @@ def all_left(groups: DataFrame, texts: DataFrame) -> DataFrame:
     return by_group(rows.join(texts.select(F.col("doc_id").alias("rep"), "text"), "rep"), confirm, "a long, b long").distinct()
 
 
+def buckets(keys: DataFrame) -> DataFrame:
+    """(key, rep, center) of (key, rep) where a key has several members; center is the smallest."""
+    live = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("center")).filter("n > 1")
+    return staged(keys.join(live, "key").select("key", "rep", "center"), "buckets", release=True)
+
+
+def starred(members: DataFrame, reps: DataFrame, texts: DataFrame, tried: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(tried, links): pairs of each bucket's members with its center, and those of them that are links."""
+    stars = members.filter("rep <> center").select(F.col("center").alias("a"), F.col("rep").alias("b")).distinct()
+    if tried is not None:
+        stars = stars.join(tried, ["a", "b"], "left_anti")
+    new = staged(pruned(stars, reps), "tried")
+    return new, staged(confirmed(new, texts), "confirmed", release=True)
+
+
+def extended(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels (node, component) with more links (a, b)."""
+    return labels if links.isEmpty() else components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links))
+
+
 def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, classes, labels): rows (doc_id, n_shingles, digest), classes (digest, rep), labels (node, component)."""
     rows = staged(signed(docs), "signatures")
     first = F.min(F.struct(F.col("doc_id").alias("rep"), "n_shingles", "bands", "sig")).alias("first")
-    reps = staged(rows.filter("digest is not null and doc_id is not null").groupBy("digest").agg(first).select("digest", "first.*"), "classes")
-    keys = reps.select("rep", F.explode("bands").alias("key"))
-    live = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("center")).filter("n > 1")
-    members = staged(keys.join(live, "key").select("key", "rep", "center"), "buckets")
-    stars = members.filter("rep <> center").select(F.col("center").alias("a"), F.col("rep").alias("b")).distinct()
+    reps = staged(rows.filter("digest is not null and doc_id is not null").groupBy("digest").agg(first).select("digest", "first.*"), "classes", release=True)
+    members = buckets(reps.select("rep", F.explode("bands").alias("key")))
     involved = members.select(F.col("rep").alias("doc_id")).distinct()
-    texts = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(involved, "doc_id"), "texts")
-    tried = staged(pruned(stars, reps), "tried")
-    links = staged(confirmed(tried, texts), "confirmed")
+    texts = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(involved, "doc_id"), "texts", release=True)
+    tried, links = starred(members, reps, texts)
     labels = components(links)
+    hot = staged(weighed(members, reps, labels).filter(F.col("outside") > CHUNK).select("key", "rep"), "hot")
+    if not hot.isEmpty():
+        pool = staged(texts.select(F.col("doc_id").alias("rep"), "text").join(hot.select("rep").distinct(), "rep"), "hot-texts", release=True)
+        fine = buckets(rare_first(pool))
+        more, links = starred(fine, reps, texts, tried)
+        labels, tried = extended(labels, links), tried.unionByName(more)
+        members = members.join(hot.select("key").distinct(), "key", "left_anti").unionByName(fine)
     for left in (False, True):
         groups = dealt(members.select("key", "rep"), reps, labels)
         new = all_left(groups, texts) if left else confirmed(staged(one_each(groups).join(tried, ["a", "b"], "left_anti"), "tried"), texts)
-        new = staged(new, "confirmed")
-        if not new.isEmpty():
-            labels = components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(new))
+        labels = extended(labels, staged(new, "confirmed", release=True))
+    dropped(texts)
     return rows.select("doc_id", "n_shingles", "digest"), reps.select("digest", "rep"), labels
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +18,7 @@ SPLIT = r"[\x20\x09-\x0D]+"
 def prepare(spark: SparkSession) -> SparkSession:
     """Bound the Arrow batches handed to Python by rows and bytes, so that very long texts can't fill a worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
     return spark
 
 
@@ -24,6 +26,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def given_back() -> None:
+    """Hand memory that is free again to the system: a Python worker lives on, and the stages after this one share its
+    executor. Does nothing where the C library can't."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def words_of(text: str | None) -> list[bytes]:
     """Words of a text as UTF-8 bytes."""
     return text.encode("utf-8", "surrogatepass").split() if text else []
