@@ -1,11 +1,11 @@
 """SentencePiece encoding and decoding with a given model: batched numpy Viterbi.
 
 Distinct words of a batch are grouped by length and advance together, one character at a time. The hashes of all
-substrings probe the sorted hashes of the pieces; at each position a vectorised maximum over the candidate lengths
-stores the backpointer. A unigram model's maximum is over summed scores. A BPE model's scores are merge ranks, not log
-probabilities, so the best sum is not what the model encodes; there the maximum runs over the candidates that are
-admissible after the one before, which are the pairs that merging would leave apart. That gives exactly the model's own
-ids (see `admissible`).
+substrings probe the sorted hashes of the pieces; at each position a vectorised maximum over the sums of the candidate
+lengths stores the backpointer. A unigram model's pieces add their scores and pairs nothing. A BPE model's scores are merge
+ranks, not log probabilities, so its pieces add nothing and its pairs add 0, or minus infinity if merging would not leave
+them apart (see `admissible`): of the candidates that end at a place exactly one has a finite sum, and the path of the
+maximum is exactly what the model encodes.
 
 Texts are normalised as the model says (identity with space written as U+2581 and a leading one added); unknown
 characters fall back to byte pieces where the model has them, to its unknown piece where not.
@@ -28,14 +28,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codexspark.llm.shared import given_back
+
 SPACE = "▁"
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 MIX = np.uint64(0xD6E8FEB86659FD93)
 NONE, UNKNOWN = -1, -2
-CELLS = 1 << 18  # characters that advance together
+CELLS = 1 << 16  # characters that advance together
 TEXT = 1 << 20
-CACHE = 200_000  # words in each of two generations that a worker remembers
-BITS, PAIR_BITS = 20, 21  # of the tables that hashes and pairs are looked up in first
+CACHE = 60_000  # words in each of two generations that a worker remembers
+BITS, PAIR_BITS = 18, 20  # of the tables that hashes and pairs are looked up in first
 FAR = np.int64(1) << np.int64(40)
 
 
@@ -79,7 +81,7 @@ class Model:
             for c in p:
                 h = (h * int(BASE) + ord(c)) & 0xFFFFFFFFFFFFFFFF
             self.score[i], self.hash[i], self.chars[i] = s, h, len(p)
-        ids = np.array([i for i, _, _ in normal])
+        ids = np.array([i for i, _, _ in normal], np.int32)
         keys = self.hash[ids] * MIX + self.chars[ids].astype(np.uint64)
         order = np.argsort(keys)
         self.keys, self.ids = keys[order], ids[order]
@@ -93,12 +95,20 @@ class Model:
         self.usable = np.ones(size, bool)
         if self.bpe:
             self.trees(normal, size)
+        #: What a piece adds to a path; index UNKNOWN, the last but one, is an unknown character.
+        self.gain = np.zeros(size + 2)
+        if not self.bpe:
+            self.gain[:size], self.gain[UNKNOWN] = self.score, self.score.min() - 10
         #: Where a word surely ends: before a run of spaces, unless a piece reaches over that.
         joined = any(re.search(f"[^{SPACE}]{SPACE}", p) for _, p, _ in normal)
         #: Marks that no piece has after a letter: a word surely ends before them.
         self.ends = "".join(c for c in string.punctuation if not any(re.search(rf"[^\W\d_]{re.escape(c)}", p) for _, p, _ in normal))
         self.simple = not joined and not any("\n" in p for _, p, _ in normal)
         self.units = re.compile(r"(?s).+" if joined else f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
+        #: Words without such marks; what stands before the marks at a word's end; those, and all other words; what is left.
+        ends = re.escape(self.ends)
+        marks = f"[{ends}]++(?![^ \n])" if ends else "(?!)"
+        self.fast = re.compile(rf" ?[^ \n{ends}]++(?![^ \n])| ?[^ \n]*[^\W\d_](?={marks})| ?[^ \n]+|\n| ")
         raw = [b""] * size
         for i, p, _ in normal:
             raw[i] = p.encode()
@@ -148,7 +158,7 @@ class Model:
 
         def edge(side: int) -> np.ndarray:
             """For each piece the ids along one edge, from the whole inwards; NONE after the last."""
-            out = np.full((size, self.longest), NONE, np.int64)
+            out = np.full((size, self.longest), NONE, np.int32)
             for i, _, _ in normal:
                 at, x = 0, i
                 while True:
@@ -215,27 +225,29 @@ class Model:
         order = np.argsort(end, kind="stable")
         word, size, piece = word[order], size[order], piece[order]
         steps = np.searchsorted(end[order], np.arange(1, length + 2))
-        best = np.zeros((n, length + 1))
-        last = np.full((n, length + 1), NONE, np.int64)
-        sizes = np.zeros((n, length + 1), np.int64)
-        worst = float(self.score.min()) - 10
+        best = np.full((n, length + 1), -np.inf)
+        best[:, 0] = 0
+        last = np.full((n, length + 1), NONE, np.int32)
+        sizes = np.zeros((n, length + 1), np.int32)
         for i in range(1, length + 1):
             part = slice(steps[i - 1], steps[i])
             w, l, ids = word[part], size[part], piece[part]
-            if self.bpe:
-                before = last[w, i - l]
-                both = np.flatnonzero((before >= 0) & (ids >= 0))
-                fits = (before != NONE) | (l == i)
-                fits[both] &= self.allowed(before[both], ids[both])
-                w, l, ids = w[fits], l[fits], ids[fits]  # of several the longest comes last
-            else:
-                total = best[w, i - l] + np.where(ids == UNKNOWN, worst, self.score[ids])
-                up = np.argsort(total, kind="stable")
-                w, l, ids = w[up], l[up], ids[up]
-                best[w, i] = total[up]
-            last[w, i], sizes[w, i] = ids, l
+            total = best[w, i - l] + self.gain[ids] + self.pair_gain(last[w, i - l], ids)
+            finite = np.flatnonzero(total > -np.inf)
+            up = finite[np.argsort(total[finite], kind="stable")]  # of a word's candidates the greatest comes last
+            w, l, ids = w[up], l[up], ids[up]
+            best[w, i], last[w, i], sizes[w, i] = total[up], ids, l
         return last, sizes
 
+    def pair_gain(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """What piece b adds to a path that ends with a, besides its own score. Unknown characters join nothing; NONE is the
+        beginning."""
+        out = np.zeros(len(a))
+        if self.bpe:
+            both = np.flatnonzero((a >= 0) & (b >= 0))
+            out[both] = np.where(self.allowed(a[both], b[both]), 0.0, -np.inf)
+        return out
+
     def fallback(self, c: str) -> list[int]:
         return [self.byte[b] for b in c.encode("utf-8", "surrogatepass")] if self.byte else [self.unknown]
 
@@ -246,7 +258,8 @@ class Model:
             step = max(1, CELLS // length)
             for at in range(0, len(group), step):
                 part = group[at : at + step]
-                codes = np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(part), length)
+                joined = "".join(part).replace(" ", SPACE)
+                codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(part), length)
                 last, size = self.viterbi(codes)
                 rows = np.arange(len(part))
                 ids = np.full((len(part), length), NONE, np.int32)
@@ -263,11 +276,11 @@ class Model:
                 for word, a, b in zip(part, [0, *ends], ends):
                     self.cache[word] = flat[a:b]
                 for i in np.flatnonzero(strange).tolist():
-                    out, k, word = [], length, part[i]
+                    out, k, word = [], length, part[i].replace(" ", SPACE)
                     while k:
                         out.append([int(last[i, k])] if last[i, k] >= 0 else self.fallback(word[k - 1]))
                         k -= int(size[i, k])
-                    self.cache[word] = np.array([x for o in reversed(out) for x in o], np.int32).tobytes()
+                    self.cache[part[i]] = np.array([x for o in reversed(out) for x in o], np.int32).tobytes()
 
     def normal(self, text: str) -> str:
         return ((SPACE if self.prefix else "") + text.replace(" ", SPACE)) if text else ""
@@ -277,25 +290,7 @@ class Model:
         and before marks after a word, gives the same, faster, and finds more words again."""
         if not self.simple or not self.prefix or not text or text[0] == " " or "  " in text or SPACE in text:
             return self.units.findall(self.normal(text))
-        out, ends = [], self.ends
-        for i, line in enumerate(text.split("\n")):
-            if i:
-                out.append("\n")
-            words = line.split(" ")
-            if i and not words[0]:
-                del words[0]
-                bare = False
-            else:
-                bare = i > 0
-            for w in words:
-                unit = w if bare else SPACE + w
-                bare = False
-                if w and w[-1] in ends and (part := w.rstrip(ends)) and part[-1].isalpha():
-                    out.append(unit[: len(part) - len(w)])
-                    out.append(w[len(part) :])
-                else:
-                    out.append(unit)
-        return out
+        return self.fast.findall(f" {text}")
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text; about TEXT characters of them are in work at a time."""
@@ -310,18 +305,18 @@ class Model:
 
     def encode_part(self, texts: list[str]) -> list[np.ndarray]:
         cut = [self.cut(t) for t in texts]
-        found = [list(map(self.cache.get, units)) for units in cut]
-        new = {u for units, ids in zip(cut, found) if None in ids for u, i in zip(units, ids) if i is None}
+        units = set(itertools.chain.from_iterable(cut))
+        known = self.cache
+        new = [u for u in units if u not in known]
+        if len(known) + len(new) > CACHE:  # words of this part stay
+            self.older, self.cache = known, {u: known[u] for u in units if u in known}
+            known = self.cache
         if new:
-            again = new & self.older.keys()
-            if len(self.cache) + len(new) > CACHE:  # words used since the last time stay
-                self.older, self.cache = {u: i for units, ids in zip(cut, found) for u, i in zip(units, ids) if i} | self.cache, {}
-            self.cache |= {u: self.older[u] for u in again if u in self.older}
-            self.learn(list(new - self.cache.keys()))
-            for at, (units, ids) in enumerate(zip(cut, found)):
-                if None in ids:
-                    found[at] = [self.cache[u] if i is None else i for u, i in zip(units, ids)]
-        return [np.frombuffer(b"".join(ids), np.int32) for ids in found]
+            older = self.older
+            known.update({u: older[u] for u in new if u in older})
+            self.learn([u for u in new if u not in known])
+        get = known.__getitem__
+        return [np.frombuffer(b"".join(map(get, x)), np.int32) for x in cut]
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids: pieces and bytes joined, U+2581 as space, the added leading space dropped."""
@@ -369,6 +364,7 @@ def encoded(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
             null = [not isinstance(t, str) for t in texts]
             have = ["" if n else t for t, n in zip(texts, null)]
             ids = m.encode(have)
+            given_back()
             same = [None if n else m.decode(i) == t.replace(SPACE, " ") for i, t, n in zip(ids, have, null)]
             yield pd.DataFrame({"n_tokens": [len(i) for i in ids], "ids": pd.Series([None if n else i for i, n in zip(ids, null)], dtype=object), "round_trip": pd.Series(same, dtype=object)})
 
