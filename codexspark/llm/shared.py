@@ -16,7 +16,8 @@ SPLIT = r"[\x20\x09-\x0D]+"
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Bound the Arrow batches handed to Python by rows and bytes, so that very long texts can't fill a worker."""
+    """Bound the Arrow batches handed to Python by rows and bytes, so that very long texts can't fill a worker. This is a
+    setting of the session: it holds for all queries after this one, and changes no results."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
     return spark

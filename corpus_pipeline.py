@@ -7,6 +7,7 @@ columns of documents. Null and empty texts, ties, repeated rows and empty tables
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +18,7 @@ from codexspark.llm.shared import prepare, staged
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that the compression bands and the base rule keep."""
+    """Rows that the table's compression bands and the base rule keep."""
     return quality_rules.filter_quality(docs)
 
 
@@ -41,18 +42,28 @@ def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return pieces.encoded(docs, tokenizer_file("piece_bpe_32k.model"))
 
 
+def bounded(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """The stage with Arrow batches bounded by rows and bytes, whoever calls it and in whatever session."""
+
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        return stage(prepare(spark), docs, sf_dir)
+
+    return run_stage
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("quality_rules", keep_quality),
-    ("near_dedup", drop_near_duplicates),
-    ("pii", mask_personal_data),
-    ("mixing", mix_sources),
-    ("pieces", encode_pieces),
+    ("quality_rules", bounded(keep_quality)),
+    ("near_dedup", bounded(drop_near_duplicates)),
+    ("pii", bounded(mask_personal_data)),
+    ("mixing", bounded(mix_sources)),
+    ("pieces", bounded(encode_pieces)),
 ]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages applied to documents, each result written and read again."""
-    docs = prepare(spark).read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)
