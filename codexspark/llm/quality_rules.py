@@ -1,8 +1,11 @@
 """Quality rules: compression bands.
 
 Zstandard ratios of the whole document and of fixed chunks are held against limits for their length. A ratio below
-its band means repetition, above it text that hardly compresses (random strings, encoded data). Everything is
-computed in one pass over a row: no shuffle, memory bounded by the Arrow batch and one text.
+its band means repetition, above it text that hardly compresses (random strings, encoded data). The limits come from the
+table itself, without labels: one pass takes the median and the upper quartile of the ratios of all texts in each class of
+length (half octaves of bytes), and the band reaches a few times their distance to either side. A class's limits are drawn
+towards fixed wide ones by PRIOR rows, so few rows decide little. The second pass judges each row alone: no shuffle of texts,
+memory bounded by the Arrow batch and one text.
 
 Nulls and empty texts have no words and fail the base rule; ties and repeated rows are judged alike, each row alone;
 an empty table gives an empty result; extra columns never meet the operator, which reads doc_id and text only.
@@ -11,7 +14,7 @@ an empty table gives an empty result; extra columns never meet the operator, whi
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -27,18 +30,17 @@ RESULT = (
 )
 
 
+#: (up to so many bytes, lowest ratio, highest ratio) before a table is looked at: short texts carry the frame's overhead and
+#: less context, so their band lies higher.
+WIDE = ((256, 0.40, 1.60), (1024, 0.32, 0.95), (4096, 0.27, 0.80), (float("inf"), 0.22, 0.72))
+PRIOR = 20  # rows that the fixed limits count as
+DOWN, UP = 4.0, 6.0  # reach of a band, in distances from the median to the upper quartile
+LEAST_DOWN, LEAST_UP = 0.06, 0.25  # and at least, in parts of the median
+
+
 @dataclass(frozen=True)
 class Bands:
-    """(up to so many bytes, lowest ratio, highest ratio): short texts carry the frame's overhead and less context,
-    so their band lies higher. Under min_bytes a ratio says nothing and passes."""
-
-    limits: tuple[tuple[float, float, float], ...] = (
-        (256, 0.40, 1.60),
-        (1024, 0.32, 0.95),
-        (4096, 0.27, 0.80),
-        (float("inf"), 0.22, 0.72),
-    )
-    min_bytes: int = 64
+    limits: tuple[tuple[float, float, float], ...] = WIDE
     chunk: int = 4096
     #: A document fails if more than this share of its chunks lie outside their band on one side.
     chunk_share: float = 0.34
@@ -48,6 +50,34 @@ class Bands:
         return next((low, high) for most, low, high in self.limits if n <= most)
 
 
+def length_class(n: int) -> int:
+    """Half octaves of bytes: class c has those above 2 ** (c / 2), up to 2 ** ((c + 1) / 2)."""
+    return int(np.ceil(2 * np.log2(n))) - 1
+
+
+def fitted_bands(docs: DataFrame, text: str = "text", bands: Bands = Bands()) -> Bands:
+    """Bands from the ratios of all texts of a table; the driver sees three numbers for each class of length."""
+
+    @F.pandas_udf("class int, ratio double")
+    def ratios(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        zstd = zstandard.ZstdCompressor(level=bands.level, write_content_size=False)
+        for texts in batches:
+            data = [t.encode("utf-8", "surrogatepass") if isinstance(t, str) else b"" for t in texts]
+            yield pd.DataFrame({"class": [length_class(len(x)) if x else None for x in data], "ratio": [len(zstd.compress(x)) / len(x) if x else None for x in data]}).astype({"class": "Int32", "ratio": "float64"})
+
+    found = docs.filter(F.length(text) > 0).select(ratios(F.col(text)).alias("r")).select("r.*")
+    found = found.groupBy("class").agg(F.count("*").alias("n"), F.percentile_approx("ratio", [0.5, 0.75], 10_000).alias("q"))
+    limits = []
+    for row in sorted(found.collect(), key=lambda r: r["class"]):
+        (middle, upper), most = row["q"], 2 ** ((row["class"] + 1) / 2)
+        down, up = max(DOWN * (upper - middle), LEAST_DOWN * middle), max(UP * (upper - middle), LEAST_UP * middle)
+        low, high = bands.of(most)
+        share = row["n"] / (row["n"] + PRIOR)
+        limits += [(2 ** (row["class"] / 2), *bands.of(most)), (most, share * (middle - down) + (1 - share) * low, share * (middle + up) + (1 - share) * high)]
+    gaps = {m: (m, a, b) for m, a, b in reversed([*limits, *bands.limits])}  # a class's own limits come before the fixed ones
+    return replace(bands, limits=tuple(gaps[m] for m in sorted(gaps)))
+
+
 def repeat_words(words: list[bytes], window: int = WINDOW) -> int:
     """Words that lie in a window of so many words (a power of two) found twice or more in the text. Windows are
     named exactly by doubling: ids of halves make ids of wholes, so no hash can collide."""
@@ -84,15 +114,13 @@ def judge(text: str | None, bands: Bands, zstd: zstandard.ZstdCompressor) -> tup
     ratio, chunks, low, high, fits = None, 0, 0, 0, True
     if data:
         ratio = packed(data)
-        if len(data) >= bands.min_bytes:
-            least, most = bands.of(len(data))
-            fits = least <= ratio <= most
+        least, most = bands.of(len(data))
+        fits = least <= ratio <= most
         if len(data) > bands.chunk:
             for at in range(0, len(data), bands.chunk):
                 part = data[at : at + bands.chunk]
-                if len(part) >= bands.min_bytes:
-                    (least, most), r = bands.of(len(part)), packed(part)
-                    chunks, low, high = chunks + 1, low + (r < least), high + (r > most)
+                (least, most), r = bands.of(len(part)), packed(part)
+                chunks, low, high = chunks + 1, low + (r < least), high + (r > most)
             fits = fits and max(low, high) <= bands.chunk_share * chunks
     return n_words, word_chars, symbols, len(lines) - len(set(lines)), repeated, ratio, chunks, low, high, base_failed, fits and not base_failed
 
@@ -111,6 +139,6 @@ def quality_rules(docs: DataFrame, text: str = "text", bands: Bands = Bands(), o
     return docs.withColumn(out, rules(F.col(text)))
 
 
-def filter_quality(docs: DataFrame, bands: Bands = Bands()) -> DataFrame:
-    """The rows of docs that pass, with their own columns only."""
-    return quality_rules(docs, "text", bands, "__rules").filter("__rules.kept").drop("__rules")
+def filter_quality(docs: DataFrame, bands: Bands | None = None) -> DataFrame:
+    """The rows of docs that pass, with their own columns only; the bands are the table's own if none are given."""
+    return quality_rules(docs, "text", bands or fitted_bands(docs), "__rules").filter("__rules.kept").drop("__rules")

@@ -134,7 +134,7 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return quality_rules.quality_rules(docs).select("doc_id", "rules.*")
+    return quality_rules.quality_rules(docs, bands=quality_rules.fitted_bands(docs)).select("doc_id", "rules.*")
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
