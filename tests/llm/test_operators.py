@@ -151,6 +151,20 @@ def test_pieces_equal_the_library():
         assert m.decode(ids) == text
 
 
+def test_of_the_candidates_at_a_place_one_has_a_finite_sum():
+    m = pieces.model(PIECES)
+    rng = random.Random(9)
+    rows = ["▁" + "".join(rng.choice("abdehilnorst.,") for _ in range(11)) for _ in range(300)]
+    codes = np.array([[ord(c) for c in w] for w in rows], np.uint32)
+    last, sizes = m.viterbi(codes)
+    by_text = {p: i for i, p in m.text.items() if m.usable[i]}
+    for w, text in enumerate(rows):
+        for end in range(1, 13):
+            ends = [(by_text[text[a:end]], a) for a in range(end) if text[a:end] in by_text]
+            sums = [m.pair_gain(last[w, a : a + 1].astype(int), np.array([i]))[0] if a else 0.0 for i, a in ends]
+            assert [i for (i, _), x in zip(ends, sums) if x == 0] == [last[w, end]]
+
+
 def test_unigram_viterbi_is_the_best_path():
     rng = random.Random(4)
     vocabulary = {p: -rng.uniform(1, 9) for p in {"▁", *"abc", *("".join(rng.choice("▁abc") for _ in range(rng.randint(2, 4))) for _ in range(40))}}
@@ -275,6 +289,22 @@ def test_near_duplicates_match_brute_force(docs, rows, monkeypatch, chunk):
     assert sorted(map(tuple, near_dedup.near_duplicates(docs).collect()), key=str) == plain_components(rows)
 
 
+@pytest.mark.parametrize("share", [50, 80])
+def test_texts_with_common_boilerplate_match_brute_force(spark, monkeypatch, share):
+    """Most texts share words but are not alike; a few are. Their buckets are far larger than a chunk."""
+    monkeypatch.setattr(near_dedup, "CHUNK", 12)
+    rng = random.Random(share)
+    common = words(rng, share)
+    texts = [f"{common} {words(rng, 100 - share)}" for _ in range(150)]
+    for i in range(0, 60, 3):
+        w = texts[i].split()
+        w[rng.randrange(100)] = "edited"
+        texts.append(" ".join(w))
+    rows = [(7 * i % 1009, t) for i, t in enumerate(texts)]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert sorted(map(tuple, got), key=str) == plain_components(rows)
+
+
 def test_near_duplicate_chains(spark):
     rng = random.Random(8)
     chain, rows = [f"w{i}" for i in range(100)], []
@@ -403,7 +433,7 @@ def plain_rules(t):
 
 
 def test_quality_rules_match_brute_force(docs, rows, none):
-    got = result(quality_rules.quality_rules(docs.drop("rules")).select("doc_id", "text", "rules.*"))
+    got = result(quality_rules.quality_rules(docs.drop("rules"), bands=quality_rules.fitted_bands(docs)).select("doc_id", "text", "rules.*"))
     for r in got:
         n, chars, symbols, same, again = plain_rules(r["text"])
         assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == (n, chars, symbols, same, again)
@@ -414,6 +444,31 @@ def test_quality_rules_match_brute_force(docs, rows, none):
     assert quality_rules.filter_quality(none).collect() == []
 
 
+def test_bands_come_from_the_table(spark, docs, none):
+    import zstandard
+
+    rng = random.Random(6)
+    texts = [words(rng, rng.randint(60, 500)) for _ in range(400)]
+    junk = [" ".join(rng.choice(texts[0].split()[:12]) for _ in range(300)) for _ in range(10)]
+    table = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts + junk)] + [(None, None, "x"), (1, "", "x")], "doc_id long, text string, rules string").repartition(3)
+    bands = quality_rules.fitted_bands(table)
+    zstd = zstandard.ZstdCompressor(level=3, write_content_size=False)
+    ratios = {}
+    for t in texts + junk:
+        n = len(t.encode())
+        c = next(c for c in range(60) if n <= 2 ** ((c + 1) / 2))
+        ratios.setdefault(c, []).append((n, len(zstd.compress(t.encode())) / n))
+    for c, found in ratios.items():
+        middle, upper = np.quantile([r for _, r in found], [0.5, 0.75], method="inverted_cdf")
+        low, high = quality_rules.Bands().of(2 ** ((c + 1) / 2))
+        share = len(found) / (len(found) + quality_rules.PRIOR)
+        want = share * (middle - max(4 * (upper - middle), 0.06 * middle)) + (1 - share) * low, share * (middle + max(6 * (upper - middle), 0.25 * middle)) + (1 - share) * high
+        assert all(bands.of(n) == pytest.approx(want) for n, _ in found)
+    kept = {r.text for r in quality_rules.filter_quality(table).collect()}
+    assert not kept & set(junk) and len(kept) >= 395
+    assert quality_rules.fitted_bands(none) == quality_rules.Bands()
+
+
 def test_incompressible_text_fails():
     import base64
     import zstandard

@@ -14,9 +14,11 @@ def test_pipeline_keeps_what_plain_code_keeps(spark, tmp_path):
     base = words(rng, 150)
     texts = [words(rng, rng.randint(30, 90)) for _ in range(60)] + [base, base, base + " more", "spam " * 200, None, "", "mail x.y@ex.org " + words(rng, 40)]
     rows = [(i, t, "en", f"s{i % 4}", len(t or "")) for i, t in enumerate(texts)]
-    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
     zstd = zstandard.ZstdCompressor(level=3, write_content_size=False)
-    kept = [r for r in rows if quality_rules.judge(r[1], quality_rules.Bands(), zstd)[-1]]
+    bands = quality_rules.fitted_bands(docs)
+    kept = [r for r in rows if quality_rules.judge(r[1], bands, zstd)[-1]]
     one = {i for i, _, _, k in plain_components(kept) if k}
     own = {i: pii.redacted(t) for i, t, *_ in kept if i in one}
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
