@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import struct
 import zlib
 
 import pandas as pd
@@ -10,37 +12,38 @@ from pyspark.sql.types import BinaryType, DataType, LongType
 
 RECORD = 4096
 DEPTH = 20
+DICTIONARY = 64 << 20  # bytes of all phrases of a document that are held
+FONT = 50 << 20  # bytes of a font
 
 
-def unlz(data: bytes, most: int = 2 * RECORD) -> bytes | None:
+#: One step of LZ text: a run of bytes that stand for themselves, a space and a character, a reference, or 1 to 8 copied bytes.
+STEP = re.compile(rb"(?s)[\x00\x09-\x7f]+|[\xc0-\xff]|[\x80-\xbf].|" + b"|".join(rb"%c.{%d}" % (n, n) for n in range(1, 9)))
+SPACED = {c: bytes((32, c ^ 0x80)) for c in range(0xC0, 0x100)}
+
+
+def unlz(data: bytes, most: int = RECORD) -> bytes | None:
     """PalmDOC LZ77: 1-8 copy so many bytes, 9-7F and 0 stand for themselves, 80-BF refer back, C0-FF are a space and a
-    character."""
-    out, i, n = bytearray(), 0, len(data)
-    while i < n:
-        c = data[i]
-        i += 1
+    character. Null where a step is cut or there is more than `most`."""
+    all_steps = STEP.findall(data)
+    if sum(map(len, all_steps)) != len(data):
+        return None
+    out = bytearray()  # at most five times as long as data
+    for step in all_steps:
+        c = step[0]
         if c >= 0xC0:
-            out += bytes((32, c ^ 0x80))
+            out += SPACED[c]
         elif c >= 0x80:
-            if i >= n:
-                return None
-            pair = (c << 8 | data[i]) & 0x3FFF
-            i += 1
+            pair = (c << 8 | step[1]) & 0x3FFF
             back, size = pair >> 3, (pair & 7) + 3
             if not 0 < back <= len(out):
                 return None
-            for _ in range(size):
-                out.append(out[-back])
-        elif 1 <= c <= 8:
-            out += data[i : i + c]
-            if i + c > n:
-                return None
-            i += c
+            start = len(out) - back
+            out += out[start : start + size] if size <= back else (out[start:] * -(-size // back))[:size]
+        elif 0 < c < 9:
+            out += step[1:]
         else:
-            out.append(c)
-        if len(out) > most:
-            return None
-    return bytes(out)
+            out += step
+    return bytes(out) if len(out) <= most else None
 
 
 def lz(data: bytes) -> bytes:
@@ -97,79 +100,128 @@ def trailing(data: bytes, flags: int) -> int | None:
 
 
 class Huffman:
-    """Codes and phrases of one document, from its HUFF and CDIC records."""
+    """Codes and phrases of one document, from its HUFF and CDIC records. Output is counted: a record or phrase that exceeds
+    its limit, and phrases of more than DICTIONARY bytes together, are an error and not a matter of memory."""
 
     def __init__(self, huff: bytes, cdics: list[bytes]):
-        if huff[:4] != b"HUFF" or any(c[:4] != b"CDIC" for c in cdics) or not cdics:
+        if huff[:4] != b"HUFF" or len(huff) < 24 or any(c[:4] != b"CDIC" or len(c) < 16 for c in cdics) or not 0 < len(cdics) <= 1024:
             raise ValueError("no dictionary")
         word = lambda b, at: int.from_bytes(b[at : at + 4], "big")
         at1, at2 = word(huff, 8), word(huff, 12)
+        if at1 + 1024 > len(huff) or at2 + 256 > len(huff):
+            raise ValueError("tables beyond the record")
         self.short = [(e & 31, e >> 7 & 1, e >> 8) for e in (word(huff, at1 + 4 * i) for i in range(256))]
         self.least = [0, *[word(huff, at2 + 8 * i) << (31 - i) for i in range(32)]]
         self.most = [0, *[(word(huff, at2 + 8 * i + 4) + 1 << (31 - i)) - 1 for i in range(32)]]
         self.phrases: list[tuple[bytes, bool]] = []
         count = word(cdics[0], 8)
         for c in cdics:
-            for i in range(min(1 << word(c, 12), count - len(self.phrases))):
+            bits = word(c, 12)
+            if bits > 16:
+                raise ValueError("code length")
+            for i in range(min(1 << bits, count - len(self.phrases))):
                 start = 16 + int.from_bytes(c[16 + 2 * i : 18 + 2 * i], "big")
                 head = int.from_bytes(c[start : start + 2], "big")
+                if start + 2 + (head & 0x7FFF) > len(c):
+                    raise ValueError("phrase beyond the record")
                 self.phrases.append((c[start + 2 : start + 2 + (head & 0x7FFF)], head >= 0x8000))
         self.known: dict[int, bytes] = {}
-
-    def __call__(self, data: bytes, depth: int = 0) -> bytes:
+        self.held = 0
+        #: What codes of up to 16 bits stand for, by their first 16 bits: (bits, phrase).
+        self.first: dict[int, tuple[int, int]] = {}
+
+    def code(self, window: int) -> tuple[int, int]:
+        """(bits, phrase) of the code that 32 bits begin with."""
+        size, ends, most = self.short[window >> 24]
+        if ends:
+            most = (most + 1 << (32 - size)) - 1
+        else:
+            while window < self.least[size]:
+                size += 1
+            most = self.most[size]
+        if not size:
+            raise ValueError("code of no bits")
+        got = size, (most - window) >> (32 - size)
+        if size <= 16:
+            self.first[window >> 16] = got
+        return got
+
+    def __call__(self, data: bytes, limit: int, depth: int = 0) -> bytes:
         if depth > DEPTH:
             raise ValueError("too deep")
-        out, bits, left = [], int.from_bytes(data + bytes(4), "big"), 8 * len(data)
-        total = left + 32
-        done = 0
-        while True:
-            code = bits >> (total - done - 32) & 0xFFFFFFFF
-            size, ends, most = self.short[code >> 24]
-            if ends:
-                most = (most + 1 << (32 - size)) - 1
-            else:
-                while code < self.least[size]:
-                    size += 1
-                most = self.most[size]
-            done += size
-            if done > left:
-                return b"".join(out)
-            out.append(self.phrase((most - code) >> (32 - size), depth))
-
-    def phrase(self, i: int, depth: int) -> bytes:
-        if i not in self.known:
-            data, plain = self.phrases[i]
-            self.known[i] = data if plain else self(data, depth + 1)
-        return self.known[i]
-
-
-def unhuff(records: list[bytes], huff: bytes, cdics: list[bytes]) -> list[bytes | None]:
+        out, total, buffer, have, left = [], 0, 0, 0, 8 * len(data)
+        words = iter(struct.unpack(f">{len(data) // 4 + 2}I", data + bytes(8 - len(data) % 4)))
+        known, first = self.known, self.first
+        while left > 0:
+            if have < 32:
+                buffer = (buffer & (1 << have) - 1) << 32 | next(words)
+                have += 32
+            window = buffer >> (have - 32) & 0xFFFFFFFF
+            size, i = first.get(window >> 16) or self.code(window)
+            left -= size
+            have -= size
+            if left < 0:
+                break
+            part = known.get(i)
+            if part is None:
+                part = self.phrase(i, limit, depth)
+            total += len(part)
+            if total > limit:
+                raise ValueError("more than a record may hold")
+            out.append(part)
+        return b"".join(out)
+
+    def phrase(self, i: int, limit: int, depth: int) -> bytes:
+        if i < 0:
+            raise ValueError("no such phrase")
+        data, plain = self.phrases[i]
+        found = self.known[i] = data if plain else self(data, limit, depth + 1)
+        self.held += len(found)
+        if self.held > DICTIONARY:
+            raise ValueError("more phrases than a dictionary may hold")
+        return found
+
+
+def unhuff(records: list[bytes], huff: bytes, cdics: list[bytes], limit: int = RECORD) -> list[bytes | None]:
+    """Text of each record; null for one that is damaged or longer than `limit`."""
     try:
         decode = Huffman(huff, cdics)
-        return [decode(r) for r in records]
     except (ValueError, IndexError):
         return [None] * len(records)
+    out: list[bytes | None] = []
+    for r in records:
+        try:
+            out.append(decode(r, limit))
+        except (ValueError, IndexError):
+            out.append(None)
+    return out
 
 
 def font(data: bytes) -> bytes | None:
-    """A FONT record's font: 24-byte header, first bytes masked with a key (flag 2), deflated (flag 1)."""
+    """A FONT record's font: 24-byte header, first bytes masked with a key (flag 2), deflated (flag 1). No more is inflated
+    than its header says, nor than FONT."""
     if len(data) < 24 or data[:4] != b"FONT":
         return None
     size, flags, at, key_size, key_at = (int.from_bytes(data[i : i + 4], "big") for i in (4, 8, 12, 16, 20))
+    if size > FONT:
+        return None
     body = bytearray(data[at:])
     if flags & 2 and key_size:
         key = data[key_at : key_at + key_size]
+        if len(key) < key_size:
+            return None
         for i in range(min(len(body), 52 * key_size)):
             body[i] ^= key[i % key_size]
     try:
-        out = zlib.decompress(bytes(body)) if flags & 1 else bytes(body)
+        stream = zlib.decompressobj()
+        out = stream.decompress(bytes(body), size + 1) if flags & 1 else bytes(body)
     except zlib.error:
         return None
-    return out if len(out) == size <= 50 << 20 else None
+    return out if len(out) == size and (stream.eof or not flags & 1) else None
 
 
 def by_row(fn, result: DataType = BinaryType()):
-    """fn over the columns' values, null where a value is null or fn fails."""
+    """fn over the columns' values, null where a value is null. fn itself gives null for what is damaged."""
 
     @F.pandas_udf(result)
     def each(*columns: pd.Series) -> pd.Series:
@@ -179,9 +231,8 @@ def by_row(fn, result: DataType = BinaryType()):
     return each
 
 
-unlz_record = by_row(unlz)
+unlz_record = by_row(lambda b, limit: unlz(b, int(limit)))
 lz_record = by_row(lz)
 trailing_size = by_row(lambda b, flags: trailing(b, int(flags)), LongType())
 font_data = by_row(font)
-inflated = by_row(lambda b: zlib.decompress(b))
 without_zeros = by_row(lambda b: b.replace(b"\0", b""))

@@ -13,7 +13,7 @@ from codexspark.operators import edits, metadata, resources, text
 from codexspark.plans.registry import query, table
 from codexspark.sources import containers as C
 from codexspark.sources import fixtures, writer
-from codexspark.sources.staging import staged
+from codexspark.sources.staging import kept, staged
 
 ROUND_TRIP_SQL = "SELECT doc_id, 'SUCCESS' AS status, md5(coalesce(text, '')) AS text_md5, strlen(coalesce(text, ''))::BIGINT AS n_bytes FROM documents"
 
@@ -34,12 +34,16 @@ def heads_of(recs: DataFrame) -> DataFrame:
 
 def read_text(files: DataFrame) -> DataFrame:
     """(doc_id, status, text) of containers."""
-    recs = C.records(files)
-    return text.rawml(recs, C.headers(recs))
+    return text.container_text(files)
+
+
+def documents_stored(spark: SparkSession, sf_dir: str, compression: int) -> DataFrame:
+    """Containers of all documents, written once for an application: encoding them is no part of any query."""
+    return kept(spark, sf_dir, f"documents-{compression}", lambda: fixtures.containers(docs_of(spark, sf_dir), compression))
 
 
 def round_trip(spark: SparkSession, sf_dir: str, compression: int) -> DataFrame:
-    out = read_text(stored(docs_of(spark, sf_dir), compression))
+    out = read_text(documents_stored(spark, sf_dir, compression))
     return out.select("doc_id", "status", F.md5("text").alias("text_md5"), F.length("text").cast("long").alias("n_bytes"))
 
 
@@ -58,6 +62,27 @@ def roundtrip_huff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(spark, sf_dir, 17480)
 
 
+@query("""SELECT doc_id, size::BIGINT AS record_size, CASE WHEN doc_id % 3 = 2 THEN 'DATA_CORRUPT' ELSE 'SUCCESS' END AS status, CASE WHEN doc_id % 3 < 2 THEN md5(repeat('lorem ', size // 6)) END AS text_md5
+FROM documents, (VALUES (4096), (8190), (65535)) s(size)""")
+def limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of as many bytes as the header allows are read in either compression; one byte more is damage."""
+    docs = docs_of(spark, sf_dir, "doc_id").select("doc_id")
+    sizes = F.explode(F.array(F.lit(4096), F.lit(8190), F.lit(65535)))
+    rows = docs.withColumn("size", sizes).withColumn("kind", F.col("doc_id") % 3)
+    body = F.repeat(F.lit("lorem "), F.floor(F.col("size") / 6).cast("int"))
+    body = F.encode(F.when(F.col("kind") == 2, F.concat(body, F.repeat(F.lit("x"), (F.col("size") % 6 + 1).cast("int")))).otherwise(body), "UTF-8")
+    data = F.when(F.col("kind") == 1, fixtures.huff_encoded(body)).otherwise(codecs.lz_record(body))
+    compression = F.when(F.col("kind") == 1, 17480).otherwise(2)
+    values = {"text_encoding": F.lit(65001), "version": F.lit(6), "huff_rec_index": F.lit(2), "huff_rec_count": F.lit(2)}
+    zero = writer.record0_bytes(compression, F.length(body), F.lit(1), values, F.array().cast(fixtures.NO_TAGS), F.lit(b""))
+    zero = edits.overlaid(zero, 10, F.col("size"), 2)
+    records = F.array(zero, data, F.lit(fixtures.huff_record()), F.lit(fixtures.cdic_record()))
+    rows = rows.select(F.struct("doc_id", "size").alias("own"), F.posexplode(records).alias("seq", "data")).select(F.to_json("own").alias("doc_id"), "seq", "data")
+    files = staged(writer.assembled(rows, rows.select("doc_id", F.lit("limits").alias("name")).distinct()), "containers")
+    own = F.from_json("doc_id", "doc_id bigint, size bigint")
+    return text.container_text(files).select(own["doc_id"].alias("doc_id"), own["size"].alias("record_size"), "status", F.md5("text").alias("text_md5"))
+
+
 @query("""WITH d AS (SELECT doc_id, strlen(coalesce(text, ''))::BIGINT AS n FROM documents),
 c AS (SELECT doc_id, n, greatest(ceil(n / 4096.0), 1)::BIGINT AS k FROM d),
 r AS (SELECT doc_id, 0::BIGINT AS seq, 344::BIGINT AS size, k FROM c UNION ALL SELECT doc_id, i, least(4096, n - 4096 * (i - 1)), k FROM (SELECT *, unnest(range(1, k + 1)) AS i FROM c))
@@ -76,8 +101,8 @@ def container_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT doc_id, 'SUCCESS' AS part_status, 2::BIGINT AS compression, strlen(coalesce(text, ''))::BIGINT AS text_length, greatest(ceil(strlen(coalesce(text, '')) / 4096.0), 1)::BIGINT AS text_record_count,
   65001::BIGINT AS text_encoding, 6::BIGINT AS version, doc_id AS uid, 4294967295::BIGINT AS orth_index, NULL::BIGINT AS guide_index, coalesce(source, '') AS full_name FROM documents""")
 def header_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = docs_of(spark, sf_dir, "text", "source")
-    heads = C.headers(C.records(stored(docs, 2, name=F.col("source"))))
+    files = kept(spark, sf_dir, "documents-named", lambda: fixtures.containers(docs_of(spark, sf_dir, "text", "source"), 2, name=F.col("source")))
+    heads = C.headers(C.first_records(files))
     name = F.coalesce(decode_text("full_name", F.col("text_encoding")), F.lit(""))
     return heads.select("doc_id", "part_status", "compression", "text_length", "text_record_count", "text_encoding", "version", "uid", "orth_index", "guide_index", name.alias("full_name"))
 
@@ -87,15 +112,15 @@ def tagged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     docs = docs_of(spark, sf_dir, "text", "source", "lang", "n_chars")
     t = fixtures.tag
     tags = F.array(t(100, F.coalesce("source", F.lit("nobody"))), t(105, F.lit("first &amp; last")), t(105, F.coalesce("lang", F.lit("none"))), t(524, F.coalesce("lang", F.lit("none"))), fixtures.number_tag(116, F.coalesce("n_chars", F.lit(0))))
-    files = stored(docs, 1, tags=tags, values={"locale": F.lit(9)})
+    files = kept(spark, sf_dir, "documents-tagged", lambda: fixtures.containers(docs, 1, tags=tags, values={"locale": F.lit(9)}))
     return files, C.records(files)
 
 
 @query("""SELECT doc_id, coalesce(source, 'nobody') AS author, 'first & last; ' || coalesce(lang, 'none') AS subject, coalesce(lang, 'none') AS language, 'doc_' || doc_id AS title, NULL::VARCHAR AS publisher FROM documents""")
 def metadata_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Named fields of documents with their fallbacks."""
-    files, recs = tagged(spark, sf_dir)
-    heads = heads_of(recs)
+    files, _ = tagged(spark, sf_dir)
+    heads = heads_of(C.first_records(files))
     decoded = metadata.decoded_tags(C.exth(heads), heads)
     return metadata.summary(C.pdb_headers(files), heads, decoded).select("doc_id", "author", "subject", "language", "title", "publisher")
 
@@ -103,8 +128,8 @@ def metadata_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT doc_id, 116::BIGINT AS tag, coalesce(n_chars, 0)::VARCHAR AS value, 'numeric' AS kind FROM documents UNION ALL SELECT doc_id, 100, coalesce(source, 'nobody'), 'string' FROM documents
 UNION ALL SELECT doc_id, 105, 'first & last; ' || coalesce(lang, 'none'), 'string' FROM documents UNION ALL SELECT doc_id, 524, coalesce(lang, 'none'), 'string' FROM documents""")
 def exth_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, recs = tagged(spark, sf_dir)
-    heads = heads_of(recs)
+    files, _ = tagged(spark, sf_dir)
+    heads = C.headers(C.first_records(files))
     decoded = metadata.decoded_tags(C.exth(heads), heads)
     kinds = metadata.tag_table(spark).select("tag", "kind")
     return metadata.joined(decoded).join(F.broadcast(kinds), "tag").select("doc_id", F.col("tag").cast("long").alias("tag"), "value", "kind")
@@ -302,7 +327,7 @@ def header_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def text_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decoded text by language."""
     docs = docs_of(spark, sf_dir, "text", "lang")
-    got = read_text(stored(docs.select("doc_id", "text"), 2))
+    got = read_text(documents_stored(spark, sf_dir, 2))
     return docs.select("doc_id", "lang").join(got, "doc_id").groupBy("lang").agg(F.count("*").alias("n_docs"), F.sum(F.length("text")).cast("long").alias("n_bytes"))
 
 

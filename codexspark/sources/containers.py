@@ -64,6 +64,18 @@ def records(containers: DataFrame) -> DataFrame:
     return rows.select("doc_id", "seq", "e.offset", size.alias("size"), "e.attributes", "e.rec_uid", F.when(size.isNotNull(), data).alias("data"))
 
 
+def record0_of(content: Column) -> Column:
+    """Record 0 of a container, from the first two entries of its directory."""
+    n, start = u16(content, 76), u32(content, 78)
+    stop = F.when(n > 1, u32(content, 86)).otherwise(F.length(content))
+    return F.when(n > 0, part(content, start, stop - start))
+
+
+def first_records(containers: DataFrame) -> DataFrame:
+    """(doc_id, seq, data) of record 0 alone, for what needs no others: nothing is exploded."""
+    return containers.filter(u16(F.col("content"), 76) > 0).select("doc_id", F.lit(0).alias("seq"), record0_of(F.col("content")).alias("data"))
+
+
 def record0(recs: DataFrame, base: Column | int = 0) -> DataFrame:
     """The 16 bytes before the long header: (doc_id, part_status, compression, text_length, ...)."""
     d = F.col("data")
@@ -100,7 +112,7 @@ def exth(heads: DataFrame) -> DataFrame:
 
     def step(acc: Column, i: Column) -> Column:
         size = u32(d, acc["at"] + 4)
-        good = acc["good"] & (size >= 8) & (acc["at"] + size <= F.length(d))
+        good = acc["good"] & (size >= 8) & (acc["at"] + size <= F.least(end, F.length(d)))
         row = F.struct(u32(d, acc["at"]).alias("tag"), F.substring(d, (acc["at"] + 9).cast("int"), (size - 8).cast("int")).alias("data"))
         return F.struct(
             F.when(good, acc["at"] + size).otherwise(acc["at"]).alias("at"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,3 +41,18 @@ def dropped(*tables: DataFrame) -> None:
     for rows in tables:
         path = rows.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(rows.staged_path)
         path.getFileSystem(rows.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+_FIXED: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def kept(spark: SparkSession, source: str, label: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A staged table that is made once for each application and source, as files that lie there would be."""
+    key = (spark.sparkContext.applicationId, source, label)
+    rows = _FIXED.get(key)
+    if rows is not None:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(rows.staged_path)
+        if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+            return rows
+    _FIXED[key] = staged(make(), label)
+    return _FIXED[key]

@@ -2,6 +2,7 @@
 
 import zlib
 
+import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
@@ -25,7 +26,8 @@ def test_lz_damage():
     assert codecs.unlz(b"\x80") is None  # cut pair
     assert codecs.unlz(b"a\x80\x28") is None  # before the start
     assert codecs.unlz(b"\x05ab") is None  # cut copy
-    assert codecs.unlz(b"x" * 9000) is None  # longer than any record
+    assert codecs.unlz(b"x" * 9000) is None  # longer than the record may be
+    assert codecs.unlz(b"x" * 9000, 9000) == b"x" * 9000
 
 
 @given(st.binary(max_size=4096))
@@ -51,6 +53,7 @@ def test_huffman_round_trip(data):
 
 
 def test_huffman_damage():
+    assert codecs.unhuff([fixtures.packed([97, 98])] * 2, fixtures.huff_record(), [fixtures.cdic_record()], 1) == [None, None]
     assert codecs.unhuff([b"x"], b"HUFX", [fixtures.cdic_record()]) == [None]
     assert codecs.unhuff([b"x"], fixtures.huff_record()[:40], [fixtures.cdic_record()]) == [None]
 
@@ -112,3 +115,25 @@ def test_splice():
     edit = lambda a, b, v: {"start": a, "stop": b, "value": v}
     assert spliced(b"abcdef", [edit(2, 4, b"X"), edit(2, 2, b"("), edit(4, 4, b")"), edit(3, 3, b"lost"), edit(6, 6, b"."), edit(9, 9, b"?")]) == b"ab(X)ef."
     assert spliced(b"", []) == b""
+
+
+def test_phrases_that_name_each_other_twice_stop_at_the_limit():
+    phrases = [fixtures.packed([i + 1, i + 1]) for i in range(20)] + [b"boom"]
+    at, offsets, body = 2 * len(phrases), b"", b""
+    for i, p in enumerate(phrases):
+        offsets += (at + len(body)).to_bytes(2, "big")
+        body += (len(p) | (0x8000 if i == 20 else 0)).to_bytes(2, "big") + p
+    cdic = b"CDIC" + (16).to_bytes(4, "big") + len(phrases).to_bytes(4, "big") + (9).to_bytes(4, "big") + offsets + body
+    assert codecs.unhuff([fixtures.packed([0]), fixtures.packed([18])], fixtures.huff_record(), [cdic]) == [None, b"boom" * 4]
+    assert codecs.unhuff([fixtures.packed([20])] * 2, fixtures.huff_record(), [cdic[:40]]) == [None, None]
+
+
+def test_fonts_inflate_no_further_than_declared():
+    body = zlib.compress(bytes(1 << 20))
+    head = b"FONT" + b"".join(n.to_bytes(4, "big") for n in (8, 1, 24, 0, 24))
+    assert codecs.font(head + body) is None
+
+
+@pytest.mark.parametrize("flags, tail, kept", [(0, b"", 4), (1, b"\xc3\x01", 4), (2, b"zz\x83", 4), (6, b"y\x82zz\x83", 4), (7, b"\x00y\x82zz\x83", 4)])
+def test_trailing_entries_of_all_flags(flags, tail, kept):
+    assert len(b"text" + tail) - codecs.trailing(b"text" + tail, flags) == kept
