@@ -109,10 +109,6 @@ def container_time(value: Column) -> Column:
     return F.timestamp_seconds(F.when(v >= 1 << 31, v - EPOCH_1904).otherwise(v))
 
 
-def encoding_name(code: Column) -> Column:
-    return F.when(code == 65001, "utf-8").otherwise("cp1252")
-
-
 def xml_escaped(text: Column) -> Column:
     out = F.replace(text, F.lit("&"), F.lit("&amp;"))
     for plain, entity in (("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):

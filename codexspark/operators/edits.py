@@ -112,6 +112,32 @@ def newer_record0(data: Column, shift: Column) -> Column:
     return out
 
 
+def older_record0(data: Column) -> Column:
+    """The older half's record 0 without what points into the newer one: flags, and embedded sources, which went."""
+    number = lambda at: F.conv(F.hex(F.substring(data, at + 1, 4)), 16, 10).cast("long")
+    out = overlaid(data, 128, number(128).bitwiseAND(0x7FF))
+    return F.when((number(224) != NOTSET) & (number(228) != NOTSET), overlaid(overlaid(out, 224, F.lit(NOTSET)), 228, F.lit(0))).otherwise(out)
+
+
+def with_record0(recs: DataFrame, zero: DataFrame) -> DataFrame:
+    """recs with the record 0 of zero (doc_id, data)."""
+    return recs.filter("seq > 0").unionByName(zero.select("doc_id", F.lit(0).alias("seq"), "data"))
+
+
+def older_document(recs: DataFrame, heads: DataFrame, tags: DataFrame, boundary: DataFrame) -> DataFrame:
+    """(doc_id, seq, data): the older half of hybrids as documents of their own, headers and tags included."""
+    own = heads.join(boundary.select("doc_id"), "doc_id", "left_semi").withColumn("data", older_record0(F.col("data"))).withColumn("exth_flags", F.col("exth_flags").bitwiseAND(0x7FF))
+    return with_record0(older_half(recs, heads, boundary), with_tags(own, older_tags(tags)))
+
+
+def newer_document(recs: DataFrame, old_heads: DataFrame, new_heads: DataFrame, old_tags: DataFrame, new_tags: DataFrame, boundary: DataFrame) -> DataFrame:
+    """The same of the newer half."""
+    rows, shift = newer_half(recs, old_heads, new_heads, old_tags, new_tags, boundary)
+    own = new_heads.join(shift, "doc_id").withColumn("data", newer_record0(F.col("data"), F.col("shift")))
+    own = own.withColumn("exth_flags", F.col("exth_flags").bitwiseAND(0x7FF).bitwiseOR(0x800))
+    return with_record0(rows, with_tags(own, newer_tags(new_tags, shift, new_heads)))
+
+
 def versions(containers_with_halves: DataFrame) -> DataFrame:
     """(doc_id, halves): how many versions of the document a container holds."""
     return containers_with_halves.groupBy("doc_id").agg(F.count("*").alias("halves"))

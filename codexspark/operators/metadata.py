@@ -14,17 +14,19 @@ from codexspark.functions.text import decode_entities, decode_text
 
 #: Tag: (kind, name). Fixed values of the format.
 TAGS = {
-    1: ("numeric", "DRM server id"), 2: ("numeric", "DRM commerce id"), 3: ("numeric", "DRM e-book base id"), 100: ("string", "author"), 101: ("string", "publisher"),
+    1: ("string", "DRM server id"), 2: ("string", "DRM commerce id"), 3: ("string", "DRM e-book base id"), 99: ("string", "own title"), 100: ("string", "author"), 101: ("string", "publisher"),
     102: ("string", "imprint"), 103: ("string", "description"), 104: ("string", "isbn"), 105: ("string", "subject"), 106: ("string", "publishdate"), 107: ("string", "review"),
     108: ("string", "contributor"), 109: ("string", "copyright"), 110: ("string", "subject code"), 111: ("string", "type"), 112: ("string", "source"), 113: ("string", "asin"),
-    114: ("numeric", "version"), 115: ("numeric", "sample"), 116: ("numeric", "start reading"), 117: ("string", "adult"), 118: ("string", "price"), 119: ("string", "currency"),
+    114: ("string", "version"), 115: ("numeric", "sample"), 116: ("numeric", "start reading"), 117: ("string", "adult"), 118: ("string", "price"), 119: ("string", "currency"),
     121: ("numeric", "newer half"), 122: ("string", "fixed layout"), 123: ("string", "book type"), 124: ("string", "orientation lock"), 125: ("numeric", "resources"),
-    126: ("string", "original resolution"), 127: ("string", "zero gutter"), 128: ("string", "zero margin"), 129: ("string", "cover uri"), 131: ("numeric", "unidentified resources"),
+    126: ("string", "original resolution"), 127: ("string", "zero gutter"), 128: ("string", "zero margin"), 129: ("string", "cover uri"), 131: ("numeric", "resource record offset"),
     132: ("string", "region magnification"), 200: ("string", "dictionary short name"), 201: ("numeric", "cover offset"), 202: ("numeric", "thumbnail offset"), 203: ("numeric", "has fake cover"),
-    204: ("numeric", "creator software"), 205: ("numeric", "creator major"), 206: ("numeric", "creator minor"), 207: ("numeric", "creator build"), 208: ("string", "watermark"),
-    300: ("binary", "font signature"), 401: ("numeric", "clipping limit"), 402: ("numeric", "publisher limit"), 404: ("numeric", "text to speech disabled"), 501: ("string", "document type"),
-    502: ("string", "last update"), 503: ("string", "title"), 504: ("string", "asin"), 508: ("string", "title key"), 517: ("string", "author key"), 522: ("string", "publisher key"),
-    524: ("string", "language"), 525: ("string", "writing mode"), 527: ("string", "page direction"), 535: ("string", "creator build revision"), 536: ("string", "image sizes"),
+    204: ("numeric", "creator software"), 205: ("numeric", "creator major"), 206: ("numeric", "creator minor"), 207: ("numeric", "creator build"), 208: ("string", "watermark"), 209: ("binary", "tamper keys"),
+    300: ("binary", "font signature"), 401: ("numeric", "clipping limit"), 402: ("numeric", "publisher limit"), 403: ("binary", "unknown 403"), 404: ("numeric", "text to speech disabled"),
+    405: ("numeric", "read for free"), 406: ("binary", "rental"), 407: ("binary", "unknown 407"), 450: ("binary", "unknown 450"), 451: ("binary", "unknown 451"), 452: ("binary", "unknown 452"), 453: ("binary", "unknown 453"),
+    501: ("string", "document type"), 502: ("string", "last update"), 503: ("string", "title"), 504: ("string", "asin"), 508: ("string", "title key"), 517: ("string", "author key"), 522: ("string", "publisher key"),
+    524: ("string", "language"), 525: ("string", "writing mode"), 526: ("string", "creator string"), 527: ("string", "page direction"), 528: ("string", "override fonts"), 529: ("string", "source description"),
+    531: ("string", "dictionary input language"), 532: ("string", "dictionary output language"), 534: ("string", "input source"), 535: ("string", "creator build revision"),
 }
 #: Named fields that can be read, added, set and deleted.
 FIELDS = {

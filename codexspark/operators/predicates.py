@@ -82,10 +82,3 @@ def first_resource(own: Column | str, older: Column | str | None = None) -> Colu
     """The first resource record: a hybrid's halves share that of the older one."""
     return col(own) if older is None else F.coalesce(F.when(is_set(older), col(older)), col(own))
 
-
-def status_of(*checks: tuple[Column, str]) -> Column:
-    """The first failing check's status, or SUCCESS."""
-    out = None
-    for bad, name in checks:
-        out = F.when(bad, name) if out is None else out.when(bad, name)
-    return F.lit("SUCCESS") if out is None else out.otherwise("SUCCESS")

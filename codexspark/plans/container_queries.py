@@ -247,15 +247,21 @@ def covers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resources.cover(recs, C.headers(recs), tags).select("doc_id", "kind", F.md5("data").alias("data_md5"))
 
 
-@query("""SELECT doc_id, md5(coalesce(text, '')) AS text_md5, 'first & last; ' || coalesce(lang, 'none') AS subject FROM documents""")
+@query("""SELECT doc_id, md5(coalesce(text, '')) AS text_md5, 'first & last; ' || coalesce(lang, 'none') AS subject, 1700000000 + doc_id AS created_raw, 8::BIGINT AS attributes, doc_id % 7 AS mod_num, 'BOOK' AS type FROM documents""")
 def write_back(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Containers scanned, written again from their records, and scanned once more: the same text and metadata."""
-    files, recs = tagged(spark, sf_dir)
+    """Containers scanned, written again from their records, and scanned once more: the same text, metadata and header."""
+    files, _ = tagged(spark, sf_dir)
+    own = F.col("content")
+    for at, width, value in ((32, 2, F.lit(8)), (36, 4, F.lit(1700000000) + F.col("doc_id")), (48, 4, F.col("doc_id") % 7)):
+        own = edits.overlaid(own, at, value, width)
+    files = files.select("doc_id", own.alias("content"))
+    recs = C.records(files)
     again = staged(writer.assembled(recs.select("doc_id", "seq", "data"), C.pdb_headers(files)), "containers")
     recs = C.records(again)
     heads = heads_of(recs)
     subject = metadata.joined(metadata.decoded_tags(C.exth(heads), heads)).filter("tag = 105").select("doc_id", F.col("value").alias("subject"))
-    return text.rawml(recs, heads).select("doc_id", F.md5("text").alias("text_md5")).join(subject, "doc_id")
+    kept_ = C.pdb_headers(again).select("doc_id", "created_raw", "attributes", "mod_num", "type")
+    return text.rawml(recs, heads).select("doc_id", F.md5("text").alias("text_md5")).join(subject, "doc_id").join(kept_, "doc_id")
 
 
 @query("""WITH d AS (SELECT doc_id, greatest(ceil(strlen(coalesce(text, '')) / 4096.0), 1)::BIGINT + 1 AS n FROM documents)
@@ -279,13 +285,14 @@ def hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     number, n = fixtures.number_tag, fixtures.n_text_records()
     old = fixtures.records(docs, 1, tags=F.array(number(121, n + 3), number(125, F.lit(1)))).select("doc_id", "seq", "data")
     new_docs = docs.select("doc_id", n.alias("n"), F.concat(F.coalesce("source", F.lit("")), F.lit("!")).alias("text"))
-    new = fixtures.records(new_docs, 1, tags=F.array(number(125, F.lit(1)), number(116, F.lit(9))), values={"version": F.lit(8), "fdst_index": F.lit(3)})
+    new = fixtures.records(new_docs, 1, tags=F.array(number(125, F.lit(1)), number(116, F.lit(9))), values={"version": F.lit(8), "fdst_index": F.lit(3)}, newer=True)
     new = new.join(new_docs.select("doc_id", "n"), "doc_id").select("doc_id", (F.col("seq") + F.col("n") + 3).alias("seq"), "data")
     rest = F.array(*[F.struct((n + s).alias("seq"), F.lit(d).alias("data")) for s, d in ((1, b"\xff\xd8\xffimage"), (2, b"BOUNDARY"), (5, b"FONTown"), (6, b"\xe9\x8e\r\n"))])
     return staged(old.unionByName(new).unionByName(docs.select("doc_id", F.explode(rest).alias("e")).select("doc_id", "e.*")), "records")
 
 
-@query("""SELECT doc_id, 2::BIGINT AS halves, greatest(ceil(strlen(coalesce(text, '')) / 4096.0), 1)::BIGINT + 3 AS older_records, 5::BIGINT AS newer_records, md5(coalesce(text, '')) AS older_md5, md5(coalesce(source, '') || '!') AS newer_md5, 2::BIGINT AS newer_resources FROM documents""")
+@query("""SELECT doc_id, 2::BIGINT AS halves, greatest(ceil(strlen(coalesce(text, '')) / 4096.0), 1)::BIGINT + 3 AS older_records, 5::BIGINT AS newer_records, md5(coalesce(text, '')) AS older_md5, md5(coalesce(source, '') || '!') AS newer_md5, 2::BIGINT AS newer_resources,
+  4294967295::BIGINT AS older_mark, 64::BIGINT AS older_flags, 4::BIGINT AS newer_fdst, 2112::BIGINT AS newer_flags, 0::BIGINT AS newer_starts FROM documents""")
 def split_hybrids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both versions of hybrids taken apart into documents of their own."""
     recs = hybrid(spark, sf_dir)
@@ -297,14 +304,18 @@ def split_hybrids(spark: SparkSession, sf_dir: str) -> DataFrame:
     new_recs = staged(new_recs, "records")
     new_heads = heads_of(new_recs)
     new_tags = staged(C.exth(new_heads), "tags")
-    old = staged(edits.older_half(recs, heads, mark), "records")
-    new, shift = edits.newer_half(recs, heads, new_heads, tags, new_tags, mark)
-    new = staged(new, "records")
-    kept = edits.newer_tags(new_tags, shift, new_heads).filter("tag = 125").select("doc_id", F.conv(F.hex("data"), 16, 10).cast("long").alias("newer_resources"))
-    read = lambda rows, name: text.rawml(rows, heads_of(rows)).select("doc_id", F.md5("text").alias(name))
+    old = staged(edits.older_document(recs, heads, tags, mark), "records")
+    new = staged(edits.newer_document(recs, heads, new_heads, tags, new_tags, mark), "records")
+    number = F.conv(F.hex("data"), 16, 10).cast("long")
+    old_h, new_h = heads_of(old), heads_of(new)
     count = lambda rows, name: rows.groupBy("doc_id").agg(F.count("*").alias(name))
+    marks = C.exth(old_h).filter("tag = 121").select("doc_id", number.alias("older_mark"))
+    new_t = C.exth(new_h)
+    kept_ = new_t.groupBy("doc_id").agg(F.max(F.when(F.col("tag") == 125, number)).alias("newer_resources"), F.count_if(F.col("tag") == 116).alias("newer_starts"))
+    read = lambda rows, own, name: text.rawml(rows, own).select("doc_id", F.md5("text").alias(name))
     out = edits.versions(parts).join(count(old, "older_records"), "doc_id").join(count(new, "newer_records"), "doc_id")
-    return out.join(read(old, "older_md5"), "doc_id").join(read(new, "newer_md5"), "doc_id").join(kept, "doc_id")
+    out = out.join(old_h.select("doc_id", F.col("exth_flags").alias("older_flags")), "doc_id").join(new_h.select("doc_id", F.col("exth_flags").alias("newer_flags"), F.col("fdst_index").alias("newer_fdst")), "doc_id")
+    return out.join(read(old, old_h, "older_md5"), "doc_id").join(read(new, new_h, "newer_md5"), "doc_id").join(kept_, "doc_id").join(marks, "doc_id")
 
 
 @query("""SELECT doc_id, ['SUCCESS', 'DATA_CORRUPT', 'FILE_UNSUPPORTED', 'DATA_CORRUPT'][(doc_id % 4 + 1)::INT] AS status FROM documents""")

@@ -211,10 +211,10 @@ def toc_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {TOC_SQL}, p AS (SELECT i, j, play_order, '<navPoint id="' || id || '" playOrder="' || play_order || '"><navLabel><text>' || title || '</text></navLabel><content src="' || target || '"/>' AS x, max(j) OVER (PARTITION BY i) AS last FROM o)
-SELECT '<?xml version="1.0" encoding="UTF-8"?><ncx xmlns="{navigation.NCX_SPACE}" version="2005-1"><head><meta name="dtb:uid" content="7"/><meta name="dtb:depth" content="2"/><meta name="dtb:totalPageCount" content="0"/><meta name="dtb:maxPageNumber" content="0"/></head><docTitle><text>A &amp; B</text></docTitle><navMap>'
+SELECT '<?xml version="1.0" encoding="UTF-8"?><ncx xmlns="{navigation.NCX_SPACE}" version="2005-1" xml:lang="en"><head><meta name="dtb:uid" content="7"/><meta name="dtb:depth" content="2"/><meta name="dtb:totalPageCount" content="0"/><meta name="dtb:maxPageNumber" content="0"/></head><docTitle><text>A &amp; B</text></docTitle><navMap>'
  || string_agg(x || CASE WHEN j > 0 THEN '</navPoint>' ELSE '' END || CASE WHEN j = last THEN '</navPoint>' ELSE '' END, '' ORDER BY play_order) || '</navMap></ncx>' AS xml FROM p""")
 def toc_document(spark: SparkSession, sf_dir: str) -> DataFrame:
-    heads = table(spark, sf_dir, "region").groupBy(F.lit(1).cast("long").alias("doc_id")).agg(F.lit(7).alias("uid"), F.lit("A & B").alias("title"))
+    heads = table(spark, sf_dir, "region").groupBy(F.lit(1).cast("long").alias("doc_id")).agg(F.lit(7).alias("uid"), F.lit("A & B").alias("title"), F.lit(None).cast("string").alias("language"))
     return navigation.toc_xml(toc(spark, sf_dir), heads).select("xml")
 
 
@@ -249,6 +249,17 @@ def manifest_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return navigation.manifest(rows).select((F.col("place") % 10_000_000_000).alias("uid"), "id", "href", "media_type")
 
 
+@query("""SELECT doc_id, u.e AS element, u.a AS attribute, u.av AS attribute_value, u.v AS value FROM documents, LATERAL (VALUES ('identifier', 'opf:scheme', 'ISBN', doc_id::VARCHAR), ('date', 'opf:event', 'publication', '2001'),
+ ('subject', 'BASICCode', 'C' || coalesce(lang, ''), 'one'), ('subject', NULL, NULL, 'two'), ('SRP', 'Currency', 'EUR', coalesce(source, 'free')), ('title', NULL, NULL, 'Unknown'), ('language', NULL, NULL, 'en')) u(e, a, av, v)""")
+def package_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attributes of package elements: fixed ones, and tags that belong to the value of the same place."""
+    docs = docs_of(spark, sf_dir, "lang", "source")
+    tags = [(110, F.concat(F.lit("C"), F.coalesce("lang", F.lit("")))), (105, F.lit("one")), (105, F.lit("two")), (104, F.col("doc_id").cast("string")), (106, F.lit("2001")), (119, F.lit("EUR")), (118, F.coalesce("source", F.lit("free")))]
+    rows = docs.select("doc_id", F.posexplode(F.array(*[F.struct(F.lit(t).alias("tag"), v.alias("value")) for t, v in tags])).alias("ord", "t")).select("doc_id", "ord", "t.*")
+    plain = docs.select("doc_id", F.lit(0).alias("uid"), F.lit(None).cast("string").alias("title"), F.lit(9).cast("long").alias("locale_no"))
+    return navigation.package_metadata(rows, plain).select("doc_id", "element", "attribute", "attribute_value", "value")
+
+
 @query(f"""SELECT doc_id, 'SUCCESS' AS status, '<?xml version="1.0" encoding="UTF-8"?><package xmlns="{navigation.OPF_SPACE}" version="2.0" unique-identifier="uid"><metadata xmlns:opf="{navigation.OPF_SPACE}" xmlns:dc="{navigation.DC_SPACE}">'
  || '<dc:creator>' || coalesce(source, 'nobody') || '</dc:creator><dc:identifier id="uid">' || doc_id || '</dc:identifier><dc:language>' || coalesce(lang, 'none') || '</dc:language><dc:subject>first &amp; last</dc:subject><dc:subject>' || coalesce(lang, 'none') || '</dc:subject><dc:title>Unknown</dc:title></metadata>'
  || '<manifest><item id="part00000" href="part00000.html" media-type="application/xhtml+xml"/><item id="resource00009" href="resource00009.ncx" media-type="application/x-dtbncx+xml"/></manifest><spine toc="resource00009"><itemref idref="part00000"/></spine><guide><reference type="toc" title="Contents" href="part00000.html"/></guide></package>' AS xml FROM documents""")

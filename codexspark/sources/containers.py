@@ -127,8 +127,11 @@ def exth(heads: DataFrame) -> DataFrame:
 
 
 def sections(recs: DataFrame, heads: DataFrame, base: Column | int = 0) -> DataFrame:
-    """(doc_id, section, start, stop) of the flow table, where its count is the header's and over 1."""
-    at = heads.filter((F.col("fdst_index") != NOTSET) & (F.col("fdst_section_count") > 1)).select("doc_id", F.col("fdst_index").alias("seq"), "fdst_section_count")
+    """(doc_id, section, start, stop) of the flow table, where its count is the header's and over 1. The newer format names
+    the table's record; versions 4 to 7 keep its number in the place of the last text record."""
+    old = F.when(F.col("version").between(4, 7) & (F.col("last_text_index") != 0xFFFF), F.col("last_text_index"))
+    at = F.coalesce(F.when(F.col("fdst_index") != NOTSET, F.col("fdst_index")), old)
+    at = heads.filter(at.isNotNull() & (F.col("fdst_section_count") > 1)).select("doc_id", at.alias("seq"), "fdst_section_count")
     d, n = F.col("data"), F.col("fdst_section_count")
     pair = lambda i: F.struct(u32(d, 12 + 8 * i).alias("start"), u32(d, 16 + 8 * i).alias("stop"))
     own = recs.withColumn("seq", F.col("seq").cast("long")).join(at, ["doc_id", "seq"]).filter((part(d, 0, 4) == F.lit(b"FDST")) & (u32(d, 4) == 12) & (u32(d, 8) == n))

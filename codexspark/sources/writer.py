@@ -52,9 +52,13 @@ def record0_bytes(compression: Column, text_length: Column, n_records: Column, v
     return F.concat(short, header_bytes(values, newer), list_, full_name, F.unhex(F.repeat(F.lit("00"), 64)))
 
 
+#: Fields between a container's name and its kind, and behind its creator: (column, bytes, value if names has no such column).
+BEFORE = (("attributes", 2, 0), ("pdb_version", 2, 0), ("created_raw", 4, PALM_TIME), ("modified_raw", 4, PALM_TIME), ("backed_up_raw", 4, 0), ("mod_num", 4, 0), ("appinfo_offset", 4, 0), ("sortinfo_offset", 4, 0))
+
+
 def assembled(records: DataFrame, names: DataFrame, kind: str = "BOOK", creator: str = "MOBI") -> DataFrame:
     """(doc_id, content) from records (doc_id, seq, data) and (doc_id, name): numbers are given anew by seq, record uids
-    are twice the number."""
+    are twice the number. Where names are headers that were read (pdb_headers), their times, attributes, kind and uid stay."""
     order = Window.partitionBy("doc_id").orderBy("seq")
     rows = records.withColumn("n", F.row_number().over(order) - 1)
     before = F.coalesce(F.sum(F.length("data")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -67,11 +71,14 @@ def assembled(records: DataFrame, names: DataFrame, kind: str = "BOOK", creator:
         F.expr("listagg(data) within group (order by n)").alias("body"),
     )
     name = F.rpad(F.regexp_replace(F.coalesce("name", F.lit("")), "[^0-9A-Za-z]", "_"), 31, "\0")
+    own = [c for c in (*(n for n, _, _ in BEFORE), "type", "creator", "pdb_uid", "next_rec") if c in names.columns]
+    field = lambda c, default, width: be(F.coalesce(F.col(c), default) if c in own else default, width)
+    four = lambda c, default: F.encode(F.rpad(F.coalesce(F.col(c), F.lit(default)) if c in own else F.lit(default), 4, "\0"), "ISO-8859-1")
     head = F.concat(
-        F.encode(F.concat(name, F.lit("\0")), "UTF-8"), be(0, 4), be(PALM_TIME, 4), be(PALM_TIME, 4), be(0, 4), be(0, 12),
-        F.lit(kind.encode()), F.lit(creator.encode()), be(2 * F.col("count"), 4), be(0, 4), be(F.col("count"), 2),
+        F.encode(F.concat(name, F.lit("\0")), "UTF-8"), *[field(c, F.lit(v), w) for c, w, v in BEFORE],
+        four("type", kind), four("creator", creator), field("pdb_uid", 2 * F.col("count"), 4), field("next_rec", F.lit(0), 4), be(F.col("count"), 2),
     )
-    return body.join(names.select("doc_id", "name"), "doc_id", "left").select("doc_id", F.concat(head, F.col("directory"), be(0, 2), F.col("body")).alias("content"))
+    return body.join(names.select("doc_id", "name", *own), "doc_id", "left").select("doc_id", F.concat(head, F.col("directory"), be(0, 2), F.col("body")).alias("content"))
 
 
 def write_files(rows: DataFrame, folder: str) -> DataFrame:
