@@ -42,6 +42,18 @@ def documents_stored(spark: SparkSession, sf_dir: str, compression: int) -> Data
     return kept(spark, sf_dir, f"documents-{compression}", lambda: fixtures.containers(docs_of(spark, sf_dir), compression))
 
 
+def named_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kept(spark, sf_dir, "documents-named", lambda: fixtures.containers(docs_of(spark, sf_dir, "text", "source"), 2, name=F.col("source")))
+
+
+def write_fixtures(spark: SparkSession, sf_dir: str) -> None:
+    """Containers that several queries read, at rest before a clock starts."""
+    for compression in (1, 2, 17480):
+        documents_stored(spark, sf_dir, compression)
+    named_stored(spark, sf_dir)
+    tagged(spark, sf_dir)
+
+
 def round_trip(spark: SparkSession, sf_dir: str, compression: int) -> DataFrame:
     out = read_text(documents_stored(spark, sf_dir, compression))
     return out.select("doc_id", "status", F.md5("text").alias("text_md5"), F.length("text").cast("long").alias("n_bytes"))
@@ -101,7 +113,7 @@ def container_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT doc_id, 'SUCCESS' AS part_status, 2::BIGINT AS compression, strlen(coalesce(text, ''))::BIGINT AS text_length, greatest(ceil(strlen(coalesce(text, '')) / 4096.0), 1)::BIGINT AS text_record_count,
   65001::BIGINT AS text_encoding, 6::BIGINT AS version, doc_id AS uid, 4294967295::BIGINT AS orth_index, NULL::BIGINT AS guide_index, coalesce(source, '') AS full_name FROM documents""")
 def header_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = kept(spark, sf_dir, "documents-named", lambda: fixtures.containers(docs_of(spark, sf_dir, "text", "source"), 2, name=F.col("source")))
+    files = named_stored(spark, sf_dir)
     heads = C.headers(C.first_records(files))
     name = F.coalesce(decode_text("full_name", F.col("text_encoding")), F.lit(""))
     return heads.select("doc_id", "part_status", "compression", "text_length", "text_record_count", "text_encoding", "version", "uid", "orth_index", "guide_index", name.alias("full_name"))
