@@ -35,8 +35,8 @@ BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 MIX = np.uint64(0xD6E8FEB86659FD93)
 NONE, UNKNOWN = -1, -2
 CELLS = 1 << 16  # characters that advance together
-TEXT = 1 << 20
-CACHE = 100_000  # words in each of two generations that a worker remembers
+TEXT = 1 << 21  # characters of texts whose words are looked up together
+CACHE = 160_000  # words in each of two generations that a worker remembers
 BITS, PAIR_BITS = 18, 20  # of the tables that hashes and pairs are looked up in first
 FAR = np.int64(1) << np.int64(40)
 
