@@ -82,15 +82,19 @@ def printed(sketch_col: Column) -> Column:
     return F.array_join(F.transform(sketch_col, lambda h: F.lpad(F.lower(F.hex(h)), 16, "0")), "")
 
 
+def numbers(values: list[int]) -> Column:
+    """Numbers as one array: a single literal once the plan is optimised, however many they are."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>") if values else F.array().cast("array<bigint>")
+
+
 def range_place(value: Column, bounds: list[int]) -> Column:
     """How many of the sorted bounds are at most value, looked up in two steps of about sqrt(n) comparisons."""
     if not bounds:
         return F.lit(0)
     step = isqrt(len(bounds) - 1) + 1
     below = lambda xs: F.size(F.filter(xs, lambda b: b <= value))
-    coarse = below(F.array(*map(F.lit, bounds[::step])))
-    fine = F.array(*[F.array(*map(F.lit, bounds[i : i + step])) for i in range(0, len(bounds), step)])
-    return let(coarse, lambda c: F.when(c > 0, (c - 1) * step + below(F.get(fine, c - 1))).otherwise(0))
+    fine = lambda c: F.slice(numbers(bounds), (c - 1) * step + 1, step)
+    return let(below(numbers(bounds[::step])), lambda c: F.when(c > 0, (c - 1) * step + below(fine(c))).otherwise(0))
 
 
 def with_next(docs: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -108,10 +112,11 @@ def with_next(docs: DataFrame, key: str = "doc_id") -> DataFrame:
         return docs.withColumns({"range": F.lit(0), "guest": F.lit(0)})
     before = {r: full[i - 1] for i, r in enumerate(full)}
     size = full[-1] + 1
-    first = F.array(*[F.lit(firsts.get(r)).cast("long") for r in range(size)])
-    previous = F.array(*[F.lit(before.get(r, -1)) for r in range(size)])
+    # A range without rows has no first id; nothing looks it up.
+    first = numbers([firsts.get(r, 0) for r in range(size)])
+    previous = numbers([before.get(r, -1) for r in range(size)])
     home = lambda r: F.struct(r.alias("range"), F.lit(0).alias("guest"))
-    away = lambda r: F.struct(F.get(previous, r).alias("range"), F.lit(1).alias("guest"))
+    away = lambda r: F.struct(F.get(previous, r).cast("int").alias("range"), F.lit(1).alias("guest"))
     where = let(place, lambda r: F.when(F.get(first, r) == F.col(key), F.array(home(r), away(r))).otherwise(F.array(home(r))))
     lost = F.array(F.struct((-1 - F.pmod(F.xxhash64("text"), F.lit(n))).cast("int").alias("range"), F.lit(0).alias("guest")))
     return docs.withColumn("__at", F.explode(F.when(F.col(key).isNull(), lost).otherwise(where))).withColumns({"range": F.col("__at.range"), "guest": F.col("__at.guest")}).drop("__at")
