@@ -33,15 +33,29 @@ FIELDS = {
     "title": 503, "author": 100, "subject": 105, "publisher": 101, "publishdate": 106, "description": 103, "imprint": 102, "contributor": 108, "review": 107, "copyright": 109, "isbn": 104,
     "asin": 113, "language": 524,
 }
-#: Languages and, by language, regions with their numbers (public locale identifiers; the ones this engine names).
+#: Languages by number (fixed values of the format).
 LANGUAGES = {
-    1: "ar", 2: "bg", 3: "ca", 4: "zh", 5: "cs", 6: "da", 7: "de", 8: "el", 9: "en", 10: "es", 11: "fi", 12: "fr", 13: "he", 14: "hu", 15: "is", 16: "it", 17: "ja", 18: "ko", 19: "nl",
-    20: "no", 21: "pl", 22: "pt", 24: "ro", 25: "ru", 26: "hr", 27: "sk", 28: "sq", 29: "sv", 30: "th", 31: "tr", 32: "ur", 33: "id", 34: "uk", 35: "be", 36: "sl", 37: "et", 38: "lv", 39: "lt",
-    41: "fa", 42: "vi", 43: "hy", 45: "eu", 47: "mk", 54: "af", 55: "ka", 57: "hi", 65: "sw",
+    0: "neutral", 1: "ar", 2: "bg", 3: "ca", 4: "zh", 5: "cs", 6: "da", 7: "de", 8: "el", 9: "en", 10: "es", 11: "fi", 12: "fr", 13: "he", 14: "hu", 15: "is", 16: "it", 17: "ja", 18: "ko", 19: "nl",
+    20: "no", 21: "pl", 22: "pt", 23: "rm", 24: "ro", 25: "ru", 26: "hr", 27: "sk", 28: "sq", 29: "sv", 30: "th", 31: "tr", 32: "ur", 33: "id", 34: "uk", 35: "be", 36: "sl", 37: "et", 38: "lv", 39: "lt",
+    41: "fa", 42: "vi", 43: "hy", 44: "az", 45: "eu", 46: "sb", 47: "mk", 48: "sx", 49: "ts", 50: "tn", 52: "xh", 53: "zu", 54: "af", 55: "ka", 56: "fo", 57: "hi", 58: "mt", 59: "sz", 60: "ga",
+    62: "ms", 63: "kk", 65: "sw", 67: "uz", 68: "tt", 69: "bn", 70: "pa", 71: "gu", 72: "or", 73: "ta", 74: "te", 75: "kn", 76: "ml", 77: "as", 78: "mr", 79: "sa", 82: "cy", 83: "gl", 87: "x-kok", 97: "ne", 98: "fy",
 }
+#: Locales of a language by its regions from 1 on (fixed values of the format).
 REGIONS = {
-    (4, 1): "tw", (4, 2): "cn", (4, 3): "hk", (4, 4): "sg", (7, 1): "de", (7, 2): "ch", (7, 3): "at", (7, 4): "lu", (9, 1): "us", (9, 2): "gb", (9, 3): "au", (9, 4): "ca", (9, 5): "nz", (9, 6): "ie",
-    (10, 1): "es", (10, 2): "mx", (10, 11): "ar", (12, 1): "fr", (12, 2): "be", (12, 3): "ca", (12, 4): "ch", (16, 1): "it", (16, 2): "ch", (19, 1): "nl", (19, 2): "be", (22, 1): "br", (22, 2): "pt",
+    1: ["ar-sa", "ar", "ar-eg", "ar", "ar-dz", "ar-ma", "ar-tn", "ar-om", "ar-ye", "ar-sy", "ar-jo", "ar-lb", "ar-kw", "ar-ae", "ar-bh", "ar-qa"],
+    4: ["zh-tw", "zh-cn", "zh-hk", "zh-sg"],
+    7: ["de-de", "de-ch", "de-at", "de-lu", "de-li"],
+    9: ["en-us", "en-gb", "en-au", "en-ca", "en-nz", "en-ie", "en-za", "en-jm", "en", "en-bz", "en-tt", "en-zw", "en-ph"],
+    10: ["es-es", "es-mx", "es", "es-gt", "es-cr", "es-pa", "es-do", "es-ve", "es-co", "es-pe", "es-ar", "es-ec", "es-cl", "es-uy", "es-py", "es-bo", "es-sv", "es-hn", "es-ni", "es-pr"],
+    12: ["fr-fr", "fr-be", "fr-ca", "fr-ch", "fr-lu", "fr-mc"],
+    16: ["it-it", "it-ch"],
+    19: ["nl-nl", "nl-be"],
+    22: ["pt-br", "pt-pt"],
+    26: ["sr", "sr", "sr", "sr"],
+    29: ["sv-se", "sv-fi"],
+    67: ["uz", "uz-uz"],
+    82: ["cy-gb"],
+    83: ["gl-es"],
 }
 CREATORS = {1: "mobigen", 2: "mobipocket creator", 200: "kindlegen", 201: "kindlegen", 202: "kindlegen"}
 
@@ -52,32 +66,28 @@ def tag_table(spark) -> DataFrame:
 
 def locale_table(spark) -> DataFrame:
     """(language_no, region_no, locale): region 0 is the language alone."""
-    rows = [(n, 0, name) for n, name in LANGUAGES.items()] + [(n, r, f"{LANGUAGES[n]}-{region}") for (n, r), region in REGIONS.items()]
+    rows = [(n, 0, name) for n, name in LANGUAGES.items()] + [(n, r, name) for n, names in REGIONS.items() for r, name in enumerate(names, 1)]
     return spark.createDataFrame(rows, "language_no int, region_no int, locale string")
 
 
 def with_locale(rows: DataFrame, number: str = "locale_no") -> DataFrame:
-    """rows with `locale`, by the low byte (language) and the next (region, in fours); the language alone where the
-    region is not known, null where neither is. A null number gives null."""
+    """rows with `locale`, by the low byte (language) and the next ones (region, in fours); null where the format names no
+    such region. A null number gives null."""
     n = F.col(number)
-    names = locale_table(rows.sparkSession)
-    exact = names.select(F.col("language_no").alias("_l"), F.col("region_no").alias("_r"), F.col("locale").alias("_exact"))
-    alone = names.filter("region_no = 0").select(F.col("language_no").alias("_l"), F.col("locale").alias("_alone"))
-    out = rows.withColumn("_l", n.bitwiseAND(255).cast("int")).withColumn("_r", F.floor(F.shiftright(n, 8) / 4).cast("int"))
-    out = out.join(F.broadcast(exact), ["_l", "_r"], "left").join(F.broadcast(alone), "_l", "left")
-    return out.withColumn("locale", F.coalesce("_exact", "_alone")).drop("_l", "_r", "_exact", "_alone")
+    names = locale_table(rows.sparkSession).select(F.col("language_no").alias("_l"), F.col("region_no").alias("_r"), "locale")
+    out = rows.drop("locale").withColumn("_l", n.bitwiseAND(255).cast("int")).withColumn("_r", F.floor(F.shiftright(n, 8) / 4).cast("int"))
+    return out.join(F.broadcast(names), ["_l", "_r"], "left").drop("_l", "_r")
 
 
 def with_locale_number(rows: DataFrame, name: str = "locale") -> DataFrame:
-    """rows with `locale_no` of a name like en-GB, in any case; the language's number where the region is not known, 0
-    where the language isn't."""
-    names = locale_table(rows.sparkSession).withColumn("number", F.col("language_no") + F.shiftleft(F.col("region_no") * 4, 8))
-    text = F.lower(F.col(name))
-    exact = names.select(F.col("locale").alias("_x"), F.col("number").alias("_exact"))
-    alone = names.filter("region_no = 0").select(F.col("locale").alias("_y"), F.col("number").alias("_alone"))
-    out = rows.withColumn("_x", text).withColumn("_y", F.split(text, "-")[0])
-    out = out.join(F.broadcast(exact), "_x", "left").join(F.broadcast(alone), "_y", "left")
-    return out.withColumn("locale_no", F.coalesce("_exact", "_alone", F.lit(0)).cast("long")).drop("_x", "_y", "_exact", "_alone")
+    """rows with `locale_no` of a name like en-GB, in any case. Its first two letters choose the language (the lowest number
+    that begins so), the whole name the lowest region of it, else region 0; 0 where no language begins so."""
+    names, text = locale_table(rows.sparkSession), F.lower(F.col(name))
+    first = names.filter("region_no = 0").groupBy(F.substring("locale", 1, 2).alias("_y")).agg(F.min("language_no").alias("_language"))
+    exact = names.groupBy(F.col("language_no").alias("_language"), F.col("locale").alias("_x")).agg(F.min("region_no").alias("_region"))
+    out = rows.withColumn("_x", text).withColumn("_y", F.substring(text, 1, 2)).join(F.broadcast(first), "_y", "left").join(F.broadcast(exact), ["_language", "_x"], "left")
+    number = F.col("_language") + F.shiftleft(F.coalesce("_region", F.lit(0)) * 4, 8)
+    return out.withColumn("locale_no", F.coalesce(number, F.lit(0)).cast("long")).drop("_x", "_y", "_language", "_region")
 
 
 def decoded_tags(tags: DataFrame, heads: DataFrame) -> DataFrame:
