@@ -22,6 +22,7 @@ SCHEMAS = {
     "ncx": [(1, 1, 1, 0), (3, 1, 2, 0), (4, 1, 4, 0), (21, 1, 8, 0), (22, 1, 16, 0), (23, 1, 32, 0), (0, 0, 0, 1)],
     "orth": [(1, 1, 1, 0), (2, 1, 2, 0), (42, 1, 12, 0), (0, 0, 0, 1)],
     "infl": [(5, 1, 7, 0), (26, 1, 56, 0), (0, 0, 0, 1)],
+    "infl_old": [(7, 2, 7, 0), (0, 0, 0, 1)],
 }
 ROW = "array<struct<label:binary,tags:array<array<bigint>>>>"
 
@@ -108,12 +109,16 @@ def markup_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", F.col("uid").cast("long").alias("uid"), "status", F.md5("data").alias("data_md5"))
 
 
-@query("""SELECT doc_id, '<p id="top">' || coalesce(source, '') || '</p><a href="part00000.html">a</a><a href="part00001.html#end">b</a><img src="resource00001.jpg"/><link href="flow00001.css"/><a href="kindle:embed:00ZZ">c</a>' AS markup FROM documents""")
+#: Texts in markup: less-than signs escaped, so a text makes no tags.
+ESCAPED = "replace(coalesce(text, ''), '<', '&lt;')"
+
+
+@query(f"""SELECT doc_id, md5({ESCAPED} || '<p id="top">' || coalesce(source, '') || '</p><a href="part00000.html">a</a><a href="part00001.html#end">b</a><img src="resource00001.jpg"/><link href="flow00001.css"/><a href="kindle:embed:00ZZ">c</a>' || {ESCAPED}) AS markup_md5 FROM documents""")
 def kindle_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Links to positions, flows and resources resolved and written back; one that leads nowhere stays."""
-    docs = docs_of(spark, sf_dir, "source")
+    """Links to positions, flows and resources resolved and written back into whole texts; one that leads nowhere stays."""
+    docs = docs_of(spark, sf_dir, "source", "text")
     links = '</p><a href="kindle:pos:fid:0000:off:0000000000">a</a><a href="kindle:pos:fid:0001:off:0000000003">b</a><img src="kindle:embed:0002?mime=image/jpg"/><link href="kindle:flow:0001?mime=text/css"/><a href="kindle:embed:00ZZ">c</a>'
-    first = F.encode(F.concat(F.lit('<p id="top">'), F.coalesce("source", F.lit("")), F.lit(links)), "UTF-8")
+    first = F.encode(F.concat(F.expr(ESCAPED), F.lit('<p id="top">'), F.coalesce("source", F.lit("")), F.lit(links), F.expr(ESCAPED)), "UTF-8")
     parts = docs.select("doc_id", F.explode(F.array(F.struct(F.lit(0).alias("uid"), first.alias("data")), F.struct(F.lit(1).alias("uid"), F.lit(b'<p>some</p><p id="end"/>').alias("data")))).alias("p")).select("doc_id", "p.*")
     frags = docs.select("doc_id", F.explode(F.array(*[F.struct(F.lit(i).alias("entry_no"), F.lit(i).cast("long").alias("file_nr"), F.lit(1000 * i).cast("long").alias("insert_at")) for i in (0, 1)])).alias("f")).select("doc_id", "f.*")
     starts = frags.select("doc_id", "file_nr", F.col("insert_at").alias("start"))
@@ -123,18 +128,19 @@ def kindle_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     located = markup.next_anchors(spots, anchors, ["doc_id", "file_nr"])
     name = lambda n, file: docs.select("doc_id", F.lit(n).alias("uid"), F.lit(file).alias("file_name"))
     done = markup.resolved_links(found, located, name(1, "flow00001.css"), name(1, "resource00001.jpg"))
-    return markup.with_links(parts, done).filter("uid = 0").select("doc_id", F.col("data").cast("string").alias("markup"))
+    return markup.with_links(parts, done).filter("uid = 0").select("doc_id", F.md5("data").alias("markup_md5"))
 
 
-@query("""SELECT doc_id, '<p><a id="0000000003"></a>' || md5(coalesce(text, '')) || '<a href="#0000000003">x</a><a id="0000000053"></a><img src="resource00000.png"/><img recindex="00007"/>' AS markup FROM documents""")
+@query(f"""SELECT doc_id, md5('<p><a id="0000000003"></a>' || {ESCAPED} || '<a href="#0000000003">x</a><a id="' || lpad((strlen({ESCAPED}) + 21)::VARCHAR, 10, '0') || '"></a><img src="resource00000.png"/><img recindex="00007"/>' || {ESCAPED}) AS markup_md5 FROM documents""")
 def filepos_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The older format's links and images rewritten, with an anchor at each target; a target of the table of contents
     stands right before an image, one inside a link falls away."""
-    digest = F.md5(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))
-    rows = docs_of(spark, sf_dir).select("doc_id", F.encode(F.concat(F.lit("<p>"), digest, F.lit('<a filepos=3>x</a><img recindex="00001"/><img recindex="00007"/>')), "UTF-8").alias("text"))
-    toc = rows.select("doc_id", F.explode(F.array(F.lit(53), F.lit(40), F.lit(0))).alias("filepos"))
+    body = F.expr(ESCAPED)
+    docs = docs_of(spark, sf_dir).withColumn("n", F.octet_length(body))
+    rows = docs.select("doc_id", F.encode(F.concat(F.lit("<p>"), body, F.lit('<a filepos=3>x</a><img recindex="00001"/><img recindex="00007"/>'), body), "UTF-8").alias("text"))
+    toc = docs.select("doc_id", F.explode(F.array(F.col("n") + 21, F.col("n") + 8, F.lit(0))).alias("filepos"))
     names = rows.select("doc_id", F.lit(0).alias("uid"), F.lit("resource00000.png").alias("file_name"))
-    return markup.old_markup(rows, names, toc).select("doc_id", F.col("data").cast("string").alias("markup"))
+    return markup.old_markup(rows, names, toc).select("doc_id", F.md5("data").alias("markup_md5"))
 
 
 @query("""SELECT page_id, string_agg(DISTINCT value, ' ' ORDER BY value) AS targets FROM (SELECT page_id, unnest(regexp_extract_all(html, '[\\s"]href="([^"]{0,150})"', 1)) AS value FROM pages) GROUP BY page_id""")
@@ -283,7 +289,43 @@ SELECT word, base, ending, left(word, length(word) - length(base)) || ending AS
 def suffix_inflections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Forms of all words by the endings they have."""
     words = docs_of(spark, sf_dir).select(F.explode(F.split(F.lower(F.coalesce("text", F.lit(""))), "[^a-z]+")).alias("word")).filter("word <> ''").distinct()
-    return dictionary.suffix_forms(words, spark.createDataFrame(SUFFIXES, "base string, ending string"), [])
+    return dictionary.suffix_forms(words, spark.createDataFrame(SUFFIXES, "base string, ending string"), []).drop("ord")
+
+
+@query("""WITH s(no, base, ending) AS (VALUES (1, '_1', 'IAN'), (2, '12', 'CH'), (3, '1', 's!'), (4, '2', 's!'))
+SELECT n_regionkey::BIGINT AS doc_id, n_name AS headword, row_number() OVER (PARTITION BY n_name ORDER BY length(base), no)::BIGINT AS ord, left(n_name, length(n_name) - length(base)) || ending AS form
+FROM nation JOIN s ON right(n_name, length(base)) = base""")
+def suffix_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forms of headwords by an inflection index of the first kind, whose bases stand in its string pool."""
+    nation = table(spark, sf_dir, "nation").select(F.col("n_regionkey").cast("long").alias("doc_id"), "n_nationkey", "n_name")
+    entry = row(F.col("n_name"), [F.col("n_nationkey") * 10], [F.lit(4)], [])
+    docs = nation.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", entry.alias("e")))), lambda s: s["e"]).alias("rows"))
+    ends = F.array(*[row(F.lit(label), [F.lit(v) for v in places]) for label, places in (("IAN", (2, 0)), ("CH", (2, 2)), ("s!", (1, 1, 1, 3)), ("none", (0, 0, 9, 3)))])
+    docs = staged(docs.select("doc_id", index_of("orth", F.col("rows")).alias("orth"), index_of("infl_old", ends).alias("infl"), F.lit(b"_112").alias("pool")), "records")
+    read = lambda name, kind: decoded(docs.select("doc_id", F.col(name).alias("records")), kind)
+    orth = read("orth", "orth")
+    forms = dictionary.pool_forms(orth, read("infl", "infl_old"), docs.select("doc_id", "pool"))
+    return forms.join(orth.select("doc_id", "entry_no", F.col("label").cast("string").alias("headword")), ["doc_id", "entry_no"]).select("doc_id", "headword", F.col("ord").cast("long").alias("ord"), "form")
+
+
+@query("""SELECT n_regionkey::BIGINT AS doc_id, n_nationkey::BIGINT AS position, 'Œ😀' || CASE WHEN n_regionkey % 2 = 0 THEN '€' ELSE 'È' END || n_name || '�' AS label FROM nation""")
+def ordt_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels as places of one or two bytes in a table of UTF-16 units: a ligature, a pair of surrogates, a place outside the
+    table and half a pair."""
+
+    @F.pandas_udf("array<binary>")
+    def encoded(rows: pd.Series, wide: pd.Series) -> pd.Series:
+        units = [1, 0xD83D, 0xDE00, *range(32, 127)]
+
+        def index_records(names: list, w: bool) -> list[bytes]:
+            word = lambda name: [0, units.index(69), 1, 2, 0x20AC if w else 0xC8, *(units.index(ord(c)) for c in name), 1]
+            return index.encode([(b"".join(p.to_bytes(2 if w else 1, "big") for p in word(r["n_name"])), [[int(r["n_nationkey"])], [1], []]) for r in names], SCHEMAS["orth"], 1, units, w)
+
+        return pd.Series([index_records(list(r), bool(w)) for r, w in zip(rows, wide)], dtype=object)
+
+    nation = table(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").cast("long").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("rows"))
+    records = nation.select("doc_id", encoded("rows", F.col("doc_id") % 2 == 0).alias("records"))
+    return decoded(records, "orth").select("doc_id", "position", F.col("label").cast("string").alias("label"))
 
 
 @query("""WITH w AS (SELECT doc_id, regexp_split_to_array(lower(coalesce(text, '')), '[^a-z]+') AS w FROM documents)

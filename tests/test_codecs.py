@@ -106,9 +106,24 @@ def test_index_round_trip_and_damage():
 
 
 def test_labels():
-    assert index.label_of(b"\x01aB\x00", True) == "Œ".encode("cp1252") + b"B?"
+    assert index.label_of(b"\x01EB\x00\x05s\x01aB\x02", True) == "Œ".encode("cp1252") + b"B?" + "ß".encode("cp1252") + b"?aB?"
     assert index.label_of(b"\x01a", False) == b"\x01a"
-    assert index.ordered_label(bytes((0, 1, 9)), [0x41, 0x20AC]) == "A€�".encode()
+    assert index.ordered_label(bytes((0, 1, 9, 0xE9)), [0x41, 0x20AC]) == "A€\té".encode()
+    assert index.ordered_label(b"\x00\x00\x20\xac\x00\x01\x00", [0x41, 0], wide=True) == "A€\ufffd".encode()
+    assert index.ordered_label(bytes((0, 1, 2, 1, 3, 4, 3)), [1, 0x45, 0x41, 0xD83D, 0xDE00]) == "ŒAE😀\ufffd".encode()
+    assert index.ordered_label(bytes((0, 1)), [2, 0x45]) == "\ufffdE".encode()
+    assert len(index.ordered_label(bytes(500), [0x20AC])) == 999 and index.ordered_label(b"", [65]) == b""
+
+
+def test_label_tables_and_damage():
+    schema = [(1, 1, 1, 0), (0, 0, 0, 1)]
+    for wide in (False, True):
+        label = bytes((0, 1)) if not wide else bytes((0, 0, 0, 1))
+        meta, data = index.encode([(label, [[7]])], schema, 1, [0x3B1, 0x3B2], wide)
+        assert [e["label"].decode() for e in index.decode([meta, data])] == ["αβ"]
+        assert index.decode([meta[:-1], data]) is None
+        assert index.decode([meta[:-5], data])[0]["label"] == label.replace(b"\0", b"?")  # its units reach beyond the record: no table
+        assert index.decode([meta[:100], data]) is None
 
 
 def test_splice():

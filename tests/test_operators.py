@@ -83,9 +83,11 @@ def test_metadata_edits(spark):
 
 def test_locales(spark):
     rows = spark.createDataFrame([(9,), (9 + 0x0800,), (9 + 0xFC00,), (255,), (None,)], "locale_no long")
-    assert sorted(str(r.locale) for r in metadata.with_locale(rows).collect()) == ["None", "None", "en", "en", "en-gb"]
+    assert sorted(str(r.locale) for r in metadata.with_locale(rows).collect()) == ["None", "None", "None", "en", "en-gb"]  # a region without a name has none
     names = spark.createDataFrame([("EN-gb",), ("en-zz",), ("xx",), (None,)], "locale string")
     assert {r.locale: r.locale_no for r in metadata.with_locale_number(names).collect()} == {"EN-gb": 9 + 0x0800, "en-zz": 9, "xx": 0, None: 0}
+    table = metadata.locale_table(spark)
+    assert table.count() == table.select("language_no", "region_no").distinct().count() == len(metadata.LANGUAGES) + sum(map(len, metadata.REGIONS.values()))
 
 
 def test_resources_stop_and_count(spark):
@@ -142,6 +144,19 @@ def test_suffixes(spark):
     assert got == [("", "!"), ("a", "a!"), ("city", "cities"), ("city", "city!"), ("city", "x")]
 
 
+def test_suffixes_from_a_pool(spark):
+    """Shortest base first, entries in order; bases that are empty, cut or beyond the pool are left out; bytes, no charset."""
+    tags = "array<struct<tagid:int,values:array<bigint>>>"
+    infl = [(1, 0, b"x\xe9", [(7, [1, 1, 2, 0])]), (1, 1, b"z", [(7, [0, 0, 9, 9, 1, 1, 5])]), (1, 2, b"n", []), (2, 0, b"q", [(7, [1, 1])])]
+    infl = spark.createDataFrame([(d, e, bytearray(w), t) for d, e, w, t in infl], f"doc_id long, entry_no int, label binary, tags {tags}")
+    orth = [(1, 0, b"ab", []), (1, 1, b"", []), (2, 0, b"ab", [(42, [0])]), (3, 0, b"ab", [])]
+    orth = spark.createDataFrame([(d, e, bytearray(w), t) for d, e, w, t in orth], f"doc_id long, entry_no int, label binary, tags {tags}")
+    pool = spark.createDataFrame([(1, bytearray(b"ab")), (2, bytearray(b"ab"))], "doc_id long, pool binary")
+    got = dictionary.pool_forms(orth, infl, pool).selectExpr("doc_id", "entry_no", "ord", "hex(cast(form as binary)) as form", "name").collect()
+    assert sorted(tuple(r) for r in got) == [(1, 0, 1, "6178E9", None), (1, 0, 2, "617A", None), (1, 0, 3, "78E9", None)]
+    assert dictionary.pool_forms(orth.limit(0), infl, pool).count() == 0 == dictionary.pool_forms(orth, infl.limit(0), pool).count()
+
+
 def test_record_ranges(spark):
     recs = spark.createDataFrame([(1, i, bytearray(b"%d" % i)) for i in range(5)], "doc_id long, seq int, data binary")
     span = spark.createDataFrame([(1, 1, 2)], "doc_id long, first int, count int")
