@@ -157,6 +157,15 @@ def test_suffixes_from_a_pool(spark):
     assert dictionary.pool_forms(orth.limit(0), infl, pool).count() == 0 == dictionary.pool_forms(orth, infl.limit(0), pool).count()
 
 
+def test_headwords_keep_their_bytes(spark):
+    """A headword in a one-byte charset passes rules and markup unchanged."""
+    tags = "array<struct<tagid:int,values:array<bigint>>>"
+    orth = spark.createDataFrame([(1, 0, bytearray(b"caf\xe9"), [(42, [0])], 0, 0)], f"doc_id long, entry_no int, label binary, tags {tags}, position long, length long")
+    infl = spark.createDataFrame([(1, 0, bytearray(b"g"), [(5, [0]), (26, [1])]), (1, 1, bytearray(b"\x02s"), [])], f"doc_id long, entry_no int, label binary, tags {tags}")
+    got = dictionary.headword_inserts(orth, dictionary.rule_forms(orth, infl)).collect()
+    assert [bytes(r.value) for r in got] == [b'<idx:entry><idx:orth value="caf\xe9"><idx:infl><idx:iform value="caf\xe9s"/></idx:infl></idx:orth></idx:entry>']
+
+
 def test_record_ranges(spark):
     recs = spark.createDataFrame([(1, i, bytearray(b"%d" % i)) for i in range(5)], "doc_id long, seq int, data binary")
     span = spark.createDataFrame([(1, 1, 2)], "doc_id long, first int, count int")
