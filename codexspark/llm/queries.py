@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codexspark.llm import fingerprints, mixing, near_dedup, pieces, pii, quality_classifier, quality_rules, repeats, token_counts, toxicity
+from codexspark.llm import collocations, embedding_dedup, fingerprints, mixing, near_dedup, pieces, pii, quality_classifier, quality_rules, repeats, token_counts, toxicity, vector_codes
 from codexspark.llm.shared import table
 
 
@@ -149,5 +149,82 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_pieces, op3_mix_sources, op4_token_counts, op5_near_dedup, op6_quality_classifier, op7_toxicity, op8_fingerprints, op9_quality_rules, op10_pii)}
-ORACLES: dict[str, str] = {"op1_suffix_dedup": OP1_SQL, "op3_mix_sources": OP3_SQL, "op5_near_dedup": OP5_SQL}
+def op11_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding"))
+
+
+OP11_SQL = r"""
+WITH RECURSIVE vectors AS (
+  SELECT vec_id, label, CASE WHEN len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+                             THEN embedding::DOUBLE[] END AS v FROM embeddings),
+links AS (
+  SELECT x.vec_id AS a, y.vec_id AS b FROM vectors x JOIN vectors y ON x.label = y.label AND x.vec_id <> y.vec_id AND len(x.v) = len(y.v)
+  WHERE list_cosine_similarity(x.v, y.v) >= 0.98),
+reach(node, other) AS (SELECT vec_id, vec_id FROM vectors UNION SELECT r.node, l.b FROM reach r JOIN links l ON r.other = l.a),
+least AS (SELECT node, min(other) AS component_id FROM reach GROUP BY node),
+sums AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT v.vec_id, coalesce(s.n, 0)::BIGINT AS n_links, l.component_id, v.vec_id = l.component_id AS kept
+FROM vectors v JOIN least l ON l.node = v.vec_id LEFT JOIN sums s ON s.a = v.vec_id
+"""
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, books = vector_codes.compressed(table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding"))
+    rows = vector_codes.with_label_errors(rows)
+    return rows.select("vec_id", F.lower(F.hex("codes")).alias("code"), "error", "label_error", F.lit(vector_codes.printed(books)).alias("codebooks_sha256"))
+
+
+def _op12_sql() -> str:
+    nearest = """SELECT vec_id, part, p, min_by(entry, (d, entry)) AS entry, min(d) AS d FROM (
+  SELECT x.vec_id, x.part, x.p, b.entry, list_sum(list_transform(list_zip(x.p, b.c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d
+  FROM parts x JOIN book{r} b USING (part)) GROUP BY ALL"""
+    means = """SELECT b.part, b.entry, coalesce(m.c, b.c) AS c FROM book{before} b LEFT JOIN (
+  SELECT part, entry, list((s - ((s % n) + n) % n) // n ORDER BY i) AS c FROM (
+    SELECT part, entry, i, sum(p[i])::BIGINT AS s, count(*) AS n FROM (SELECT part, entry, p, unnest(range(1, len(p) + 1)) AS i FROM near{before}) GROUP BY ALL) GROUP BY ALL) m USING (part, entry)"""
+    steps = "".join(f",\nnear{r} AS MATERIALIZED ({nearest.format(r=r)})" + (f",\nbook{r + 1} AS MATERIALIZED ({means.format(before=r)})" if r < 4 else "") for r in range(5))
+    return rf"""
+WITH ints AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS MATERIALIZED (SELECT vec_id, part, v[part * (len(v) // 4) + 1:(part + 1) * (len(v) // 4)] AS p FROM ints, range(4) t(part)),
+first AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM ints QUALIFY entry < 256),
+book0 AS MATERIALIZED (SELECT part, entry, p AS c FROM parts JOIN first USING (vec_id)){steps},
+coded AS (SELECT vec_id, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM near4 GROUP BY vec_id),
+sums AS (SELECT i.label, sum(c.error)::BIGINT AS label_error FROM coded c JOIN ints i USING (vec_id) GROUP BY i.label)
+SELECT c.vec_id, c.code, c.error, s.label_error, (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) FROM book4) AS codebooks_sha256
+FROM coded c JOIN ints i USING (vec_id) JOIN sums s ON s.label IS NOT DISTINCT FROM i.label
+"""
+
+
+OP12_SQL = _op12_sql()
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
+OP13_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (
+    SELECT lang, unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM pieces GROUP BY lang),
+phrases AS MATERIALIZED (
+  SELECT lang, k, phrase, count(*) AS f FROM (
+    SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM pieces, range(1, 6) t(k) WHERE len(w) >= k))
+  GROUP BY ALL HAVING count(*) >= 100),
+cuts AS (
+  SELECT p.lang, p.phrase, p.f AS a, cut, l.f AS l, r.f AS r, t.n, ((1000::HUGEINT * p.f * t.n) // (l.f::HUGEINT * r.f))::BIGINT AS score
+  FROM (SELECT *, string_split(phrase, ' ') AS w, unnest(range(1, k)) AS cut FROM phrases WHERE k > 1) p JOIN totals t USING (lang)
+  JOIN phrases l ON l.lang = p.lang AND l.k = cut AND l.phrase = array_to_string(p.w[1:cut], ' ')
+  JOIN phrases r ON r.lang = p.lang AND r.k = p.k - cut AND r.phrase = array_to_string(p.w[cut + 1:], ' ')),
+scored AS (SELECT lang, phrase, a, min_by({'l': l, 'r': r, 'n': n, 'score': score}, (score, cut)) AS x FROM cuts GROUP BY ALL),
+open AS (
+  SELECT * FROM scored s WHERE NOT EXISTS (
+    SELECT 1 FROM phrases g WHERE g.lang = s.lang AND 100 * g.f >= 100 * s.a AND length(g.phrase) > length(s.phrase) AND contains(' ' || g.phrase || ' ', ' ' || s.phrase || ' '))),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY x.score DESC, a DESC, phrase) AS rank FROM open)
+SELECT lang, rank, phrase, a, x.l AS l, x.r AS r, x.n AS n, x.score AS score FROM ranked WHERE rank <= 2000
+"""
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_pieces, op3_mix_sources, op4_token_counts, op5_near_dedup, op6_quality_classifier, op7_toxicity, op8_fingerprints, op9_quality_rules, op10_pii, op11_embedding_dedup, op12_vector_codes, op13_collocations)}
+ORACLES: dict[str, str] = {"op1_suffix_dedup": OP1_SQL, "op3_mix_sources": OP3_SQL, "op5_near_dedup": OP5_SQL, "op11_embedding_dedup": OP11_SQL, "op12_vector_codes": OP12_SQL, "op13_collocations": OP13_SQL}

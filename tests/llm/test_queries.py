@@ -14,6 +14,7 @@ from tests.llm.test_operators import RANKS, plain_base, plain_rules, result, wor
 
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
 LABELS = "doc_id long, quality int, toxic int"
+EMBEDDINGS = "vec_id long, embedding array<float>, label int"
 
 
 @pytest.fixture(scope="module")
@@ -37,6 +38,7 @@ def empty(spark, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("empty"))
     spark.createDataFrame([], DOCUMENTS).write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame([], LABELS).write.parquet(f"{path}/labels.parquet")
+    spark.createDataFrame([], EMBEDDINGS).write.parquet(f"{path}/embeddings.parquet")
     return path
 
 
@@ -45,7 +47,7 @@ def test_empty_tables_give_empty_results(spark, empty, name):
     assert queries.QUERIES[name](spark, empty).collect() == []
 
 
-@pytest.mark.parametrize("name", ["op1_suffix_dedup", "op3_mix_sources", "op5_near_dedup"])
+@pytest.mark.parametrize("name", ["op1_suffix_dedup", "op3_mix_sources", "op5_near_dedup", "op13_collocations"])
 def test_sql_gives_the_same(spark, folder, name):
     path = f"{folder[0]}/single-{name}"  # the statements take a doc_id for one row
     spark.createDataFrame(folder[1][:-2], DOCUMENTS).write.mode("overwrite").parquet(f"{path}/documents.parquet")
