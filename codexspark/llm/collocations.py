@@ -2,14 +2,16 @@
 
 Texts are cut into blocks of documents. A block holds, for each phrase in it, the sorted list of positions at which the phrase
 begins: first for single words, then level by level for the phrases that are frequent in the whole table. A position is that
-of a word in its block; a piece's end takes a position of its own, so no phrase reaches over it.
+of a word in its block; a piece's end takes a position of its own, so no phrase reaches over it. Word lists are extended as they
+are: rare words hold so few of all positions that leaving them out would cost more than it saves.
 
 To extend phrases by a word, a block merge-joins the list of each phrase with the lists of the words that stand behind it:
 positions of all lists are brought into one order, where a phrase's next entry is the one at the following position if that is
 itself frequent (the last words of a frequent phrase are a frequent phrase). The length of the joined list is the number of
 occurrences in the block; lengths are summed over blocks, and where the sum reaches LEAST, each block that has the phrase
 gets it back and builds its list. So a block is sent only phrases of its own, and nothing that grows with the table is
-broadcast or held in one task; a common phrase costs a row for each block.
+broadcast or held in one task; a common phrase costs a row for each block. Lists are bucketed by block on disk and never move:
+what is shuffled are the phrases of blocks, with their counts there and back.
 
 Counts are exact. A part of a frequent phrase is frequent, so the counts that a phrase's score needs are among those found.
 
@@ -30,19 +32,20 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codexspark.llm.shared import dropped, given_back, staged
+from codexspark.llm.shared import bucketed, dropped, given_back, staged
 
 LEAST, LONGEST, TOP = 100, 5, 2000
 BLOCK = 1 << 20  # words and piece ends of a block; a longer document is cut at a piece's end
 GAP = b"\xff"  # no byte of UTF-8
 ENDS = bytes.maketrans(b".,;:!?\n\x0b\x0c\r\t", GAP * 10 + b" ")
+#: positions are differences of neighbours, byte by byte of all
 LISTS = "block long, lang string, phrases string, counts binary, positions binary"
 
 
 def listed(block: int, lang: str, phrases: str, counts: np.ndarray, positions: np.ndarray) -> pa.RecordBatch:
     """A row of LISTS."""
-    packed = [a.astype(np.int32).tobytes() for a in (counts, positions)]
-    return pa.RecordBatch.from_pydict({"block": [block], "lang": [lang], "phrases": [phrases], "counts": packed[:1], "positions": packed[1:]})
+    steps = np.diff(positions, prepend=0).astype(np.int32).view(np.uint8).reshape(-1, 4).T.tobytes()
+    return pa.RecordBatch.from_pydict({"block": [block], "lang": [lang], "phrases": [phrases], "counts": [counts.astype(np.int32).tobytes()], "positions": [steps]})
 
 
 class Block:
@@ -107,7 +110,8 @@ def word_lists(docs: DataFrame) -> DataFrame:
 
 
 def unpacked(row: dict) -> tuple[list[str], np.ndarray, np.ndarray]:
-    return row["phrases"].split("\n"), np.frombuffer(row["counts"], np.int32), np.frombuffer(row["positions"], np.int32)
+    steps = np.ascontiguousarray(np.frombuffer(row["positions"], np.uint8).reshape(4, -1).T).view(np.int32).ravel()
+    return row["phrases"].split("\n"), np.frombuffer(row["counts"], np.int32), np.cumsum(steps, dtype=np.int64)
 
 
 class Joined:
@@ -147,6 +151,17 @@ def words_counted(lists: DataFrame) -> DataFrame:
     return lists.select("block", "lang", "phrases", "counts").mapInArrow(count, COUNTS)
 
 
+def all_words(lists: DataFrame) -> DataFrame:
+    """(lang, n) with the number of all words of word lists."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = [int(np.frombuffer(c, np.int32).sum(dtype=np.int64)) for c in batch.column("counts").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(n, pa.int64())], ["lang", "n"])
+
+    return lists.select("lang", "counts").mapInArrow(count, "lang string, n long").groupBy("lang").agg(F.sum("n").alias("n"))
+
+
 def extensions_counted(lists: DataFrame) -> DataFrame:
     """COUNTS of the phrases that have one word more."""
 
@@ -160,21 +175,17 @@ def extensions_counted(lists: DataFrame) -> DataFrame:
     return lists.mapInArrow(count, COUNTS)
 
 
-def kept(lists: DataFrame, chosen: DataFrame, extend: bool) -> DataFrame:
-    """LISTS of the phrases that chosen (block, phrases) names, from lists of the same length or, with extend, of one word less."""
+def extended(lists: DataFrame, chosen: DataFrame) -> DataFrame:
+    """LISTS of the phrases with one word more that chosen (block, wanted) names."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                wanted = set(r["wanted"].split("\n"))
-                if extend:
-                    joined = Joined(r)
-                    names, counts = joined.names(), joined.counts
-                    positions = joined.at[np.argsort(joined.which, kind="stable")]
-                else:
-                    names, counts, positions = unpacked(r)
+                wanted, joined = set(r["wanted"].split("\n")), Joined(r)
+                names = joined.names()
                 keep = np.fromiter((x in wanted for x in names), bool, len(names))
-                yield listed(r["block"], r["lang"], "\n".join(itertools.compress(names, keep)), counts[keep], positions[np.repeat(keep, counts)])
+                positions = joined.at[np.argsort(joined.which, kind="stable")][np.repeat(keep, joined.counts)]
+                yield listed(r["block"], r["lang"], "\n".join(itertools.compress(names, keep)), joined.counts[keep], positions)
         given_back()
 
     return lists.join(chosen, "block").mapInArrow(build, LISTS)
@@ -182,17 +193,17 @@ def kept(lists: DataFrame, chosen: DataFrame, extend: bool) -> DataFrame:
 
 def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, k, f) of all phrases of up to `longest` words with f >= least, and (lang, n) with all words."""
-    lists, levels = staged(word_lists(docs), "word-lists"), []
-    words = words_counted(lists)
-    totals = staged(words.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
-    for k in range(1, longest + 1):
-        counted = words if k == 1 else extensions_counted(lists)
+    lists = bucketed(word_lists(docs), "block", "word_lists")
+    totals = staged(all_words(lists), "totals")
+    words = words_counted(lists).groupBy("lang", "phrase").agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
+    levels = [staged(words, "words", release=True)]
+    for k in range(2, longest + 1):
         f = F.sum("n").over(Window.partitionBy("lang", "phrase"))
-        rows = staged(counted.withColumn("f", f).filter(F.col("f") >= least).select("block", "lang", "phrase", "f"), "frequent", release=True)
+        rows = staged(extensions_counted(lists).withColumn("f", f).filter(F.col("f") >= least).select("block", "lang", "phrase", "f"), "frequent", release=True)
         levels.append(rows)
         if k < longest:
             chosen = rows.groupBy("block").agg(F.array_join(F.collect_list("phrase"), "\n").alias("wanted"))
-            after = staged(kept(lists, chosen, k > 1), "lists", release=True)
+            after = bucketed(extended(lists, chosen), "block", "lists")
             dropped(lists)
             lists = after
     each = [rows.select("lang", "phrase", F.lit(k + 1).alias("k"), "f").distinct() for k, rows in enumerate(levels)]

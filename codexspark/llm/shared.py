@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import ctypes
+import uuid
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codexspark.sources.staging import dropped, staged
+from codexspark.sources import staging
+from codexspark.sources.staging import shared_dir, staged
 
 #: White space of every word pattern here: a word is `[^\x20\x09-\x0D]+`. bytes.split() cuts at exactly these.
 SPACES = " \t\n\x0b\x0c\r"
@@ -27,6 +29,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bucketed(rows: DataFrame, column: str, label: str) -> DataFrame:
+    """rows at rest like staged() ones, but in buckets by a column, as many as Spark's shuffle partitions: a join on the column
+    reads them where they lie and shuffles its other side only."""
+    spark = rows.sparkSession
+    name = f"{label}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{name}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(buckets, column).saveAsTable(name)
+    out = spark.table(name)
+    out.staged_path, out.staged_table = path, name
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete staged and bucketed tables that no later result is computed from."""
+    staging.dropped(*tables)
+    for rows in tables:
+        if hasattr(rows, "staged_table"):
+            rows.sparkSession.sql(f"DROP TABLE IF EXISTS {rows.staged_table}")
+
+
 def given_back() -> None:
     """Hand memory that is free again to the system: a Python worker lives on, and the stages after this one share its
     executor. Does nothing where the C library can't."""
