@@ -4,9 +4,11 @@ Disguised tokens (leetspeak, letters set apart, repeated letters, marks inside w
 each mark or space is kept as a boundary or dropped. Viterbi finds the most likely words under a character language model
 (trigrams counted over every document, mixed with those of the lexicon) in which words of the lexicon are likelier; each
 word on the best path is looked up. A walk of the lexicon's beginnings leaves out only tokens that no path can spell an
-entry from. Accents are folded in texts and lexicon alike. The lexicon holds words that speak for label 1: for each word of toxic training texts the count of distinct
-words before it (copies of a text add nothing) against the number of other training texts that have it. A small logistic
-model turns a document's hits, plain and restored, into a score.
+entry from. The lexicon holds words, with their accents, that speak for label 1: for each word of toxic training texts the
+count of distinct words before it (copies of a text add nothing) against the number of other training texts that have it. A
+word that is no entry counts as restored if it is one without its accents; the lattice spells entries without accents. Full
+width letters, letters of other scripts that look like Latin ones inside a Latin word, and signs without width are put right first.
+A small logistic model turns a document's hits, plain and restored, into a score.
 
 Labels are learned only from the rows that `held_out` leaves, at most MOST_ROWS of them (a hash picks them; the tables of
 ids and words that go to every task are bounded by that: an entry needs several contexts in those rows). Everything else covers all documents, in passes
@@ -41,23 +43,30 @@ WORDS = re.compile(r"[^\W\d_]+")
 #: Letters that a sign can stand for, cheapest first (fixed values).
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "li", "+": "t", "(": "c", "€": "e", "¡": "i"}
 #: Signs that may be put between letters.
-MARKS = set(".,-_*~'`^/\\:;") | {" "}
+MARKS = set(".,-_*~'`^/\\:;") | set(" \t\n\r")
 KEPT, LISTED = -0.5, 1.2  # log odds of a mark kept as a boundary, and of each letter of an entry
-SIGNS = re.escape("".join(sorted({*LEET, *MARKS} - {" "})))
+SIGNS = re.escape("".join(sorted({*LEET, *MARKS} - set(" \t\n\r"))))
 DIGITS, LAST, APARTS = (re.escape("".join(sorted(x))) for x in (LEET, {*LEET} - {"!", "("}, MARKS))
 #: Signs among letters, at the start or end of a word ("!" and "(" at an end are punctuation), or a letter three times.
 DISGUISED = re.compile(rf"[a-z][{SIGNS}]++[a-z]|(?<![a-z{DIGITS}])[{DIGITS}]++[a-z]|[a-z][{LAST}]++(?![a-z])|([a-z])\1\1")
 TOKEN = re.compile(rf"[a-z{SIGNS}]++")
 #: Three or more single letters with marks between.
-APART = re.compile(rf"(?<![a-z0-9])[a-z{DIGITS}](?:[{APARTS}]{{1,3}}[a-z{DIGITS}](?![a-z0-9])){{2,}}+")
+APART = re.compile(rf"(?<![a-z0-9])[a-z{DIGITS}](?:[{APARTS}]++[a-z{DIGITS}](?![a-z0-9])){{2,}}+")
 #: Plain contractions, which would read as other words without their mark (he'll).
 SHORT = re.compile(r"(?:i|you|he|she|it|we|they|who|that|there|what|how|where)'(?:ll|re|ve|[sdm])|[a-z]+n't")
 RUN = re.compile(r"(.)\1{3,}", re.S)
+MARK_RUN = re.compile(rf"([{APARTS}]{{2}})[{APARTS}]+")
+#: Most signs that an entry's letter takes up in a token: itself three times, and two marks.
+SPREAD = 5
 REPEATED = re.compile(r"([a-z])\1+")
 COMBINING = re.compile("[\u0300-\u036f]+")
 #: Letters with accents, and the plain ones.
 PLAIN = {c: d[0] for c in map(chr, [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]) if len(d := unicodedata.normalize("NFD", c)) > 1 and d[0].isascii()}
 ACCENTED = re.compile(f"[{''.join(PLAIN)}]")
+#: Signs without width, and letters that look like Latin ones (fixed values).
+NO_WIDTH = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]+")
+ALIKE = str.maketrans("\u0430\u0435\u043e\u0440\u0441\u0443\u0445\u0456\u0458\u0455\u0501\u04bb\u03b1\u03bf\u03b9\u03c1\u03bd\u0131\u0261", "aeopcyxijsdhaoipvig")
+MIXED = re.compile(f"(?=[a-z]*[{''.join(map(chr, ALIKE))}])(?=[{''.join(map(chr, ALIKE))}]*[a-z])[a-z{''.join(map(chr, ALIKE))}]+")
 FEATURES = ("top", "total", "hits", "restored")
 
 
@@ -75,6 +84,14 @@ def training_labels(labels: DataFrame, label: str, folds: int, fold: int, most:
     return own
 
 
+def composed(text: str) -> str:
+    """The text in lower case, its letters composed and in the forms that words are looked up in."""
+    if not text.isascii():
+        text = unicodedata.normalize("NFKC", NO_WIDTH.sub("", text))
+    text = text.lower()
+    return text if text.isascii() else MIXED.sub(lambda m: m[0].translate(ALIKE), text)
+
+
 def folded(text: str) -> str:
     """The text without accents on Latin letters."""
     if text.isascii():
@@ -173,7 +190,7 @@ def decode(token: str, lm: np.ndarray, lexicon: dict[str, float] | None = None,
 def spelled(token: str, start: int, lexicon: dict[str, float], prefixes: frozenset[str]) -> bool:
     """Whether any path from there spells an entry, to its end or beyond it."""
     live = {""}
-    for c in token[start : start + 2 * LONGEST]:
+    for c in token[start:]:
         options, stay, step = letters(c), c in MARKS or droppable(c), set()
         for p in live:
             for x, _ in options:
@@ -215,44 +232,53 @@ def entries(word: str) -> list[str]:
 class Scorer:
     def __init__(self, lexicon: dict[str, float], lm: np.ndarray):
         self.lexicon, self.lm = lexicon, lm
-        self.prefixes = frozenset(e[:n] for w in lexicon for e in [w.rstrip("*")] for n in range(1, len(e) + 1))
-        self.weight = functools.lru_cache(maxsize=200_000)(lambda word: max((lexicon.get(e, 0.0) for e in entries(word)), default=0.0))
-        self.tight = {REPEATED.sub(r"\1", e) for e in lexicon}
+        self.spelt: dict[str, float] = {}  # what the lattice spells
+        for entry, weight in lexicon.items():
+            self.spelt[folded(entry)] = max(weight, self.spelt.get(folded(entry), 0.0))
+        self.prefixes = frozenset(e[:n] for w in self.spelt for e in [w.rstrip("*")] for n in range(1, len(e) + 1))
+        self.window = SPREAD * max([1, *(len(w.rstrip("*")) for w in self.spelt)])
+        best = lambda own: functools.lru_cache(maxsize=200_000)(lambda word: max((own.get(e, 0.0) for e in entries(word)), default=0.0))
+        self.weight, self.spelt_weight = best(lexicon), best(self.spelt)
+        self.tight = {REPEATED.sub(r"\1", e) for e in self.spelt}
         short = functools.lru_cache(maxsize=100_000)(self.decoded)
         self.restore = lambda token: short(token) if len(token) <= 2 * LONGEST else self.decoded(token)
-        self.known = functools.lru_cache(maxsize=200_000)(lambda word: (x := self.weight(word), self.doubled(word) if not x else ()))
+        self.known = functools.lru_cache(maxsize=200_000)(lambda word: (x := self.weight(word), () if x else self.respelt(word)))
 
     def decoded(self, token: str) -> frozenset[str]:
-        """Words with a weight behind a token. Long tokens are read in a window from each place where an entry may start."""
-        token = RUN.sub(r"\1\1\1", token)
+        """Words with a weight behind a token. Long tokens are read in a window from each place where an entry may start;
+        with runs shortened, none takes up more than a window."""
+        token = MARK_RUN.sub(r"\1", RUN.sub(r"\1\1\1", token))
         starts = (i for i, c in enumerate(token) if c not in MARKS and (not i or token[i - 1] in MARKS))
-        hits = (i for i in starts if spelled(token, i, self.lexicon, self.prefixes))
-        if len(token) <= 2 * LONGEST:
+        hits = (i for i in starts if spelled(token[: i + self.window], i, self.spelt, self.prefixes))
+        if len(token) <= self.window:
             windows = [token] if next(hits, None) is not None else []
         else:
-            windows = (token[i : i + 2 * LONGEST] for i in hits)
-        return frozenset(w for t in windows for w in decode(t, self.lm, self.lexicon, self.prefixes).split() if self.weight(w))
-
-    def doubled(self, word: str) -> frozenset[str]:
-        """The same for a plain word with repeated letters."""
-        tight = REPEATED.sub(r"\1", word) if len(word) <= LONGEST else word
-        if len(tight) == len(word) or tight not in self.tight and not any(f"{tight[:n]}*" in self.tight for n in range(1, STEMS[-1] + 1)):
+            windows = (token[i : i + self.window] for i in hits)
+        return frozenset(w for t in windows for w in decode(t, self.lm, self.spelt, self.prefixes).split() if self.spelt_weight(w))
+
+    def respelt(self, word: str) -> frozenset[str]:
+        """Entries behind a plain word that is none: without its accents, or with repeated letters."""
+        plain = folded(word)
+        if plain != word and self.weight(plain):
+            return frozenset([plain])
+        tight = REPEATED.sub(r"\1", plain) if len(plain) <= LONGEST else plain
+        if len(tight) == len(plain) or tight not in self.tight and not any(f"{tight[:n]}*" in self.tight for n in range(1, STEMS[-1] + 1)):
             return frozenset()
-        return self.decoded(word)
+        return self.decoded(plain)
 
     def features(self, text: str | None) -> tuple[float, float, float, float]:
         """Highest weight, sum of weights, number of hits and of those restored, by distinct word."""
         if not text or not self.lexicon:
             return 0.0, 0.0, 0.0, 0.0
-        text = folded(text.lower())
+        text = composed(text)
         words = set(WORDS.findall(text))
-        found, hidden = [], {w for t in disguised(text) for w in self.restore(t)}
+        found, hidden = [], {w for t in disguised(folded(text)) for w in self.restore(t)}
         for x, others in map(self.known, words):
             if x:
                 found.append(x)
             elif others:
                 hidden |= others
-        more = [self.weight(w) for w in hidden - words]
+        more = [self.spelt_weight(w) for w in hidden - words]
         weights = sorted([*found, *more], reverse=True)
         return (weights[0] if weights else 0.0), sum(weights[:8]), float(len(weights)), float(len(more))
 
@@ -264,7 +290,7 @@ def lexicon_of(texts: DataFrame) -> dict[str, float]:
         for batch in batches:
             seen = set()
             for t in batch["text"]:
-                words = WORDS.findall(folded(t.lower())) if t else []
+                words = WORDS.findall(composed(t)) if t else []
                 seen.update((w, b) for w, b in zip(words, ["", *words]) if 3 <= len(w) <= LONGEST)
             yield pd.DataFrame(sorted(seen), columns=["word", "before"]).astype(object)
 
@@ -277,7 +303,7 @@ def lexicon_of(texts: DataFrame) -> dict[str, float]:
         counts = Counter()
         for batch in batches:
             for t in batch["text"]:
-                words = set(WORDS.findall(folded(t.lower()))) if t else ()
+                words = set(WORDS.findall(composed(t))) if t else ()
                 counts.update({e for w in words if len(w) <= LONGEST for e in entries(w)})
                 if len(counts) > FLUSH:
                     yield pd.DataFrame([*counts.items()], columns=["word", "b"])
@@ -316,7 +342,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, fold: int = 0,
     train = F.broadcast(staged(training_labels(labels, "toxic", folds, fold, most_rows), "toxic-train"))
     texts = staged(docs.join(train, "doc_id").select("doc_id", "text", "y"), "toxic-texts")
     lexicon = lexicon_of(texts)
-    lm = model_of(trigrams(docs), lexicon)
+    lm = model_of(trigrams(docs), {folded(e): 0.0 for e in lexicon})
 
     @F.pandas_udf(", ".join(f"{f} double" for f in FEATURES))
     def features(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

@@ -329,7 +329,7 @@ def labelled(spark):
         text = ("rep rep " * 60 + text) if low else text
         data.append((i, text + (" " + rng.choice(bad) + " " + words(rng, 5) if rude else "")))
         labels.append((i, int(not low), int(rude)))
-    data += [(1000, words(rng, 60) + " gr4mb@ld gr@mb4ld"), (1001, words(rng, 60) + " s.n.o.r.f.l.i.n.g"), (1002, words(rng, 60) + " v e x a t r i x"), (1003, words(rng, 60) + " vexxxatrix"), (1004, None), (1005, "")]
+    data += [(1000, words(rng, 60) + " grumb@ld vex@tr1x"), (1001, words(rng, 60) + " s.n.o.r.f.l.i.n.g"), (1002, words(rng, 60) + " v e x a t r i x"), (1003, words(rng, 60) + " vexxxatrix"), (1004, None), (1005, "")]
     return spark.createDataFrame(data, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
 
 
@@ -348,7 +348,7 @@ def test_toxicity_holds_out_and_restores(spark, none):
     got = {r["doc_id"]: r for r in result(toxicity.toxicity(docs, labels))}
     out = [(r["predicted"], int(i % 5 == 0)) for i, r in got.items() if r["held_out"] and i < 400]
     assert len(out) > 40 and sum(p == y for p, y in out) / len(out) > 0.95
-    assert [got[i]["predicted"] for i in (1001, 1002, 1003)] == [1, 1, 1]
+    assert [got[i]["predicted"] for i in (1000, 1001, 1002, 1003)] == [1, 1, 1, 1]
     assert got[1004]["predicted"] == got[1005]["predicted"] == 0
     assert toxicity.toxicity(none, labels).collect() == []
 
@@ -360,6 +360,53 @@ def test_decoding_restores_words():
         assert toxicity.decode(token, lm) == word
 
 
+def all_paths(token, lm, lexicon, prefixes):
+    """(score, words) of every path of a token's lattice, none left out for another."""
+    ends = []
+
+    def walk(i, a, b, node, score, words):
+        listed = toxicity.LISTED * (len(node) if node in lexicon else 0) if isinstance(node, str) else 0
+        if i == len(token):
+            ends.append((score + lm[a, b, 0] + listed, words.strip()))
+            return
+        c = token[i]
+        for x, cost in toxicity.letters(c):
+            k, own, more = ord(x) - 96, node, 0.0
+            if isinstance(node, str):
+                own, more = (True, toxicity.LISTED * len(node)) if f"{node}*" in lexicon else (node + x if node + x in prefixes else None, 0.0)
+            walk(i + 1, b, k, own, score + cost + more + lm[a, b, k], words + x)
+            if k == b:
+                walk(i + 1, a, b, node, score - 1.2, words)
+        if c in toxicity.MARKS:
+            walk(i + 1, a, b, node, score - 0.5, words)
+            if b:
+                walk(i + 1, b, 0, "", score + toxicity.KEPT + lm[a, b, 0] + listed, f"{words} ")
+        elif toxicity.droppable(c):
+            walk(i + 1, a, b, node, score - 2.5, words)
+
+    walk(0, 0, 0, "", 0.0, "")
+    return ends
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text("abi1!@. -o0", min_size=1, max_size=7), st.integers(0, 50))
+def test_decoding_takes_the_best_of_all_paths(token, seed):
+    lexicon = {"abi": 3.0, "bab": 2.0, "ba*": 2.0, "oi": 1.0}
+    prefixes = frozenset(e.rstrip("*")[:n] for e in lexicon for n in range(1, len(e) + 1))
+    lm = toxicity.model_of(np.random.default_rng(seed).integers(0, 30, 27**3).astype(float), lexicon)
+    ends = all_paths(token, lm, lexicon, prefixes)
+    got = toxicity.decode(token, lm, lexicon, prefixes)
+    assert (not ends and got == "") or max(s for s, w in ends if w == got) >= max(s for s, _ in ends) - 1e-9
+
+
+def test_accents_tell_words_apart():
+    lexicon = {"r\u00e9eux*": 4.0, "stupid": 5.0}
+    scorer = toxicity.Scorer(lexicon, toxicity.model_of(np.zeros(27**3), {toxicity.folded(e): 0.0 for e in lexicon}))
+    assert scorer.features("R\u00c9EUXPA")[0] == scorer.features("re\u0301euxpa")[0] == 4.0
+    assert scorer.features("reeuxpa reeux")[2] == 0
+    assert scorer.features("st\u00fcpid")[3] == 1
+
+
 def test_every_disguise_reaches_the_lattice():
     lexicon = {"moron": 5.0, "idiot": 5.0, "stupid": 5.0, "dumb": 5.0, "ugh": 5.0}
     plain = "he is a man and so are you but this is not an offer of the day it was at the end " * 50
@@ -370,10 +417,14 @@ def test_every_disguise_reaches_the_lattice():
     for text, n in (
         ("is a s t u p i d man", 1), ("y o u i d i o t", 1), ("s t u p i d m o r o n", 2), ("d u m b.", 1), ("u g h", 1), ("st/upid", 1), ("s,t,u,p,i,d", 1),
         ("stuupid", 1), ("st\u00fap!d", 1), ("stu\u0301p!d", 1), ("x" * 60 + "/" + "st*pid.".replace("*", "@").replace("@", "u*"), 1), ("nice-day," * 12 + "m0ron," + "good-day," * 12, 1),
+        ("s    t  .. u\n\np \t i    d", 1), ("st\u200bup\u00adid", 0), ("\uff53\uff54\uff55\uff50\uff49\uff44", 0), ("\u0455tup\u0456d", 0), ("m._-~.0._-~.r._-~.0._-~.n", 1),
+        ("nice-day," * 30 + "s--..--t--..--u--..--p--..--!--..--d", 1), ("m" * 9 + "..o" * 3 + "r" * 9 + "0" * 9 + "n" * 9, 1), ("\u0441\u0442\u0443\u043f\u0438\u0434", 0),
         ("he'll offer 1, 2, 3 and 4. and/or the end", 0), ("s" * 5000, 0), ("a-" * 5000, 0), ("0" * 200_000, 0), ("a" + "-" * 200_000, 0),
     ):
         assert scorer.features(text)[3] == n, text[:60]
     assert scorer.features("st\u00fapid")[2] == 1
+    for text in ("st\u200bup\u00adid", "\uff53\uff54\uff55\uff50\uff49\uff44", "\u0455tup\u0456d"):  # put right before any lattice
+        assert scorer.features(text)[0] == 5.0
 
 
 def test_rare_toxic_words_stay_in_the_lexicon(spark):
