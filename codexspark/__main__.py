@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from codexspark.operators import edits, metadata, resources
 from codexspark.plans.reconstruct import Collection
 from codexspark.sources import containers as C
-from codexspark.sources import writer
+from codexspark.sources import reader, writer
 
 TABLES = ("summary", "headers", "records", "exth", "toc")
 FILES = ("text", "dump", "parts", "epub", "cover", "source")
@@ -40,9 +40,9 @@ def files(book: Collection, command: str) -> DataFrame:
     if command == "epub":
         return own(book.epubs, F.lit("book.epub"), "epub")
     if command == "cover":
-        rows = resources.cover(book.records, book.headers, book.tags).join(resources.kinds(book.files.sparkSession), "kind", "left")
+        rows = reader.covers(book.opened).join(F.broadcast(resources.kinds(book.files.sparkSession)), "kind", "left")
         return own(rows, F.concat(F.lit("cover."), F.coalesce("extension", F.lit("raw"))))
-    found = resources.embedded(book.records, book.headers)
+    found = reader.embedded(book.opened)
     kind = F.when(F.substring("source", 31, 28) == F.lit(b"mimetypeapplication/epub+zip"), "epub").otherwise("zip")
     return own(found, F.concat(F.lit("source."), kind), "source").unionByName(own(found.withColumn("log", F.col("log")), F.lit("log.txt"), "log"))
 

@@ -10,6 +10,12 @@ NOTSET = 0xFFFFFFFF
 EPOCH_1904 = 2082844800
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once for each row: a lambda's argument is bound and never inlined, so expressions
+    that use it often stay small."""
+    return F.transform(F.array(value), body)[0]
+
+
 def part(data: Column, at: Column | int, size: Column | int) -> Column:
     """size bytes of data from 0-based offset `at`; null when data ends before."""
     at, size = (x if isinstance(x, Column) else F.lit(x) for x in (at, size))

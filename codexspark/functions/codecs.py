@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 import struct
 import zlib
@@ -182,17 +183,30 @@ class Huffman:
         return found
 
 
+@functools.lru_cache(maxsize=4)
+def shared(huff: bytes, cdics: tuple[bytes, ...]) -> Huffman:
+    """One decoder, with its phrases, for all documents of a worker that have the same dictionary."""
+    return Huffman(huff, list(cdics))
+
+
 def unhuff(records: list[bytes], huff: bytes, cdics: list[bytes], limit: int = RECORD) -> list[bytes | None]:
     """Text of each record; null for one that is damaged or longer than `limit`."""
     try:
-        decode = Huffman(huff, cdics)
+        decode = shared(huff, tuple(cdics))
     except (ValueError, IndexError):
         return [None] * len(records)
+    if decode.held > DICTIONARY // 2:  # what other documents have left in it is no part of this one's bound
+        shared.cache_clear()
+        decode = shared(huff, tuple(cdics))
+    before = decode.held
     out: list[bytes | None] = []
     for r in records:
         try:
             out.append(decode(r, limit))
         except (ValueError, IndexError):
+            if before and decode.held > DICTIONARY:
+                shared.cache_clear()
+                return unhuff(records, huff, cdics, limit)
             out.append(None)
     return out
 

@@ -25,6 +25,7 @@ FILEPOS = rb"filepos=\"?0*([0-9]{1,10})\"?"
 RECINDEX = rb"((?:hi|lo)?recindex=\"?0*[0-9]{1,10}\"?)"
 KINDLE = rb"[\"'(]?(kindle:(?:pos:fid:[0-9A-V]+:off:[0-9A-V]+|flow:[0-9A-V]+(?:\?mime=[^\"')\s>]*)?|embed:[0-9A-V]+(?:\?mime=[^\"')\s>]*)?))[\"')]?"
 ANCHOR = rb"\s(?:id|name)=\"([^\"]{0,%d})\"" % LONGEST_VALUE
+ID, NAME = (rb"\s%s=\"([^\"]{0,%d})\"" % (attribute, LONGEST_VALUE) for attribute in (b"id", b"name"))
 AID = rb"\said=\"([^\"]{0,%d})\"" % LONGEST_VALUE
 
 
@@ -140,6 +141,26 @@ def next_anchors(targets: DataFrame, anchors: DataFrame, keys: list[str]) -> Dat
     return out.select(*keys, "at", *[F.col(f"_e.{c}").alias(c) for c in extra], "anchor")
 
 
+def anchors_by_kind(targets: DataFrame, parts: DataFrame, keys: list[str]) -> DataFrame:
+    """targets (keys doc_id and file_nr, at, ...) with `id_anchor` and `name_anchor`, the first of either attribute in parts (doc_id, uid, data)
+    at or after each."""
+    for name, pattern in (("id_anchor", ID), ("name_anchor", NAME)):
+        own = anchors(parts, pattern).select("doc_id", F.col("uid").cast("long").alias("file_nr"), "at", "value")
+        targets = next_anchors(targets, own, keys).withColumnRenamed("anchor", name)
+    return targets
+
+
+def preferred_anchors(links: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """links (id_anchor, name_anchor, ...) with `anchor`: the id until a link finds a name alone, then the name until one finds
+    an id alone, and so on, by `order` within keys. A link that finds both or neither changes nothing and one that finds
+    one kind sets the preference whatever it was, so the state is the last such link's kind: one window, no walk."""
+    only = F.when(F.col("id_anchor").isNotNull() & F.col("name_anchor").isNull(), "id").when(F.col("name_anchor").isNotNull() & F.col("id_anchor").isNull(), "name")
+    before = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    state = F.coalesce(F.last(only, ignorenulls=True).over(before), F.lit("id"))
+    out = links.withColumn("_state", state)
+    return out.withColumn("anchor", F.when(F.col("_state") == "id", F.coalesce("id_anchor", "name_anchor")).otherwise(F.coalesce("name_anchor", "id_anchor"))).drop("_state")
+
+
 def anchors(parts: DataFrame, pattern: bytes = ANCHOR) -> DataFrame:
     """(doc_id, uid, at, value): id and name attributes (or others by pattern) of parts with their offsets."""
     rows = parts.select("doc_id", "uid", F.explode(finder(pattern)("data")).alias("f"))
@@ -160,13 +181,29 @@ def kindle_links(parts: DataFrame, style: bool = False) -> DataFrame:
 
 
 def resolved_links(links: DataFrame, located: DataFrame, flow_names: DataFrame, resource_names: DataFrame) -> DataFrame:
-    """links with `target`, null where nothing is there: positions by located (doc_id, fid, off, file_nr, anchor), flows
-    by (doc_id, uid, file_name), resources by the same with numbers from 1."""
-    spot = located.select("doc_id", F.lit("pos").alias("kind"), "fid", "off", F.concat(F.format_string("part%05d.html", F.col("file_nr").cast("long")), F.when((F.col("off") > 0) & F.col("anchor").isNotNull(), F.concat(F.lit("#"), "anchor")).otherwise("")).alias("t1")).distinct()
+    """links with `target`, null where nothing is there: positions by located (doc_id, fid, off, file_nr and anchor, or id_anchor and
+    name_anchor, of which a part's links prefer one), flows by (doc_id, uid, file_name), resources by the same with
+    numbers from 1."""
+    found = [c for c in ("anchor", "id_anchor", "name_anchor") if c in located.columns]
+    spot = located.select("doc_id", F.lit("pos").alias("kind"), "fid", "off", "file_nr", *found).distinct()
     flow = flow_names.select("doc_id", F.lit("flow").alias("kind"), F.col("uid").cast("long").alias("fid"), F.col("file_name").alias("t2"))
     res = resource_names.select("doc_id", F.lit("embed").alias("kind"), (F.col("uid") + 1).cast("long").alias("fid"), F.col("file_name").alias("t3"))
     out = links.join(spot, ["doc_id", "kind", "fid", "off"], "left").join(flow, ["doc_id", "kind", "fid"], "left").join(res, ["doc_id", "kind", "fid"], "left")
-    return out.withColumn("target", F.coalesce("t1", "t2", "t3")).drop("t1", "t2", "t3")
+    if "id_anchor" in found:
+        out = preferred_anchors(out, ["doc_id", "uid"], "start")
+    place = F.concat(F.format_string("part%05d.html", F.col("file_nr").cast("long")), F.when(F.col("off") > 0, F.concat(F.lit("#"), F.coalesce("anchor", F.lit("")))).otherwise(""))
+    return out.withColumn("target", F.coalesce(F.when(F.col("file_nr").isNotNull(), place), "t2", "t3")).drop("t2", "t3", "file_nr", "anchor", "id_anchor", "name_anchor")
+
+
+def broken_positions(links: DataFrame, located: DataFrame, parts: DataFrame) -> DataFrame:
+    """(doc_id) of documents with a link to a position that isn't there: no such fragment or part, or a place beyond the part's
+    end. Links that are too short to hold a position are none. located has `at`, parts (doc_id, uid, data)."""
+    sizes = parts.select("doc_id", F.col("uid").cast("long").alias("file_nr"), F.length("data").alias("size"))
+    spot = located.select("doc_id", "fid", "off", "file_nr", "at").distinct().join(sizes, ["doc_id", "file_nr"], "left")
+    there = spot.filter("at between 0 and size").select("doc_id", "fid", "off")
+    pos = links.filter(F.col("raw").rlike("^kindle:pos:fid:[0-9A-V]{4}:off:[0-9A-V]{10}"))
+    lost = pos.filter("fid is null or off is null").select("doc_id").unionByName(pos.join(there, ["doc_id", "fid", "off"], "left_anti").select("doc_id"))
+    return lost.distinct()
 
 
 def with_links(parts: DataFrame, links: DataFrame) -> DataFrame:

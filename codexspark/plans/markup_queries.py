@@ -217,7 +217,7 @@ def toc_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {TOC_SQL}, p AS (SELECT i, j, play_order, '<navPoint id="' || id || '" playOrder="' || play_order || '"><navLabel><text>' || title || '</text></navLabel><content src="' || target || '"/>' AS x, max(j) OVER (PARTITION BY i) AS last FROM o)
-SELECT '<?xml version="1.0" encoding="UTF-8"?><ncx xmlns="{navigation.NCX_SPACE}" version="2005-1" xml:lang="en"><head><meta name="dtb:uid" content="7"/><meta name="dtb:depth" content="2"/><meta name="dtb:totalPageCount" content="0"/><meta name="dtb:maxPageNumber" content="0"/></head><docTitle><text>A &amp; B</text></docTitle><navMap>'
+SELECT '<?xml version="1.0" encoding="UTF-8"?><ncx xmlns="{navigation.NCX_SPACE}" version="2005-1" xml:lang="en"><head><meta name="dtb:uid" content="7"/><meta name="dtb:depth" content="1"/><meta name="dtb:totalPageCount" content="0"/><meta name="dtb:maxPageNumber" content="0"/></head><docTitle><text>A &amp; B</text></docTitle><navMap>'
  || string_agg(x || CASE WHEN j > 0 THEN '</navPoint>' ELSE '' END || CASE WHEN j = last THEN '</navPoint>' ELSE '' END, '' ORDER BY play_order) || '</navMap></ncx>' AS xml FROM p""")
 def toc_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     heads = table(spark, sf_dir, "region").groupBy(F.lit(1).cast("long").alias("doc_id")).agg(F.lit(7).alias("uid"), F.lit("A & B").alias("title"), F.lit(None).cast("string").alias("language"))

@@ -6,10 +6,12 @@ never shuffles payloads. A bad container gets a status and null fields; it never
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructType
 
-from codexspark.functions.binary import NOTSET, container_time, first_value, latin, part, u8, u16, u24, u32
+from codexspark.functions.binary import NOTSET, container_time, first_value, latin, let, part, u8, u16, u24, u32
 
 #: Name, offset from the start of record 0, width (fixed values of the format).
 FIELDS = (
@@ -37,11 +39,16 @@ def scan(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     return files.withColumn("doc_id", F.xxhash64("path"))
 
 
+def container_status(content: Column) -> Column:
+    kind, count = latin(part(content, 60, 4)), u16(content, 76)
+    return F.when(count.isNull(), "DATA_CORRUPT").when(~kind.isin("BOOK", "TEXt"), "FILE_UNSUPPORTED").when(count == 0, "DATA_CORRUPT").otherwise("SUCCESS")
+
+
 def pdb_headers(containers: DataFrame) -> DataFrame:
     """(doc_id, status, name, ...) of (doc_id, content)."""
     c = F.col("content")
     kind, count = latin(part(c, 60, 4)), u16(c, 76)
-    status = F.when(count.isNull(), "DATA_CORRUPT").when(~kind.isin("BOOK", "TEXt"), "FILE_UNSUPPORTED").when(count == 0, "DATA_CORRUPT").otherwise("SUCCESS")
+    status = container_status(c)
     times = {n: u32(c, at) for n, at in (("created", 36), ("modified", 40), ("backed_up", 44))}
     return containers.select(
         "doc_id", status.alias("status"), latin(part(c, 0, 32)).alias("name"), u16(c, 32).alias("attributes"), u16(c, 34).alias("pdb_version"),
@@ -51,24 +58,40 @@ def pdb_headers(containers: DataFrame) -> DataFrame:
     )
 
 
-def records(containers: DataFrame) -> DataFrame:
-    """(doc_id, seq, offset, size, attributes, rec_uid, data); size is null where the directory is out of order."""
-    c, n = F.col("content"), F.coalesce(u16(F.col("content"), 76), F.lit(0))
+def records(containers: DataFrame, first: Column | int = 0, stop: Column | None = None) -> DataFrame:
+    """(doc_id, seq, offset, size, attributes, rec_uid, data); size is null where the directory is out of order. With `first`
+    (and `stop`) only the records from there on (before it), counted from there."""
+    first = (first if isinstance(first, Column) else F.lit(first)).cast("long")
+    c, n = F.col("content"), F.coalesce(u16(F.col("content"), 76), F.lit(0)).cast("long")
+    n = n if stop is None else F.least(n, stop.cast("long") + 1)  # one more, where the last record ends
     entry = lambda i: F.struct(u32(c, 78 + 8 * i).alias("offset"), u8(c, 82 + 8 * i).alias("attributes"), u24(c, 83 + 8 * i).alias("rec_uid"))
-    numbers = F.when(n > 0, F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(F.array().cast("array<bigint>"))
-    rows = containers.select("doc_id", "content", F.transform(numbers, entry).alias("dir"))
-    rows = rows.select("doc_id", "content", F.expr("transform(dir, (e, i) -> struct(e.offset as offset, e.attributes as attributes, e.rec_uid as rec_uid, coalesce(get(dir, i + 1).offset, length(content)) - e.offset as size))").alias("dir"))
-    rows = rows.select("doc_id", "content", F.posexplode("dir").alias("seq", "e"))
+    numbers = F.when(n > first, F.sequence(first, n - 1)).otherwise(F.array().cast("array<bigint>"))
+    last = F.lit(1 << 40) if stop is None else stop.cast("long") - first
+    rows = containers.select("doc_id", "content", last.alias("last"), F.transform(numbers, entry).alias("dir"))
+    rows = rows.select("doc_id", "content", "last", F.expr("transform(dir, (e, i) -> struct(e.offset as offset, e.attributes as attributes, e.rec_uid as rec_uid, coalesce(get(dir, i + 1).offset, length(content)) - e.offset as size))").alias("dir"))
+    rows = rows.select("doc_id", "content", "last", F.posexplode("dir").alias("seq", "e")).filter("seq < last")
     data = part(F.col("content"), F.col("e.offset"), F.col("e.size"))
     size = F.when(F.col("e.size") >= 0, F.col("e.size"))
     return rows.select("doc_id", "seq", "e.offset", size.alias("size"), "e.attributes", "e.rec_uid", F.when(size.isNotNull(), data).alias("data"))
 
 
+def record_at(content: Column, number: Column | int, most: int | None = None) -> Column:
+    """A record of a container (of it the first `most` bytes at most), from two entries of its directory; null where there is
+    no such record."""
+    number = (number if isinstance(number, Column) else F.lit(number)).cast("long")
+
+    def cut(i: Column) -> Column:
+        n = u16(content, 76)
+        stop = F.when(i + 1 < n, u32(content, 86 + 8 * i)).otherwise(F.length(content).cast("long"))
+        span = F.when((i >= 0) & (i < n), F.struct(u32(content, 78 + 8 * i).alias("start"), stop.alias("stop")))
+        return let(span, lambda e: F.when(e["stop"] >= e["start"], part(content, e["start"], e["stop"] - e["start"] if most is None else F.least(e["stop"] - e["start"], F.lit(most)))))
+
+    return let(number, cut)
+
+
 def record0_of(content: Column) -> Column:
-    """Record 0 of a container, from the first two entries of its directory."""
-    n, start = u16(content, 76), u32(content, 78)
-    stop = F.when(n > 1, u32(content, 86)).otherwise(F.length(content))
-    return F.when(n > 0, part(content, start, stop - start))
+    """Record 0 of a container."""
+    return record_at(content, 0)
 
 
 def first_records(containers: DataFrame) -> DataFrame:
@@ -103,27 +126,34 @@ def headers(recs: DataFrame, base: Column | int = 0) -> DataFrame:
     return rows.withColumn("full_name", F.when((name_size > 0) & (name_size <= LONGEST_NAME), part(d, F.col("full_name_offset"), name_size)))
 
 
-def exth(heads: DataFrame) -> DataFrame:
-    """(doc_id, ord, tag, data): the tag list after the long header. Entries without data are skipped; one that reaches
-    beyond the list drops the whole list."""
-    d, start = F.col("data"), F.col("header_length") + 16
-    count, end = u32(d, start + 8), start + u32(d, start + 4)
-    fits = (part(d, start, 4) == F.lit(b"EXTH")) & count.between(1, MOST_EXTH) & F.col("exth_flags").bitwiseAND(0x40).cast("boolean")
+def tag_list(data: bytes, start: int) -> list[tuple[int, bytes]]:
+    """(tag, data) of the list that begins at `start` of record 0. Entries without data are skipped; one that reaches beyond the
+    list drops the whole list."""
+    number = lambda at: int.from_bytes(data[at : at + 4], "big")
+    count, end, at = number(start + 8), min(start + number(start + 4), len(data)), start + 12
+    if data[start : start + 4] != b"EXTH" or at > len(data) or not 1 <= count <= MOST_EXTH:
+        return []
+    rows = []
+    for _ in range(count):
+        size = number(at + 4) if at + 8 <= end else 0
+        if size < 8 or at + size > end:
+            return []
+        if size > 8:
+            rows.append((number(at), data[at + 8 : at + size]))
+        at += size
+    return rows
+
 
-    def step(acc: Column, i: Column) -> Column:
-        size = u32(d, acc["at"] + 4)
-        good = acc["good"] & (size >= 8) & (acc["at"] + size <= F.least(end, F.length(d)))
-        row = F.struct(u32(d, acc["at"]).alias("tag"), F.substring(d, (acc["at"] + 9).cast("int"), (size - 8).cast("int")).alias("data"))
-        return F.struct(
-            F.when(good, acc["at"] + size).otherwise(acc["at"]).alias("at"),
-            F.coalesce(good, F.lit(False)).alias("good"),
-            F.when(good & (size > 8), F.array_append(acc["rows"], row)).otherwise(acc["rows"]).alias("rows"),
-        )
+@F.pandas_udf(ArrayType(StructType().add("tag", IntegerType()).add("data", BinaryType())))
+def listed_tags(data: pd.Series, start: pd.Series) -> pd.Series:
+    return pd.Series([tag_list(bytes(d), int(s)) for d, s in zip(data, start)], dtype=object)
 
-    empty = F.struct((start + 12).alias("at"), F.lit(True).alias("good"), F.array().cast("array<struct<tag:bigint,data:binary>>").alias("rows"))
-    walked = F.aggregate(F.sequence(F.lit(1).cast("long"), count), empty, step)
-    rows = heads.filter(fits & end.isNotNull()).select("doc_id", walked.alias("walk")).filter("walk.good")
-    return rows.select("doc_id", F.posexplode("walk.rows").alias("ord", "e")).select("doc_id", "ord", F.col("e.tag").cast("int").alias("tag"), "e.data")
+
+def exth(heads: DataFrame) -> DataFrame:
+    """(doc_id, ord, tag, data): the tag list after the long header, read in one walk of record 0."""
+    d, start = F.col("data"), F.col("header_length") + 16
+    rows = heads.filter(d.isNotNull() & start.isNotNull() & F.col("exth_flags").bitwiseAND(0x40).cast("boolean"))
+    return rows.select("doc_id", F.posexplode(listed_tags(d, start)).alias("ord", "e")).select("doc_id", "ord", "e.tag", "e.data")
 
 
 def sections(recs: DataFrame, heads: DataFrame, base: Column | int = 0) -> DataFrame:
@@ -132,9 +162,15 @@ def sections(recs: DataFrame, heads: DataFrame, base: Column | int = 0) -> DataF
     old = F.when(F.col("version").between(4, 7) & (F.col("last_text_index") != 0xFFFF), F.col("last_text_index"))
     at = F.coalesce(F.when(F.col("fdst_index") != NOTSET, F.col("fdst_index")), old)
     at = heads.filter(at.isNotNull() & (F.col("fdst_section_count") > 1)).select("doc_id", at.alias("seq"), "fdst_section_count")
-    d, n = F.col("data"), F.col("fdst_section_count")
+    own = recs.withColumn("seq", F.col("seq").cast("long")).join(at, ["doc_id", "seq"])
+    return section_rows(own.select("doc_id", F.col("fdst_section_count").alias("n"), "data"))
+
+
+def section_rows(tables: DataFrame) -> DataFrame:
+    """(doc_id, section, start, stop) of flow tables (doc_id, n, data)."""
+    d, n = F.col("data"), F.col("n")
     pair = lambda i: F.struct(u32(d, 12 + 8 * i).alias("start"), u32(d, 16 + 8 * i).alias("stop"))
-    own = recs.withColumn("seq", F.col("seq").cast("long")).join(at, ["doc_id", "seq"]).filter((part(d, 0, 4) == F.lit(b"FDST")) & (u32(d, 4) == 12) & (u32(d, 8) == n))
+    own = tables.filter((part(d, 0, 4) == F.lit(b"FDST")) & (u32(d, 4) == 12) & (u32(d, 8) == n))
     return own.select("doc_id", F.posexplode(F.transform(F.sequence(F.lit(0).cast("long"), n - 1), pair)).alias("section", "e")).select("doc_id", "section", "e.start", "e.stop")
 
 
