@@ -11,7 +11,7 @@ import argparse
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codexspark.operators import edits, metadata, resources
+from codexspark.operators import metadata, resources, rewrite
 from codexspark.plans.reconstruct import Collection
 from codexspark.sources import containers as C
 from codexspark.sources import reader, writer
@@ -48,20 +48,12 @@ def files(book: Collection, command: str) -> DataFrame:
 
 
 def edited(book: Collection, actions: list[tuple[str, str]]) -> DataFrame:
-    """(doc_id, content) after actions (add|set|delete, FIELD=VALUE or TAG=VALUE), in order."""
-    spark, rows = book.files.sparkSession, []
-    for step, (action, what) in enumerate(actions):
+    """(doc_id, content) after actions (add|set|delete, FIELD=VALUE or TAG=VALUE), in order, on all halves."""
+    steps = []
+    for kind, what in actions:
         name, _, value = what.partition("=")
-        rows.append((step, action, metadata.FIELDS[name] if name in metadata.FIELDS else int(name), value))
-    known = spark.createDataFrame(rows, "step int, action string, tag int, value string").join(metadata.tag_table(spark).select("tag", "kind"), "tag", "left")
-    known = known.withColumn("data", metadata.value_bytes(F.col("value"), F.coalesce("kind", F.lit("string"))))
-    listed = known.groupBy().agg(F.collect_list(F.struct("step", "action", "tag", "data")).alias("a")).first()["a"]
-    literal = F.array(*[F.struct(F.lit(r["step"]).alias("step"), F.lit(r["action"]).alias("action"), F.lit(r["tag"]).alias("tag"), F.lit(bytes(r["data"])).alias("data")) for r in listed])
-    recs = C.records(book.files)
-    heads = C.headers(recs)
-    steps = heads.select("doc_id", F.explode(literal).alias("a")).select("doc_id", "a.*")
-    zero = edits.with_tags(heads, metadata.apply_actions(C.exth(heads), steps)).select("doc_id", F.lit(0).alias("seq"), "data")
-    return writer.assembled(recs.filter("seq > 0").select("doc_id", "seq", "data").unionByName(zero), book.pdb)
+        steps.append(rewrite.action(kind, metadata.FIELDS[name] if name in metadata.FIELDS else int(name), F.lit(value)))
+    return rewrite.edited(book.files, *steps)
 
 
 def parser() -> argparse.ArgumentParser:

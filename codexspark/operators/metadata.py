@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codexspark.functions.binary import be, first_value
-from codexspark.functions.text import decode_entities, decode_text
+from codexspark.functions.text import decode_entities, decode_text, encode_text
 
 #: Tag: (kind, name). Fixed values of the format.
 TAGS = {
@@ -137,9 +137,15 @@ def field_values(header_rows: DataFrame, names: list[str]) -> DataFrame:
     return wide.unpivot(["doc_id"], names, "field", "value").filter("value is not null")
 
 
-def value_bytes(value: Column, kind: Column) -> Column:
-    """A new tag's bytes: numbers as four big-endian bytes, text in UTF-8."""
-    return F.when(kind == "numeric", be(F.coalesce(value.cast("long"), F.lit(0).cast("long")), 4)).otherwise(F.encode(value, "UTF-8"))
+def value_bytes(value: Column, kind: Column, code: Column) -> Column:
+    """A new tag's bytes: numbers as four big-endian bytes, text in the document's charset."""
+    return F.when(kind == "numeric", be(F.coalesce(value.try_cast("long"), F.lit(0).cast("long")), 4)).otherwise(encode_text(value, code))
+
+
+def _coded(rows: DataFrame, heads: DataFrame, value: str) -> DataFrame:
+    """rows with `data`, a column of theirs in the charset of each document's header."""
+    codes = heads.select("doc_id", F.coalesce("text_encoding", F.lit(1252)).alias("_code"))
+    return rows.join(codes, "doc_id", "left").withColumn("data", encode_text(value, F.coalesce("_code", F.lit(1252)))).drop("_code")
 
 
 def add_tags(tags: DataFrame, new: DataFrame) -> DataFrame:
@@ -169,17 +175,18 @@ def container_name(title: Column) -> Column:
 def set_titles(tags: DataFrame, heads: DataFrame, names: DataFrame, titles: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(tags, heads, names) after titles (doc_id, title): the tag, the full name and the container's name follow; a null
     title deletes the tag and blanks the full name."""
-    new = titles.select("doc_id", F.lit(FIELDS["title"]).alias("tag"), F.encode("title", "UTF-8").alias("data"))
-    own = titles.select("doc_id", "title", F.lit(True).alias("touched"))
-    heads = heads.join(own, "doc_id", "left").withColumn("full_name", F.when(F.col("touched"), F.encode(F.coalesce("title", F.lit("")), "UTF-8")).otherwise(F.col("full_name")))
-    named = names.join(own, "doc_id", "left").withColumn("name", F.when(F.col("title").isNotNull(), container_name(F.col("title"))).otherwise(F.col("name")))
+    titles = _coded(titles.select("doc_id", "title"), heads, "title")
+    new = titles.select("doc_id", F.lit(FIELDS["title"]).alias("tag"), "data")
+    own = titles.select("doc_id", "title", F.col("data").alias("_name"), F.lit(True).alias("touched"))
+    heads = heads.join(own, "doc_id", "left").withColumn("full_name", F.when(F.col("touched"), F.coalesce("_name", F.lit(b""))).otherwise(F.col("full_name"))).drop("_name")
+    named = names.join(own.drop("_name"), "doc_id", "left").withColumn("name", F.when(F.col("title").isNotNull(), container_name(F.col("title"))).otherwise(F.col("name")))
     return set_tags(tags, new), heads.drop("title", "touched"), named.drop("title", "touched")
 
 
 def set_languages(tags: DataFrame, heads: DataFrame, languages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(tags, heads) after languages (doc_id, language): the tag and the header's locale follow; a null language deletes
     the tag and zeroes the locale."""
-    new = languages.select("doc_id", F.lit(FIELDS["language"]).alias("tag"), F.encode("language", "UTF-8").alias("data"))
+    new = _coded(languages.select("doc_id", "language"), heads, "language").select("doc_id", F.lit(FIELDS["language"]).alias("tag"), "data")
     numbers = with_locale_number(languages.select("doc_id", "language"), "language").select("doc_id", F.col("locale_no").alias("_no"))
     heads = heads.join(numbers, "doc_id", "left").withColumn("locale", F.coalesce("_no", "locale")).drop("_no")
     return set_tags(tags, new), heads

@@ -7,12 +7,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codexspark.functions import codecs
-from codexspark.functions.binary import be
+from codexspark.functions.binary import be, u16, u32
 from codexspark.functions.text import decode_text
-from codexspark.operators import edits, metadata, resources, text
+from codexspark.operators import edits, metadata, resources, rewrite, text
+from codexspark.plans.reconstruct import Collection
 from codexspark.plans.registry import query, table
 from codexspark.sources import containers as C
-from codexspark.sources import fixtures, writer
+from codexspark.sources import fixtures, reader, writer
 from codexspark.sources.staging import kept, staged
 
 ROUND_TRIP_SQL = "SELECT doc_id, 'SUCCESS' AS status, md5(coalesce(text, '')) AS text_md5, strlen(coalesce(text, ''))::BIGINT AS n_bytes FROM documents"
@@ -259,45 +260,102 @@ def covers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resources.cover(recs, C.headers(recs), tags).select("doc_id", "kind", F.md5("data").alias("data_md5"))
 
 
-@query("""SELECT doc_id, md5(coalesce(text, '')) AS text_md5, 'first & last; ' || coalesce(lang, 'none') AS subject, 1700000000 + doc_id AS created_raw, 8::BIGINT AS attributes, doc_id % 7 AS mod_num, 'BOOK' AS type FROM documents""")
+@query("""SELECT doc_id, md5(coalesce(text, '')) AS text_md5, 'first & last; ' || coalesce(lang, 'none') AS subject, 1700000000 + doc_id AS created_raw, 8::BIGINT AS attributes, doc_id % 7 AS mod_num, 'BOOK' AS type,
+  'A-b.c d' AS name, doc_id % 5 AS record_attributes FROM documents""")
 def write_back(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Containers scanned, written again from their records, and scanned once more: the same text, metadata and header."""
+    """Containers scanned, written again from their records, and scanned once more: the same text, metadata, header, name and record
+    attributes."""
     files, _ = tagged(spark, sf_dir)
-    own = F.col("content")
-    for at, width, value in ((32, 2, F.lit(8)), (36, 4, F.lit(1700000000) + F.col("doc_id")), (48, 4, F.col("doc_id") % 7)):
+    own = F.overlay(F.col("content"), F.rpad(F.lit("A-b.c d"), 32, "\0").cast("binary"), F.lit(1), F.lit(32))
+    for at, width, value in ((32, 2, F.lit(8)), (36, 4, F.lit(1700000000) + F.col("doc_id")), (48, 4, F.col("doc_id") % 7), (90, 1, F.col("doc_id") % 5)):
         own = edits.overlaid(own, at, value, width)
     files = files.select("doc_id", own.alias("content"))
     recs = C.records(files)
-    again = staged(writer.assembled(recs.select("doc_id", "seq", "data"), C.pdb_headers(files)), "containers")
-    recs = C.records(again)
-    heads = heads_of(recs)
+    again = staged(writer.assembled(recs.select("doc_id", "seq", "data", "attributes"), C.pdb_headers(files)), "containers")
+    heads = heads_of(C.first_records(again))
     subject = metadata.joined(metadata.decoded_tags(C.exth(heads), heads)).filter("tag = 105").select("doc_id", F.col("value").alias("subject"))
-    kept_ = C.pdb_headers(again).select("doc_id", "created_raw", "attributes", "mod_num", "type")
-    return text.rawml(recs, heads).select("doc_id", F.md5("text").alias("text_md5")).join(subject, "doc_id").join(kept_, "doc_id")
+    kept_ = C.pdb_headers(again).select("doc_id", "created_raw", "attributes", "mod_num", "type", "name")
+    marks = C.records(again).filter("seq = 1").select("doc_id", F.col("attributes").alias("record_attributes"))
+    return read_text(again).select("doc_id", F.md5("text").alias("text_md5")).join(subject, "doc_id").join(kept_, "doc_id").join(marks, "doc_id")
 
 
-@query("""WITH d AS (SELECT doc_id, greatest(ceil(strlen(coalesce(text, '')) / 4096.0), 1)::BIGINT + 1 AS n FROM documents)
-SELECT doc_id, CASE WHEN n > 2 THEN n - 1 ELSE n END AS n_deleted, n + 1 AS n_inserted, least(2, n) AS n_extracted FROM d""")
+@query("""WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, greatest(ceil(strlen(coalesce(text, '')) / 4096.0), 1)::BIGINT + 1 AS n FROM documents)
+SELECT doc_id, CASE WHEN n > 2 THEN n - 1 ELSE n END AS n_deleted, md5(unhex(substr(h, 1, 8192) || substr(h, 16385))) AS deleted_md5, n + 1 AS n_inserted, md5(unhex('6E6577' || h)) AS inserted_md5,
+  2::BIGINT AS n_extracted, md5(unhex(substr(h, 1, 8192))) AS extracted_md5, md5('new') AS replaced_md5 FROM d""")
 def record_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ranges of records deleted, inserted and cut out, by place."""
-    recs = fixtures.records(docs_of(spark, sf_dir)).select("doc_id", "seq", "data")
-    ids = docs_of(spark, sf_dir).select("doc_id")
-    span = lambda first, count: ids.select("doc_id", F.lit(first).alias("first"), F.lit(count).alias("count"))
-    last = lambda rows, name: rows.groupBy("doc_id").agg((F.max("seq") + 1).cast("long").alias(name))
-    gone = last(edits.deleted(recs, span(2, 1)), "n_deleted")
-    new = ids.select("doc_id", F.lit(0).alias("seq"), F.lit(b"new").alias("data"))
-    more = last(edits.inserted(recs, new, ids.select("doc_id", F.lit(1).alias("at"))), "n_inserted")
-    return gone.join(more, "doc_id").join(last(edits.extracted(recs, span(0, 2)), "n_extracted"), "doc_id")
-
-
-def hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranges of records deleted, put in, cut out and replaced in the container's own row; payloads behind record 0 compared."""
+    files, new = documents_stored(spark, sf_dir, 1), F.array(F.lit(b"new"))
+    step = rewrite.step
+    edits_ = {"deleted": [step("delete", F.lit(2), 1)], "inserted": [step("insert", F.lit(1), data=new)], "extracted": [step("extract", F.lit(0), 2)], "replaced": [step("extract", F.lit(0), 2), step("replace", F.lit(1), data=new)]}
+    rows = files
+    for name, steps in edits_.items():
+        rows = rows.withColumn(name, rewrite.stepped(F.col("content"), *steps))
+    count = lambda name: u16(F.col(name), 76)
+    body = lambda name: F.md5(F.substring(F.col(name), (u32(F.col(name), 86) + 1).cast("int"), F.length(name)))
+    return rows.select("doc_id", *[count(n).alias(f"n_{n}") for n in ("deleted", "inserted", "extracted")], *[body(n).alias(f"{n}_md5") for n in edits_])
+
+
+@query("""SELECT doc_id, 'Müller & Söhne €' AS author, 'Müller & Söhne ? €' AS publisher, 'Titel ü ' || doc_id AS title, 'Titel___' || doc_id AS name, 'de-at' AS language FROM documents""")
+def cp1252_edit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata set in documents whose charset is cp1252; what it lacks becomes a question mark."""
+    files = kept(spark, sf_dir, "documents-cp1252", lambda: fixtures.containers(docs_of(spark, sf_dir), 1, tags=F.array(fixtures.tag(100, F.lit("x"))), values={"text_encoding": F.lit(1252)}))
+    act = rewrite.action
+    done = rewrite.edited(files, act("set", 100, F.lit("Müller & Söhne €")), act("add", 101, F.lit("Müller & Söhne 漢 €")), act("set", 503, F.concat(F.lit("Titel ü "), F.col("doc_id").cast("string"))), act("set", 524, F.lit("de-at")))
+    again = staged(done, "containers")
+    heads = heads_of(C.first_records(again))
+    tags = C.exth(heads).filter("tag <> 524")  # the language is read from the header
+    return metadata.summary(C.pdb_headers(again), heads, metadata.decoded_tags(tags, heads)).select("doc_id", "author", "publisher", "title", "name", "language")
+
+
+@query("""SELECT doc_id, half, 'new ' || doc_id AS author, md5(CASE half WHEN 'older' THEN coalesce(text, '') ELSE coalesce(source, '') || '!' END) AS text_md5, 121::BIGINT AS kept_tag FROM documents, (VALUES ('older'), ('newer')) h(half)""")
+def hybrid_edit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An author set in both halves of hybrids, whose texts and other tags stay."""
+    done = staged(rewrite.edited(hybrids_stored(spark, sf_dir), rewrite.action("set", 100, F.concat(F.lit("new "), F.col("doc_id").cast("string")))), "containers")
+    out = None
+    for half in ("older", "newer"):
+        rows = reader.opened(done, half)
+        heads = heads_of(C.headers(reader.first_records(rows)))
+        own = C.exth(heads)
+        author = metadata.decoded_tags(own, heads).filter("tag = 100").select("doc_id", F.col("value").alias("author"))
+        mark = C.exth(heads_of(C.first_records(done))).filter("tag = 121").select("doc_id", F.col("tag").cast("long").alias("kept_tag"))
+        got = text.container_text(rows, F.col("base_seq")).select("doc_id", F.lit(half).alias("half"), F.md5("text").alias("text_md5"))
+        got = got.join(author, "doc_id").join(mark, "doc_id")
+        out = got if out is None else out.unionByName(got)
+    return out.select("doc_id", "half", "author", "text_md5", "kept_tag")
+
+
+@query("""SELECT doc_id, half, 'SUCCESS' AS status, md5(CASE half WHEN 'older' THEN coalesce(text, '') ELSE coalesce(source, '') || '!' END) AS text_md5,
+  CASE half WHEN 'older' THEN greatest(ceil(strlen(coalesce(text, '')) / 4096.0), 1)::BIGINT + 7 ELSE 4 END AS n_records, 'JPG' AS kinds FROM documents, (VALUES ('older'), ('newer')) h(half)""")
+def hybrid_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text, records and resources of either half of hybrids, whose text records have trailing entries."""
+    files, out = hybrids_stored(spark, sf_dir), None
+    for half in ("older", "newer"):
+        book = Collection(files, half)
+        count = book.records.groupBy("doc_id").agg(F.count("*").alias("n_records"))
+        kinds = book.resources.groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_list("kind")), " ").alias("kinds"))
+        got = book.text.select("doc_id", F.lit(half).alias("half"), "status", F.md5("text").alias("text_md5")).join(count, "doc_id").join(kinds, "doc_id")
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
+def hybrids_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hybrids as files: their text records end in a byte of a split character and an entry of three bytes (flags 3)."""
+    ids = docs_of(spark, sf_dir, "doc_id").select("doc_id", F.lit("hybrid").alias("name"))
+    return kept(spark, sf_dir, "hybrids", lambda: writer.assembled(hybrid(spark, sf_dir, trailing=True), ids))
+
+
+def hybrid(spark: SparkSession, sf_dir: str, trailing: bool = False) -> DataFrame:
     """Records of hybrids: an older half with one image, a boundary, a newer half of other text with a font of its own,
     and a last record."""
     docs = docs_of(spark, sf_dir, "text", "source")
     number, n = fixtures.number_tag, fixtures.n_text_records()
-    old = fixtures.records(docs, 1, tags=F.array(number(121, n + 3), number(125, F.lit(1)))).select("doc_id", "seq", "data")
+    flags = {"extra_flags": F.lit(3)} if trailing else {}
+    ended = lambda rows, n: rows.withColumn("data", F.when(F.col("seq").between(1, n), F.concat("data", F.lit(b"\x00xx\x83"))).otherwise(F.col("data"))) if trailing else rows
+    old = fixtures.records(docs, 1, tags=F.array(number(121, n + 3), number(125, F.lit(1))), values=flags).join(docs.select("doc_id", n.alias("n")), "doc_id")
+    old = ended(old, F.col("n")).select("doc_id", "seq", "data")
     new_docs = docs.select("doc_id", n.alias("n"), F.concat(F.coalesce("source", F.lit("")), F.lit("!")).alias("text"))
-    new = fixtures.records(new_docs, 1, tags=F.array(number(125, F.lit(1)), number(116, F.lit(9))), values={"version": F.lit(8), "fdst_index": F.lit(3)}, newer=True)
+    new = fixtures.records(new_docs, 1, tags=F.array(number(125, F.lit(1)), number(116, F.lit(9))), values=flags | {"version": F.lit(8), "fdst_index": F.lit(3)}, newer=True)
+    new = ended(new, F.lit(1))
     new = new.join(new_docs.select("doc_id", "n"), "doc_id").select("doc_id", (F.col("seq") + F.col("n") + 3).alias("seq"), "data")
     rest = F.array(*[F.struct((n + s).alias("seq"), F.lit(d).alias("data")) for s, d in ((1, b"\xff\xd8\xffimage"), (2, b"BOUNDARY"), (5, b"FONTown"), (6, b"\xe9\x8e\r\n"))])
     return staged(old.unionByName(new).unionByName(docs.select("doc_id", F.explode(rest).alias("e")).select("doc_id", "e.*")), "records")

@@ -89,7 +89,7 @@ def records(docs: DataFrame, compression: int = 1, values: dict[str, Column] | N
 
 def containers(docs: DataFrame, compression: int = 1, **more) -> DataFrame:
     """(doc_id, content)."""
-    return writer.assembled(records(docs, compression, **more), docs.select("doc_id", F.concat(F.lit("doc "), F.col("doc_id")).alias("name")))
+    return writer.assembled(records(docs, compression, **more), docs.select("doc_id", F.concat(F.lit("doc_"), F.col("doc_id")).alias("name")))
 
 
 def tag(number: int, value: Column) -> Column:

@@ -57,25 +57,26 @@ BEFORE = (("attributes", 2, 0), ("pdb_version", 2, 0), ("created_raw", 4, PALM_T
 
 
 def assembled(records: DataFrame, names: DataFrame, kind: str = "BOOK", creator: str = "MOBI") -> DataFrame:
-    """(doc_id, content) from records (doc_id, seq, data) and (doc_id, name): numbers are given anew by seq, record uids
-    are twice the number. Where names are headers that were read (pdb_headers), their times, attributes, kind and uid stay."""
+    """(doc_id, content) from records (doc_id, seq, data[, attributes]) and (doc_id, name): numbers are given anew by seq, record
+    uids are twice the number; a name stays as it is, up to 31 bytes. Where names are headers that were read (pdb_headers), their times, attributes, kind and uid stay."""
     order = Window.partitionBy("doc_id").orderBy("seq")
     rows = records.withColumn("n", F.row_number().over(order) - 1)
     before = F.coalesce(F.sum(F.length("data")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     rows = rows.withColumn("before", before).withColumn("count", F.count("*").over(Window.partitionBy("doc_id")))
-    entry = F.concat(be(80 + 8 * F.col("count") + F.col("before"), 4), be(0, 1), be(2 * F.col("n"), 3))
+    attributes = F.coalesce("attributes", F.lit(0)) if "attributes" in records.columns else 0
+    entry = F.concat(be(80 + 8 * F.col("count") + F.col("before"), 4), be(attributes, 1), be(2 * F.col("n"), 3))
     rows = rows.withColumn("entry", entry)
     body = rows.groupBy("doc_id").agg(
         F.first("count").alias("count"),
         F.expr("listagg(entry) within group (order by n)").alias("directory"),
         F.expr("listagg(data) within group (order by n)").alias("body"),
     )
-    name = F.rpad(F.regexp_replace(F.coalesce("name", F.lit("")), "[^0-9A-Za-z]", "_"), 31, "\0")
+    name = F.rpad(F.coalesce("name", F.lit("")), 31, "\0")
     own = [c for c in (*(n for n, _, _ in BEFORE), "type", "creator", "pdb_uid", "next_rec") if c in names.columns]
     field = lambda c, default, width: be(F.coalesce(F.col(c), default) if c in own else default, width)
     four = lambda c, default: F.encode(F.rpad(F.coalesce(F.col(c), F.lit(default)) if c in own else F.lit(default), 4, "\0"), "ISO-8859-1")
     head = F.concat(
-        F.encode(F.concat(name, F.lit("\0")), "UTF-8"), *[field(c, F.lit(v), w) for c, w, v in BEFORE],
+        F.encode(F.concat(name, F.lit("\0")), "ISO-8859-1"), *[field(c, F.lit(v), w) for c, w, v in BEFORE],
         four("type", kind), four("creator", creator), field("pdb_uid", 2 * F.col("count"), 4), field("next_rec", F.lit(0), 4), be(F.col("count"), 2),
     )
     return body.join(names.select("doc_id", "name", *own), "doc_id", "left").select("doc_id", F.concat(head, F.col("directory"), be(0, 2), F.col("body")).alias("content"))
