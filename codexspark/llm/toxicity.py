@@ -66,6 +66,7 @@ ACCENTED = re.compile(f"[{''.join(PLAIN)}]")
 #: Signs without width, and letters that look like Latin ones (fixed values).
 NO_WIDTH = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]+")
 ALIKE = str.maketrans("\u0430\u0435\u043e\u0440\u0441\u0443\u0445\u0456\u0458\u0455\u0501\u04bb\u03b1\u03bf\u03b9\u03c1\u03bd\u0131\u0261", "aeopcyxijsdhaoipvig")
+LIKE = re.compile(f"[{''.join(map(chr, ALIKE))}]")
 MIXED = re.compile(f"(?=[a-z]*[{''.join(map(chr, ALIKE))}])(?=[{''.join(map(chr, ALIKE))}]*[a-z])[a-z{''.join(map(chr, ALIKE))}]+")
 FEATURES = ("top", "total", "hits", "restored")
 
@@ -89,7 +90,7 @@ def composed(text: str) -> str:
     if not text.isascii():
         text = unicodedata.normalize("NFKC", NO_WIDTH.sub("", text))
     text = text.lower()
-    return text if text.isascii() else MIXED.sub(lambda m: m[0].translate(ALIKE), text)
+    return text if text.isascii() or not LIKE.search(text) else MIXED.sub(lambda m: m[0].translate(ALIKE), text)
 
 
 def folded(text: str) -> str:
@@ -237,13 +238,19 @@ class Scorer:
             self.spelt[folded(entry)] = max(weight, self.spelt.get(folded(entry), 0.0))
         self.prefixes = frozenset(e[:n] for w in self.spelt for e in [w.rstrip("*")] for n in range(1, len(e) + 1))
         self.window = SPREAD * max([1, *(len(w.rstrip("*")) for w in self.spelt)])
-        best = lambda own: functools.lru_cache(maxsize=200_000)(lambda word: max((own.get(e, 0.0) for e in entries(word)), default=0.0))
-        self.weight, self.spelt_weight = best(lexicon), best(self.spelt)
+        self.weight, self.spelt_weight = self.weigher(lexicon), self.weigher(self.spelt)
         self.tight = {REPEATED.sub(r"\1", e) for e in self.spelt}
         short = functools.lru_cache(maxsize=100_000)(self.decoded)
         self.restore = lambda token: short(token) if len(token) <= 2 * LONGEST else self.decoded(token)
         self.known = functools.lru_cache(maxsize=200_000)(lambda word: (x := self.weight(word), () if x else self.respelt(word)))
 
+    @staticmethod
+    def weigher(lexicon: dict[str, float]):
+        """The highest weight of an entry that a word is or begins with, 0 for none."""
+        heads = {e[:3] for e in lexicon}  # an entry has three letters at least
+        best = functools.lru_cache(maxsize=200_000)(lambda word: max((lexicon.get(e, 0.0) for e in entries(word)), default=0.0))
+        return lambda word: best(word) if word[:3] in heads else 0.0
+
     def decoded(self, token: str) -> frozenset[str]:
         """Words with a weight behind a token. Long tokens are read in a window from each place where an entry may start;
         with runs shortened, none takes up more than a window."""
