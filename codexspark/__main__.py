@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from codexspark.operators import metadata, resources, rewrite
 from codexspark.plans.reconstruct import Collection
 from codexspark.sources import containers as C
-from codexspark.sources import reader, writer
+from codexspark.sources import reader
+from codexspark.sources.files import write_files
 
 TABLES = ("summary", "headers", "records", "exth", "toc")
 FILES = ("text", "dump", "parts", "epub", "cover", "source")
@@ -78,8 +79,8 @@ def main(argv: list[str] | None = None) -> int:
         raise SystemExit("-o FOLDER is needed")
     else:
         rows = edited(book, args.actions or []).select(F.concat(F.col("doc_id").cast("string"), F.lit(".mobi")).alias("file_name"), F.col("content").alias("data")) if args.command == "meta" else files(book, args.command)
-        done = writer.write_files(rows, args.out).agg(F.count("*").alias("n"), F.sum("n_bytes").alias("b")).first()
-        print(f"{done['n']} files, {done['b'] or 0} bytes")
+        n, size = write_files(rows, args.out)
+        print(f"{n} files, {size} bytes")
     return 0
 
 

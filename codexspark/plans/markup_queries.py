@@ -385,3 +385,36 @@ def aid_stripped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Attributes taken out of tags; pages have no aid attributes, so their classes take the part."""
     aid = F.encode(F.replace("html", F.lit(' class="'), F.lit(' aid="')), "UTF-8")
     return markup.stripped(table(spark, sf_dir, "pages").select("page_id", aid.alias("data"))).select("page_id", F.md5("data").alias("html_md5"))
+
+
+@query("""WITH d AS (SELECT doc_id, 1 + doc_id % 40 AS depth FROM documents WHERE doc_id % 7 <> 3)
+SELECT doc_id, 'toc-1' || repeat('-1', (depth - 1)::INT) AS last_id, depth::BIGINT AS n_points, (depth * (depth + 1) // 2)::BIGINT AS n_places, greatest(depth - 1, 1)::BIGINT AS max_level FROM d""")
+def deep_toc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chains of up to 40 levels. The last entry of each document says level 1 and is in no range of that level, so it is left out
+    (where it is alone below the root, its own range is empty); a number beyond the entries costs a document its tree."""
+    docs = docs_of(spark, sf_dir, "source").withColumn("depth", (1 + F.col("doc_id") % 40).cast("int"))
+    no, last = F.col("no"), F.col("depth")
+    rows = docs.select("doc_id", "depth", F.coalesce("source", F.lit("")).alias("title"), F.explode(F.sequence(F.lit(0), last)).alias("no"))
+    child = F.when(no + 1 < last, no + 1)
+    wrong = F.when((F.col("doc_id") % 7 == 3) & (no == last), no + 9)
+    entries = rows.select(
+        "doc_id", no.alias("entry_no"), "title", F.format_string("part%05d.html", no.cast("long")).alias("target"), F.when(no == last, 1).otherwise(no).alias("level"),
+        F.when(no == last, wrong).when(no > 0, no - 1).cast("long").alias("parent"), child.cast("long").alias("child_start"), child.cast("long").alias("child_end"),
+    )
+    tree = navigation.toc_tree(entries)
+    last_id = F.max_by("id", "play_order").alias("last_id")
+    return tree.groupBy("doc_id").agg(last_id, F.count("*").alias("n_points"), F.sum(F.size("path")).cast("long").alias("n_places"), F.max("max_level").cast("long").alias("max_level"))
+
+
+@query("""WITH RECURSIVE l AS (SELECT doc_id, i, (doc_id * 7 + i * i + coalesce(strlen(source), 0)) % 4 AS kind FROM documents, range(0, 12) r(i)),
+w AS (SELECT doc_id, 0::BIGINT AS i, 'id' AS state FROM documents
+  UNION ALL SELECT w.doc_id, w.i + 1, CASE l.kind WHEN 1 THEN 'id' WHEN 2 THEN 'name' ELSE w.state END FROM w JOIN l ON l.doc_id = w.doc_id AND l.i = w.i WHERE w.i < 11)
+SELECT l.doc_id, l.i AS start, CASE WHEN kind = 0 THEN NULL WHEN kind = 1 THEN 'i' || l.i WHEN kind = 2 THEN 'n' || l.i WHEN state = 'id' THEN 'i' || l.i ELSE 'n' || l.i END AS anchor
+FROM l JOIN w ON w.doc_id = l.doc_id AND w.i = l.i""")
+def anchor_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The attribute that links of a part prefer, which flips where only the other one is there: a window against a walk."""
+    docs = docs_of(spark, sf_dir, "source").select("doc_id", F.coalesce(F.octet_length("source"), F.lit(0)).alias("n"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(11).cast("long"))).alias("start"))
+    kind = (F.col("doc_id") * 7 + F.col("start") * F.col("start") + F.col("n")) % 4
+    named = lambda letter, bit: F.when(kind.bitwiseAND(bit) > 0, F.concat(F.lit(letter), F.col("start").cast("string")))
+    links = docs.select("doc_id", F.lit(0).alias("uid"), "start", named("i", 1).alias("id_anchor"), named("n", 2).alias("name_anchor"))
+    return markup.preferred_anchors(links, ["doc_id", "uid"], "start").select("doc_id", "start", "anchor")

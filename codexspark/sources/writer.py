@@ -1,4 +1,4 @@
-"""Containers from tables, and files from rows.
+"""Containers from tables.
 
 A container is its records in order after a header and a directory whose offsets are running sums; records are joined
 with an ordered binary aggregate, so nothing is written by hand.
@@ -6,10 +6,6 @@ with an ordered binary aggregate, so nothing is written by hand.
 
 from __future__ import annotations
 
-import os
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,20 +76,3 @@ def assembled(records: DataFrame, names: DataFrame, kind: str = "BOOK", creator:
         four("type", kind), four("creator", creator), field("pdb_uid", 2 * F.col("count"), 4), field("next_rec", F.lit(0), 4), be(F.col("count"), 2),
     )
     return body.join(names.select("doc_id", "name", *own), "doc_id", "left").select("doc_id", F.concat(head, F.col("directory"), be(0, 2), F.col("body")).alias("content"))
-
-
-def write_files(rows: DataFrame, folder: str) -> DataFrame:
-    """(file_name, n_bytes) after writing each row (file_name, data) as a file of a folder that executors share. Names
-    stay inside the folder; a file appears whole or not at all."""
-
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        os.makedirs(folder, exist_ok=True)
-        for b in batches:
-            for name, data in zip(b["file_name"], b["data"]):
-                target = os.path.join(folder, os.path.basename(name))
-                with open(f"{target}.{os.getpid()}.part", "wb") as f:
-                    f.write(bytes(data))
-                os.replace(f.name, target)
-            yield pd.DataFrame({"file_name": b["file_name"], "n_bytes": b["data"].map(len)})
-
-    return rows.select("file_name", "data").mapInPandas(write, "file_name string, n_bytes long")

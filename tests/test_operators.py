@@ -5,10 +5,12 @@ from pyspark.sql import functions as F
 
 from codexspark.functions import binary as B
 from codexspark.functions import text as T
-from codexspark.operators import dictionary, edits, markup, metadata, navigation, predicates, resources, text
+from codexspark.operators import dictionary, edits, markup, metadata, navigation, predicates, resources, rewrite, text
 from codexspark.plans.reconstruct import Collection
 from codexspark.sources import containers as C
-from codexspark.sources import fixtures, writer
+from codexspark.sources import fixtures, reader, writer
+from codexspark.sources.files import read_headers, write_files
+from codexspark.sources.staging import staged
 from codexspark.streaming import arrivals
 
 
@@ -185,7 +187,7 @@ def test_versions(spark):
 def test_files_and_stream(spark, tmp_path):
     files = fixtures.containers(docs(spark, "one", "two"), 2)
     named = files.select(F.concat("doc_id", F.lit(".mobi")).alias("file_name"), F.col("content").alias("data"))
-    assert writer.write_files(named, str(tmp_path / "in")).count() == 2
+    assert write_files(named, str(tmp_path / "in"))[0] == 2
     scanned = C.scan(spark, str(tmp_path / "in"), "*.mobi")
     assert sorted(bytes(r.text) for r in Collection(scanned.select("doc_id", "content")).text.collect()) == [b"one", b"two"]
     stream = arrivals.arriving(spark, str(tmp_path / "in"), "*.mobi", per_batch=1)
@@ -203,3 +205,92 @@ def test_whole_book(spark):
     assert set(files) == {"part00000.html", "resource00000.jpg", "resource00001.ncx", "content.opf"}
     assert files["part00000.html"] == b'<html><body><a id="0000000012"></a><p>one</p><a href="#0000000012">go</a><img src="resource00000.jpg"/></body></html>'
     assert b"<dc:title>Title &amp; more</dc:title>" in files["content.opf"] and b'<spine toc="resource00001">' in files["content.opf"]
+
+
+def test_a_failed_write_leaves_nothing(spark, tmp_path):
+    """A task that fails takes the whole job's files with it; what an earlier job wrote stays."""
+    good = spark.createDataFrame([("a.bin", bytearray(b"one")), ("../b.bin", bytearray(b"two"))], "file_name string, data binary")
+    assert write_files(good.repartition(2), str(tmp_path / "out")) == (2, 6)
+    assert (tmp_path / "out" / "b.bin").read_bytes() == b"two" and not (tmp_path / "b.bin").exists()
+    bad = spark.range(0, 40, 1, 4).select(F.concat(F.col("id").cast("string"), F.lit(".bin")).alias("file_name"), F.when(F.col("id") < 39, F.lit(b"x")).otherwise(F.raise_error(F.lit("broken")).cast("binary")).alias("data"))
+    with pytest.raises(Exception, match="broken"):
+        write_files(bad, str(tmp_path / "out"))
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["_committed.json", "a.bin", "b.bin"]
+    assert write_files(good, str(tmp_path / "out")) == (2, 6)  # again: nothing is doubled
+    assert sorted(p.name for p in (tmp_path / "out").glob("*.bin")) == ["a.bin", "b.bin"]
+
+
+def test_headers_are_read_by_seeks(spark, tmp_path):
+    files = fixtures.containers(docs(spark, "one", "two " * 50_000), 1)
+    write_files(files.select(F.concat("doc_id", F.lit(".mobi")).alias("file_name"), F.col("content").alias("data")), str(tmp_path / "in"))
+    (tmp_path / "in" / "short.mobi").write_bytes(b"too short")
+    (tmp_path / "in" / "other.txt").write_bytes(b"x" * 200)
+    rows = {r.path.rsplit("/")[-1]: r for r in read_headers(spark, str(tmp_path / "in"), "*.mobi").collect()}
+    assert set(rows) == {"0.mobi", "1.mobi", "short.mobi"} and rows["short.mobi"].head is None
+    assert rows["1.mobi"].length > 200_000 and rows["1.mobi"].bytes_read < 2000
+    whole = (tmp_path / "in" / "1.mobi").read_bytes()
+    assert whole.startswith(rows["1.mobi"].head + rows["1.mobi"].directory) and rows["1.mobi"].record0 in whole
+    assert {r.bytes_read for r in read_headers(spark, str(tmp_path / "in"), "*.mobi", "path string, head binary, bytes_read long").collect()} == {0, 78}
+    assert read_headers(spark, str(tmp_path / "in"), "none").count() == 0
+
+
+def test_trees_of_any_depth_and_damage(spark):
+    tree_of = lambda rows: [(w["i"], w["depth"], w["path"]) for w in navigation.walked([dict(zip(("entry_no", "level", "parent", "child_start", "child_end", "there"), (*r, True))) for r in rows])]
+    deep = [(i, i, i - 1 if i else None, i + 1 if i < 999 else None, i + 1 if i < 999 else None) for i in range(1000)]
+    got = tree_of(deep)
+    assert [d for _, d, _ in got] == list(range(1, 1001)) and got[-1][2] == (1,) * 1000
+    assert tree_of([(0, 0, None, None, None), (1, 0, 0, None, None)]) == [(0, 1, (1,)), (1, 1, (1, 2))]  # by its own level, whatever its parent
+    assert tree_of([(0, 0, None, 1, 2), (1, 1, 0, None, None), (2, 2, 1, None, None)]) == [(0, 1, (1,)), (1, 2, (1, 1))]  # a level too far down
+    assert tree_of([(0, 0, None, 1, 1), (1, 1, 0, 1, 1)]) == [(0, 1, (1,)), (1, 2, (1, 1))]
+    assert tree_of([(0, 0, 0, None, None)]) == [(0, 1, ())]  # its own parent
+    assert tree_of([(0, 0, 1, None, None), (1, 0, 0, None, None)])  # a circle ends
+    assert tree_of([(0, 0, None, 5, 6)]) == [] == tree_of([(0, None, None, None, None)]) == tree_of([])
+    twice = [(0, 0, None, 2, 2), (1, 0, None, 2, 2), (2, 1, 0, None, None)]
+    assert [i for i, _, _ in tree_of(twice)] == [0, 2, 1]
+
+
+def test_no_document_changes_another_ones_tree(spark):
+    schema = "doc_id long, entry_no int, title string, target string, level int, parent long, child_start long, child_end long"
+    one = [(1, 0, "a", "t", 0, None, 1, 1), (1, 1, "b", "t", 0, 0, None, None)]
+    two = [(2, 0, "a", "t", 0, None, 1, 1), (2, 1, "b", "t", 1, 0, None, None)]
+    seen = lambda rows: [(r.id, r.play_order) for r in navigation.toc_tree(spark.createDataFrame(rows, schema)).filter("doc_id = 1").orderBy("play_order").collect()]
+    assert seen(one) == seen(one + two) == [("toc-1", 1), ("toc-1-1", 2)]
+
+
+def test_payload_stays_in_its_row(spark):
+    """Text, records, index entries, pools and resources of a collection plan no exchange."""
+    book = Collection(staged(fixtures.containers(docs(spark, "text"), 2), "containers"))
+    for rows in (book.opened, book.records, text.container_text(book.opened, F.col("base_seq")), reader.index_records(book.opened, "ncx_index"), reader.pools(book.opened, "ncx_index"), reader.sections(book.opened), reader.resources(book.files), rewrite.edited(book.files, rewrite.action("set", 100, F.lit("a")))):
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Join" not in plan, plan
+
+
+def test_edits_of_damaged_and_short_containers(spark):
+    head = bytes(76)
+    assert rewrite.with_steps(head + b"\0\1", []) is None and rewrite.with_metadata(b"", []) is None
+    one = rewrite.put_together(head + b"\0\0", [(7, b"zero"), (0, b"one")])
+    assert rewrite.taken_apart(one)[1] == [(7, b"zero"), (0, b"one")]
+    steps = [{"action": "insert", "at": None, "count": 0, "data": [b"end"]}, {"action": "replace", "at": 0, "count": 0, "data": [b"0"]}, {"action": "delete", "at": 1, "count": 1, "data": None}, {"action": "replace", "at": 9, "count": 0, "data": [b"no"]}]
+    assert rewrite.taken_apart(rewrite.with_steps(one, steps))[1] == [(7, b"0"), (0, b"end")]
+    assert rewrite.with_steps(one, [{"action": "delete", "at": 0, "count": 9, "data": None}]) is None
+    assert rewrite.with_metadata(one, [{"action": "set", "tag": 100, "value": "x"}]) == one  # no long header to hold it
+    assert [rewrite.locale_number(n) for n in ("EN-gb", "en-zz", "xx", "de")] == [9 + 0x0800, 9, 0, 7]
+
+
+def test_metadata_of_a_whole_hybrid_and_the_command_line(spark, tmp_path, capsys):
+    from codexspark.__main__ import main
+
+    files = fixtures.containers(docs(spark, "text"), 2, tags=F.array(fixtures.tag(100, F.lit("me")), fixtures.tag(105, F.lit("s"))))
+    write_files(files.select(F.lit("a.mobi").alias("file_name"), F.col("content").alias("data")), str(tmp_path / "in"))
+    assert main(["meta", str(tmp_path / "in"), "-a", "author=you", "-s", "title=New: one", "-d", "subject", "-a", "116=7", "-o", str(tmp_path / "out")]) == 0
+    assert "1 files" in capsys.readouterr().out
+    book = Collection(C.scan(spark, str(tmp_path / "out"), "*.mobi").select("doc_id", "content"))
+    got = book.summary.first()
+    assert (got.author, got.title, got.subject, got.name) == ("me; you", "New: one", None, "New__one")
+    assert [r.value for r in book.decoded_tags.filter("tag = 116").collect()] == ["7"] and bytes(book.text.first().text) == b"text"
+    book.close()
+    for command in ("text", "dump", "parts"):
+        assert main([command, str(tmp_path / "in"), "-o", str(tmp_path / command)]) == 0
+    assert [p.read_bytes() for p in (tmp_path / "text").glob("*.rawml")] == [b"text"]
+    assert len(list((tmp_path / "dump").glob("*record_*"))) == 2
+    assert main(["summary", str(tmp_path / "in")]) == 0
