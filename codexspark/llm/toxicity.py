@@ -46,9 +46,11 @@ LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb",
 MARKS = set(".,-_*~'`^/\\:;") | set(" \t\n\r")
 KEPT, LISTED = -0.5, 1.2  # log odds of a mark kept as a boundary, and of each letter of an entry
 SIGNS = re.escape("".join(sorted({*LEET, *MARKS} - set(" \t\n\r"))))
-DIGITS, LAST, APARTS = (re.escape("".join(sorted(x))) for x in (LEET, {*LEET} - {"!", "("}, MARKS))
-#: Signs among letters, at the start or end of a word ("!" and "(" at an end are punctuation), or a letter three times.
-DISGUISED = re.compile(rf"[a-z][{SIGNS}]++[a-z]|(?<![a-z{DIGITS}])[{DIGITS}]++[a-z]|[a-z][{LAST}]++(?![a-z])|([a-z])\1\1")
+LAST = {*LEET} - {"!", "("}
+DIGITS, APARTS = (re.escape("".join(sorted(x))) for x in (LEET, MARKS))
+#: Signs together, and a letter three times. A token is disguised where signs stand among letters, at its start or end ("!" and
+#: "(" at an end are punctuation), or where a letter stands three times.
+SIGN_RUN, THRICE = re.compile(rf"[{SIGNS}]++"), re.compile(r"([a-z])\1\1")
 TOKEN = re.compile(rf"[a-z{SIGNS}]++")
 #: Three or more single letters with marks between.
 APART = re.compile(rf"(?<![a-z0-9])[a-z{DIGITS}](?:[{APARTS}]++[a-z{DIGITS}](?![a-z0-9])){{2,}}+")
@@ -62,12 +64,12 @@ REPEATED = re.compile(r"([a-z])\1+")
 COMBINING = re.compile("[\u0300-\u036f]+")
 #: Letters with accents, and the plain ones.
 PLAIN = {c: d[0] for c in map(chr, [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]) if len(d := unicodedata.normalize("NFD", c)) > 1 and d[0].isascii()}
-ACCENTED = re.compile(f"[{''.join(PLAIN)}]")
 #: Signs without width, and letters that look like Latin ones (fixed values).
 NO_WIDTH = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]+")
 ALIKE = str.maketrans("\u0430\u0435\u043e\u0440\u0441\u0443\u0445\u0456\u0458\u0455\u0501\u04bb\u03b1\u03bf\u03b9\u03c1\u03bd\u0131\u0261", "aeopcyxijsdhaoipvig")
 LIKE = re.compile(f"[{''.join(map(chr, ALIKE))}]")
 MIXED = re.compile(f"(?=[a-z]*[{''.join(map(chr, ALIKE))}])(?=[{''.join(map(chr, ALIKE))}]*[a-z])[a-z{''.join(map(chr, ALIKE))}]+")
+ACCENTED = re.compile(f"[{''.join(PLAIN)}]")
 FEATURES = ("top", "total", "hits", "restored")
 
 
@@ -210,13 +212,25 @@ def spelled(token: str, start: int, lexicon: dict[str, float], prefixes: frozens
     return False
 
 
+def marked(text: str) -> Iterator[int]:
+    """Places in tokens that are spelled with signs or repeat a letter, in order for each kind."""
+    for m in SIGN_RUN.finditer(text):
+        a, b = m.span()
+        before, after = a > 0 and "a" <= text[a - 1] <= "z", "a" <= text[b : b + 1] <= "z"
+        if before and (after or text[a] in LAST) or after and text[b - 1] in LEET:
+            yield a
+    letters = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+    if ((letters[2:] == letters[1:-1]) & (letters[2:] == letters[:-2]) & (letters[2:] > 96)).any():
+        yield from (m.start() for m in THRICE.finditer(text))
+
+
 def disguised(text: str) -> set[str]:
     """Tokens of a lower-case text that may hide a word: spelled with signs, or letters set apart."""
     out, done = set(), 0
-    for m in DISGUISED.finditer(text):
-        if m.start() < done:
+    for at in sorted(marked(text)):
+        if at < done:
             continue
-        i = m.start()
+        i = at
         while i > done and TOKEN.match(text, i - 1, i):
             i -= 1
         done = TOKEN.match(text, i).end()
@@ -238,18 +252,17 @@ class Scorer:
             self.spelt[folded(entry)] = max(weight, self.spelt.get(folded(entry), 0.0))
         self.prefixes = frozenset(e[:n] for w in self.spelt for e in [w.rstrip("*")] for n in range(1, len(e) + 1))
         self.window = SPREAD * max([1, *(len(w.rstrip("*")) for w in self.spelt)])
+        self.heads = {e[:3] for e in lexicon}
         self.weight, self.spelt_weight = self.weigher(lexicon), self.weigher(self.spelt)
         self.tight = {REPEATED.sub(r"\1", e) for e in self.spelt}
         short = functools.lru_cache(maxsize=100_000)(self.decoded)
         self.restore = lambda token: short(token) if len(token) <= 2 * LONGEST else self.decoded(token)
-        self.known = functools.lru_cache(maxsize=200_000)(lambda word: (x := self.weight(word), () if x else self.respelt(word)))
+        self.single = functools.lru_cache(maxsize=100_000)(self.untied)
 
     @staticmethod
     def weigher(lexicon: dict[str, float]):
         """The highest weight of an entry that a word is or begins with, 0 for none."""
-        heads = {e[:3] for e in lexicon}  # an entry has three letters at least
-        best = functools.lru_cache(maxsize=200_000)(lambda word: max((lexicon.get(e, 0.0) for e in entries(word)), default=0.0))
-        return lambda word: best(word) if word[:3] in heads else 0.0
+        return functools.lru_cache(maxsize=200_000)(lambda word: max((lexicon.get(e, 0.0) for e in entries(word)), default=0.0))
 
     def decoded(self, token: str) -> frozenset[str]:
         """Words with a weight behind a token. Long tokens are read in a window from each place where an entry may start;
@@ -263,28 +276,37 @@ class Scorer:
             windows = (token[i : i + self.window] for i in hits)
         return frozenset(w for t in windows for w in decode(t, self.lm, self.spelt, self.prefixes).split() if self.spelt_weight(w))
 
-    def respelt(self, word: str) -> frozenset[str]:
-        """Entries behind a plain word that is none: without its accents, or with repeated letters."""
-        plain = folded(word)
-        if plain != word and self.weight(plain):
-            return frozenset([plain])
-        tight = REPEATED.sub(r"\1", plain) if len(plain) <= LONGEST else plain
-        if len(tight) == len(plain) or tight not in self.tight and not any(f"{tight[:n]}*" in self.tight for n in range(1, STEMS[-1] + 1)):
+    def untied(self, word: str) -> frozenset[str]:
+        """Entries behind a plain word without accents that has repeated letters."""
+        tight = REPEATED.sub(r"\1", word) if len(word) <= LONGEST else word
+        if len(tight) == len(word) or tight not in self.tight and not any(f"{tight[:n]}*" in self.tight for n in range(1, STEMS[-1] + 1)):
             return frozenset()
-        return self.decoded(plain)
+        return self.decoded(word)
 
     def features(self, text: str | None) -> tuple[float, float, float, float]:
         """Highest weight, sum of weights, number of hits and of those restored, by distinct word."""
         if not text or not self.lexicon:
             return 0.0, 0.0, 0.0, 0.0
         text = composed(text)
-        words = set(WORDS.findall(text))
-        found, hidden = [], {w for t in disguised(folded(text)) for w in self.restore(t)}
-        for x, others in map(self.known, words):
-            if x:
-                found.append(x)
-            elif others:
-                hidden |= others
+        words, heads = set(WORDS.findall(text)), self.heads
+        hidden = {w for t in disguised(folded(text)) for w in self.restore(t)}
+        own = list(words)
+        joined = " ".join(own)
+        flat = folded(joined)  # word for word
+        # An entry has three letters at least: few words begin like one.
+        found = {w: x for w in own if w[:3] in heads and (x := self.weight(w))}
+        done, plain = set(found), own
+        if flat != joined:
+            plain = flat.split(" ")
+            accented = {p for w, p in zip(own, plain) if p != w and p[:3] in heads and w not in found and self.weight(p)}
+            hidden |= accented
+            done |= accented | {folded(w) for w in found}
+        signs = np.frombuffer(flat.encode("utf-8", "surrogatepass"), np.uint8)
+        twice = np.flatnonzero((signs[1:] == signs[:-1]) & (signs[1:] > 96) & (signs[1:] < 123))
+        for k in np.unique(np.cumsum(signs == 32)[twice]).tolist():  # words with a letter twice in a row
+            if plain[k] not in done:
+                hidden |= self.single(plain[k])
+        found = list(found.values())
         more = [self.spelt_weight(w) for w in hidden - words]
         weights = sorted([*found, *more], reverse=True)
         return (weights[0] if weights else 0.0), sum(weights[:8]), float(len(weights)), float(len(more))
