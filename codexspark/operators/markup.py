@@ -82,15 +82,17 @@ def flows(text: DataFrame, sections: DataFrame) -> DataFrame:
     return rows.select("doc_id", "status", F.col("c.section").alias("uid"), data.alias("data"))
 
 
-def flow_kinds(flow_rows: DataFrame, newer: bool = True) -> DataFrame:
+def flow_kinds(flow_rows: DataFrame, newer: bool = True, decimal: bool = False) -> DataFrame:
     """flows with `kind`: the first is HTML, others what the first one's links to them say (ids in base 32), else
-    UNKNOWN; all are HTML in the older format."""
+    UNKNOWN; all are HTML in the older format. With `decimal` a flow looks for its number in four decimal digits, as some
+    readers do, and so finds another flow's link from 10 on."""
     if not newer:
         return flow_rows.withColumn("kind", F.lit("HTML"))
     found = flow_rows.filter("uid = 0").select("doc_id", F.explode(F.regexp_extract_all(F.decode("data", "ISO-8859-1"), F.lit(r"kindle:(flow:[0-9A-V]+\?mime=[a-z0-9+/.-]+)"), F.lit(1))).alias("raw"))
     parts = found.select("doc_id", F.regexp_extract("raw", "flow:([0-9A-V]+)", 1).alias("fid"), F.regexp_extract("raw", "mime=(.*)", 1).alias("media"))
     kind = F.when(F.col("media") == "text/css", "CSS").when(F.col("media") == "image/svg+xml", "SVG").when(F.col("media").contains("html"), "HTML")
-    parts = parts.select("doc_id", base32(F.col("fid")).cast("int").alias("uid"), kind.alias("said")).filter("said is not null").groupBy("doc_id", "uid").agg(F.min("said").alias("said"))
+    number = F.when(F.col("fid").rlike("^[0-9]{4}$"), F.col("fid")).cast("int") if decimal else base32(F.col("fid")).cast("int")
+    parts = parts.select("doc_id", number.alias("uid"), kind.alias("said")).filter("said is not null and uid is not null").groupBy("doc_id", "uid").agg(F.min("said").alias("said"))
     return flow_rows.join(parts, ["doc_id", "uid"], "left").withColumn("kind", F.when(F.col("uid") == 0, "HTML").otherwise(F.coalesce("said", F.lit("UNKNOWN")))).drop("said")
 
 

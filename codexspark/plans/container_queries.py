@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +16,8 @@ from codexspark.plans.reconstruct import Collection
 from codexspark.plans.registry import query, table
 from codexspark.sources import containers as C
 from codexspark.sources import fixtures, reader, writer
-from codexspark.sources.staging import kept, staged
+from codexspark.sources.files import read_headers, write_files
+from codexspark.sources.staging import kept, shared_dir, staged
 
 ROUND_TRIP_SQL = "SELECT doc_id, 'SUCCESS' AS status, md5(coalesce(text, '')) AS text_md5, strlen(coalesce(text, ''))::BIGINT AS n_bytes FROM documents"
 
@@ -183,10 +186,15 @@ def exth_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metadata.joined(rows).select(F.col("doc_id").alias("conv_id"), "value")
 
 
-@query("""SELECT page_id, coalesce(nullif(regexp_extract(html, '<title>([^<]*)</title>', 1), ''), url, 'Unknown') AS title FROM pages""")
+@query("""SELECT page_id, CASE WHEN page_id % 3 = 0 THEN regexp_extract(html, '<title>([^<]*)</title>', 1) WHEN page_id % 3 = 1 THEN url ELSE 'page_' || page_id END AS title FROM pages""")
 def title_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tag = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
-    return table(spark, sf_dir, "pages").select("page_id", F.coalesce(F.when(tag != "", tag), "url", F.lit("Unknown")).alias("title"))
+    """Titles of containers made from pages: the tag, else the full name, else the container's name."""
+    pages = table(spark, sf_dir, "pages")
+    docs = pages.select(F.col("page_id").alias("doc_id"), F.lit("x").alias("text"), "url", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
+    tagged_ = F.when(F.col("doc_id") % 3 == 0, F.array(fixtures.tag(503, F.col("title")))).otherwise(F.array().cast(fixtures.NO_TAGS))
+    recs = fixtures.records(docs, 1, tags=tagged_, name=F.when(F.col("doc_id") % 3 == 1, F.col("url")))
+    book = Collection(staged(writer.assembled(recs, docs.select("doc_id", F.concat(F.lit("page_"), F.col("doc_id").cast("string")).alias("name"))), "containers"))
+    return book.summary.select(F.col("doc_id").alias("page_id"), "title")
 
 
 masked_font = codecs.by_row(lambda b: _font_record(b))
@@ -412,6 +420,19 @@ def text_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "lang").join(got, "doc_id").groupBy("lang").agg(F.count("*").alias("n_docs"), F.sum(F.length("text")).cast("long").alias("n_bytes"))
 
 
+def member(data: Column, name: str) -> Column:
+    """A member of a zip file."""
+
+    @F.pandas_udf("binary")
+    def read(zips: pd.Series) -> pd.Series:
+        import io
+        import zipfile
+
+        return pd.Series([zipfile.ZipFile(io.BytesIO(bytes(z))).read(name) for z in zips], dtype=object)
+
+    return read(data)
+
+
 def names_inside(data: Column) -> Column:
     """Names of the members of a zip file."""
 
@@ -425,11 +446,25 @@ def names_inside(data: Column) -> Column:
     return inside(data)
 
 
-@query("""SELECT doc_id, 'mimetype META-INF/container.xml OEBPS/part00000.html OEBPS/content.opf' AS names FROM documents""")
+@query("""SELECT doc_id, 'mimetype META-INF/container.xml OEBPS/content.opf OEBPS/part00000.html OEBPS/resource00000.ncx' AS names, md5('<p>' || regexp_replace(coalesce(text, ''), '[<>&]', '', 'g') || '</p>') AS part_md5 FROM documents""")
 def epub_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = docs_of(spark, sf_dir)
-    files = docs.select("doc_id", F.explode(F.array(F.struct(F.lit("part00000.html").alias("file_name"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("data")), F.struct(F.lit("resource00001.opf").alias("file_name"), F.lit(b"<package/>").alias("data")))).alias("f")).select("doc_id", "f.*")
-    return resources.epub(files).select("doc_id", F.array_join(names_inside(F.col("epub")), " ").alias("names"))
+    """EPUBs of whole documents through Collection: the members' names, and the part unpacked again."""
+    body = F.concat(F.lit("<p>"), F.regexp_replace(F.coalesce("text", F.lit("")), "[<>&]", ""), F.lit("</p>"))
+    files = kept(spark, sf_dir, "documents-paragraphs", lambda: fixtures.containers(docs_of(spark, sf_dir).withColumn("text", body), 2))
+    books = staged(Collection(files).epubs, "epubs")
+    return books.select("doc_id", F.array_join(names_inside(F.col("epub")), " ").alias("names"), F.md5(member(F.col("epub"), "OEBPS/part00000.html")).alias("part_md5"))
+
+
+@query("""SELECT doc_id, 'doc_' || doc_id AS name, (greatest(ceil(strlen(coalesce(text, '')) / 4096.0), 1) + 1)::BIGINT AS rec_count, strlen(coalesce(text, ''))::BIGINT AS text_length, 6::BIGINT AS version, TRUE AS short FROM documents""")
+def header_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headers of files read by seeks: of each no more than its header, two entries of its directory and record 0."""
+    folder = f"{shared_dir(spark).rstrip('/')}/files-{uuid.uuid4().hex}"
+    write_files(documents_stored(spark, sf_dir, 1).select(F.concat(F.col("doc_id").cast("string"), F.lit(".mobi")).alias("file_name"), F.col("content").alias("data")), folder)
+    own = read_headers(spark, folder, "*.mobi", "path string, head binary, record0 binary, bytes_read long")
+    rows = own.select(F.regexp_extract("path", "([0-9]+)\\.mobi$", 1).cast("long").alias("doc_id"), F.col("head").alias("content"), F.lit(0).alias("seq"), F.col("record0").alias("data"), "bytes_read")
+    short = rows.select("doc_id", (F.col("bytes_read") < 600).alias("short"))
+    heads = C.headers(rows.select("doc_id", "seq", "data")).select("doc_id", "text_length", "version")
+    return C.pdb_headers(rows).select("doc_id", "name", "rec_count").join(heads, "doc_id").join(short, "doc_id")
 
 
 @query("""SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'FILE_ENCRYPTED' ELSE 'SUCCESS' END AS status FROM documents""")
