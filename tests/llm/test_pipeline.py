@@ -34,3 +34,14 @@ def test_stages_keep_the_columns(spark, tmp_path):
     rows = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long, rules int")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, rows, str(tmp_path)).columns == rows.columns
+
+
+def test_every_stage_takes_an_empty_table_and_null_sources(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    none = spark.createDataFrame([], schema)
+    assert all(stage(spark, none, str(tmp_path)).collect() == [] for _, stage in corpus_pipeline.STAGES)
+    rng = random.Random(3)
+    rows = [(i, words(rng, 60), None, None if i % 2 else "s", 400) for i in range(30)] + [(99, None, None, None, None)]
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/documents.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert got and all(r.round_trip for r in got) and {r.doc_id % 2 for r in got} == {0, 1}
