@@ -192,7 +192,8 @@ def apply(tree: Tree, edits: Iterable[dict] | None) -> Tree:
 
 
 def counted(docs: DataFrame, path: str) -> DataFrame:
-    """docs (doc_id, text, edits as EDITS) with a struct column `counts` (fields of RESULT)."""
+    """docs (doc_id, text, edits as EDITS, ...) with a struct column `counts` (fields of RESULT), which replaces one of that name; all
+    other columns stay."""
 
     @F.pandas_udf(RESULT)
     def counts(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
