@@ -56,6 +56,7 @@ def write_fixtures(spark: SparkSession, sf_dir: str) -> None:
         documents_stored(spark, sf_dir, compression)
     named_stored(spark, sf_dir)
     tagged(spark, sf_dir)
+    resources_stored(spark, sf_dir)
 
 
 def round_trip(spark: SparkSession, sf_dir: str, compression: int) -> DataFrame:
@@ -145,7 +146,7 @@ def metadata_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 UNION ALL SELECT doc_id, 105, 'first & last; ' || coalesce(lang, 'none'), 'string' FROM documents UNION ALL SELECT doc_id, 524, coalesce(lang, 'none'), 'string' FROM documents""")
 def exth_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     files, _ = tagged(spark, sf_dir)
-    heads = C.headers(C.first_records(files))
+    heads = staged(C.headers(C.first_records(files)).select("doc_id", "data", "header_length", "exth_flags", "text_encoding"), "headers")
     decoded = metadata.decoded_tags(C.exth(heads), heads)
     kinds = metadata.tag_table(spark).select("tag", "kind")
     return metadata.joined(decoded).join(F.broadcast(kinds), "tag").select("doc_id", F.col("tag").cast("long").alias("tag"), "value", "kind")
@@ -211,6 +212,10 @@ def _font_record(data: bytes) -> bytes:
     return b"FONT" + b"".join(head) + key + bytes(body)
 
 
+def resources_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kept(spark, sf_dir, "documents-resources", lambda: writer.assembled(with_resources(spark, sf_dir), docs_of(spark, sf_dir).select("doc_id", F.lit("x").alias("name"))))
+
+
 def with_resources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records of containers with a text, six resources and a break. The fourth is no resource."""
     docs = docs_of(spark, sf_dir)
@@ -226,9 +231,7 @@ def with_resources(spark: SparkSession, sf_dir: str) -> DataFrame:
 LATERAL (VALUES (0, 'JPG', 'resource00000.jpg', 'image/jpeg', 3), (1, 'GIF', 'resource00001.gif', 'image/gif', 6), (2, 'OTF', 'resource00002.otf', 'application/vnd.ms-opentype', 4),
   (4, 'MP3', 'resource00004.mp3', 'audio/mpeg', 0), (5, 'MPG', 'resource00005.mpg', 'video/mpeg', 0)) u(uid, kind, name, media, more)""")
 def resource_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    recs = C.records(staged(writer.assembled(with_resources(spark, sf_dir), docs_of(spark, sf_dir).select("doc_id", F.lit("x").alias("name"))), "containers"))
-    heads = C.headers(recs)
-    found = resources.resources(recs.select("doc_id", "seq", "data"), heads.select("doc_id", F.col("image_index").alias("first")))
+    found = reader.resources(resources_stored(spark, sf_dir))
     named = resources.file_names(found, "resource")
     return named.select("doc_id", F.col("uid").cast("long").alias("uid"), "kind", "file_name", "media_type", F.length("data").cast("long").alias("n_bytes"))
 
