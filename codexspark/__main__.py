@@ -15,7 +15,7 @@ from codexspark.operators import metadata, resources, rewrite
 from codexspark.plans.reconstruct import Collection
 from codexspark.sources import containers as C
 from codexspark.sources import reader
-from codexspark.sources.files import write_files
+from codexspark.sources.files import write_files, write_joined
 
 TABLES = ("summary", "headers", "records", "exth", "toc")
 FILES = ("text", "dump", "parts", "epub", "cover", "source")
@@ -38,8 +38,6 @@ def files(book: Collection, command: str) -> DataFrame:
         return own(book.all_records, F.format_string("record_%d_uid_%d", F.col("seq").cast("long"), F.col("rec_uid")))
     if command == "parts":
         return own(book.file_table, F.col("file_name"))
-    if command == "epub":
-        return own(book.epubs, F.lit("book.epub"), "epub")
     if command == "cover":
         rows = reader.covers(book.opened).join(F.broadcast(resources.kinds(book.files.sparkSession)), "kind", "left")
         return own(rows, F.concat(F.lit("cover."), F.coalesce("extension", F.lit("raw"))))
@@ -78,6 +76,11 @@ def main(argv: list[str] | None = None) -> int:
     elif not args.out:
         raise SystemExit("-o FOLDER is needed")
     else:
+        if args.command == "epub":  # part by part: an archive is never held whole
+            name = F.concat(F.col("doc_id").cast("string"), F.lit("_book.epub"))
+            n, size = write_joined(book.epub_parts.select(name.alias("file_name"), "place", "data"), args.out)
+            print(f"{n} files, {size} bytes")
+            return 0
         rows = edited(book, args.actions or []).select(F.concat(F.col("doc_id").cast("string"), F.lit(".mobi")).alias("file_name"), F.col("content").alias("data")) if args.command == "meta" else files(book, args.command)
         n, size = write_files(rows, args.out)
         print(f"{n} files, {size} bytes")

@@ -103,7 +103,7 @@ class Wrote(WriterCommitMessage):
 
 class FileWriter(DataSourceWriter):
     def __init__(self, options: dict):
-        self.where, self.job = options["path"], uuid.uuid4().hex
+        self.where, self.job, self.joined = options["path"], uuid.uuid4().hex, options.get("joined") == "true"
         store, _, pending = self.pending()
         store.create_dir(pending, recursive=True)
 
@@ -115,16 +115,23 @@ class FileWriter(DataSourceWriter):
         store, _, pending = self.pending()
         task = TaskContext.get()
         folder = f"{pending}/{task.partitionId()}-{task.taskAttemptId()}"
-        names, total = [], 0
+        names, total, out = [], 0, None
         store.create_dir(folder, recursive=False)  # fails once the job has been given up and its folder is gone
-        for row in iterator:
-            name, data = os.path.basename(row["file_name"]), bytes(row["data"])
-            if not name or name in (".", ".."):
-                raise ValueError(f"no name for a file: {row['file_name']!r}")
-            with store.open_output_stream(f"{folder}/{name}") as out:
+        try:
+            for row in iterator:
+                name, data = os.path.basename(row["file_name"]), bytes(row["data"])
+                if not name or name in (".", ".."):
+                    raise ValueError(f"no name for a file: {row['file_name']!r}")
+                if out is None or not self.joined or names[-1] != name:
+                    if out is not None:
+                        out.close()
+                    out = store.open_output_stream(f"{folder}/{name}")
+                    names.append(name)
                 out.write(data)
-            names.append(name)
-            total += len(data)
+                total += len(data)
+        finally:
+            if out is not None:
+                out.close()
         return Wrote(folder, names, total)
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
@@ -163,8 +170,19 @@ def read_headers(spark: SparkSession, path: str, glob: str = "*", columns: str =
 def write_files(rows: DataFrame, folder: str) -> tuple[int, int]:
     """Write each row (file_name, data) as a file of a folder, all or none; gives their number and bytes. Names stay inside the
     folder and begin with no dot or underscore of their own that readers skip."""
+    return save(rows.select("file_name", "data"), folder, joined=False)
+
+
+def write_joined(parts: DataFrame, folder: str) -> tuple[int, int]:
+    """Write (file_name, place, data) as one file for each name, its parts one after the other by place, as write_files does. A
+    task holds one part at a time, however long a file is."""
+    own = parts.repartition("file_name").sortWithinPartitions("file_name", "place")
+    return save(own.select("file_name", "data"), folder, joined=True)
+
+
+def save(rows: DataFrame, folder: str, joined: bool) -> tuple[int, int]:
     rows.sparkSession.dataSource.register(FileSink)
-    rows.select("file_name", "data").write.format("container_files").mode("append").save(folder)
+    rows.write.format("container_files").option("joined", str(joined).lower()).mode("append").save(folder)
     store, root = store_of(folder)
     with store.open_input_stream(f"{root}/_committed.json") as file:
         done = json.loads(file.read())

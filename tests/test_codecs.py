@@ -1,5 +1,6 @@
 """Hand-written vectors, round trips and damage for the byte helpers; none of these needs Spark."""
 
+import random
 import zlib
 
 import pytest
@@ -105,6 +106,86 @@ def test_index_round_trip_and_damage():
     assert index.decode([]) is None
 
 
+def plain_tags(data, at, end, controls, schema):
+    """Tags of one entry, value by value."""
+
+    def value_at(at):
+        value = 0
+        for i in range(at, min(at + 4, end)):
+            value = value << 7 | data[i] & 127
+            if data[i] & 128:
+                return value, i + 1
+        return value, min(at + 4, end)
+
+    wanted, byte = [], at
+    at += controls
+    for tag, each, mask, ends in schema:
+        byte += bool(ends)
+        bits = 0 if ends else data[byte] & mask
+        if bits and bits == mask and mask.bit_count() > 1:
+            size, at = value_at(at)
+            wanted.append((tag, None, size))
+        elif bits:
+            wanted.append((tag, each * (bits // (mask & -mask)), None))
+    out = []
+    for tag, count, size in wanted:
+        values, start = [], at
+        while (len(values) < count if size is None else at - start < size) and len(values) < index.MOST_VALUES and at < end:
+            value, at = value_at(at)
+            values.append(value)
+        out.append({"tagid": tag, "values": values})
+    return out
+
+
+def plain_decode(records):
+    """An index entry by entry; None where it is damaged."""
+    try:
+        meta, out = records[0], []
+        controls, schema = index.schema_of(meta)
+        table = index.label_table(meta)
+        if meta[:4] != b"INDX":
+            return None
+        for data in records[1 : 1 + index.number(meta, 24)]:
+            stop, count = index.number(data, 20), index.number(data, 24)
+            if data[:4] != b"INDX" or data[stop : stop + 4] != b"IDXT" or count > index.MOST_ENTRIES:
+                return None
+            starts = [index.number(data, stop + 4 + 2 * i, 2) for i in range(count)]
+            for a, b in zip(starts, [*starts[1:], stop]):
+                size = data[a]
+                if b <= a or size > b - a or b > len(data):
+                    return None
+                label = data[a + 1 : a + 1 + size]
+                label = index.ordered_label(label, *table) if table else index.label_of(label, index.number(meta, 48) > 0)
+                out.append({"entry_no": len(out), "label": label, "tags": plain_tags(data, a + 1 + size, b, controls, schema)})
+        return out if len(out) == index.number(meta, 36) else None
+    except (ValueError, IndexError):
+        return None
+
+
+@pytest.mark.parametrize("at_once", (300, index.AT_ONCE))
+def test_columns_equal_entries_one_by_one(monkeypatch, at_once):
+    """Whole and damaged indexes of several schemas, with and without tables of labels, decoded together."""
+    monkeypatch.setattr(index, "AT_ONCE", at_once)
+    rng, groups = random.Random(7), []
+    schemas = [[(1, 1, 1, 0), (2, 2, 6, 0), (3, 1, 0x30, 0), (0, 0, 0, 1), (5, 1, 0xFF, 0), (0, 0, 0, 1)], [(6, 2, 3, 0), (0, 0, 0, 1)]]
+    for _ in range(400):
+        schema = rng.choice(schemas)
+        several = lambda n, top: [rng.randrange(top) for _ in range(n)]
+        tags = lambda: [several(rng.randrange(2), 1 << 27), several(2 * rng.randrange(3), 300), several(rng.randrange(3), 9), several(rng.choice((0, 3, 120)), 9)] if schema is schemas[0] else [several(2 * rng.randrange(3), 1 << 20)]
+        rows = [(bytes(several(rng.randrange(9), 256)), tags()) for _ in range(rng.randrange(6))]
+        table = [several(rng.choice((3, 200)), 65536), rng.random() < 0.5] if rng.random() < 0.4 else []
+        records = [bytearray(r) for r in index.encode(rows, schema, sum(r[3] for r in schema), *table)]
+        for _ in range(rng.choice((0, 0, 1, 1, 3))):
+            own = rng.choice(records)
+            own[rng.randrange(len(own))] = rng.choice((0, 255, rng.randrange(256)))
+        groups.append([bytes(r) for r in records])
+    groups += [None, [], [b"INDX"]]
+    wanted = [plain_decode(g) if g else None for g in groups]
+    assert index.decoded(groups).to_pylist() == wanted
+    assert sum(w is None for w in wanted) > 20 and sum(bool(w) for w in wanted) > 100
+    assert len(index.decoded([])) == 0
+
+
 def test_labels():
     assert index.label_of(b"\x01EB\x00\x05s\x01aB\x02", True) == "Œ".encode("cp1252") + b"B?" + "ß".encode("cp1252") + b"?aB?"
     assert index.label_of(b"\x01a", False) == b"\x01a"

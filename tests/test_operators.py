@@ -1,5 +1,9 @@
 """Operators on small hand-made tables: damage, ties, empty input, and what driver tables don't contain."""
 
+import io
+import random
+import zipfile
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,7 +13,7 @@ from codexspark.operators import dictionary, edits, markup, metadata, navigation
 from codexspark.plans.reconstruct import Collection
 from codexspark.sources import containers as C
 from codexspark.sources import fixtures, reader, writer
-from codexspark.sources.files import read_headers, write_files
+from codexspark.sources.files import read_headers, write_files, write_joined
 from codexspark.sources.staging import staged
 from codexspark.streaming import arrivals
 
@@ -207,6 +211,39 @@ def test_whole_book(spark):
     assert b"<dc:title>Title &amp; more</dc:title>" in files["content.opf"] and b'<spine toc="resource00001">' in files["content.opf"]
 
 
+def test_archives_are_made_of_members(spark, tmp_path):
+    """Archives of several documents: sound, equal to their files, and the same whether kept as a value or written in parts."""
+    rng = random.Random(3)
+    rows = [(d, n, bytearray(rng.randbytes(size) + b"a" * size)) for d in (7, 8) for n, size in (("content.opf", 50), ("part00000.html", 70_000), ("resource00000.jpg", 0), ("größe.html", 9))]
+    members = resources.archive_members(spark.createDataFrame(rows, "doc_id long, file_name string, data binary").repartition(3))
+    parts = resources.archive_parts(staged(members, "members"))
+    books = {r.doc_id: bytes(r.epub) for r in resources.epub(parts).collect()}
+    assert set(books) == {7, 8}
+    for d, book in books.items():
+        with zipfile.ZipFile(io.BytesIO(book)) as z:
+            assert z.testzip() is None
+            assert z.namelist() == ["mimetype", "META-INF/container.xml", "OEBPS/content.opf", "OEBPS/größe.html", "OEBPS/part00000.html", "OEBPS/resource00000.jpg"]
+            assert {n: z.read(f"OEBPS/{n}") for o, n, _ in rows if o == d} == {n: bytes(x) for o, n, x in rows if o == d}
+        assert book[38:58] == b"application/epub+zip"
+    n, size = write_joined(parts.select(F.concat(F.col("doc_id").cast("string"), F.lit(".epub")).alias("file_name"), "place", "data"), str(tmp_path / "out"))
+    assert (n, size) == (2, sum(map(len, books.values())))
+    assert {d: (tmp_path / "out" / f"{d}.epub").read_bytes() for d in books} == books
+    assert resources.epub(resources.archive_parts(members.limit(0))).count() == 0
+
+
+def test_archives_of_more_members_than_two_bytes_count():
+    body, entries = bytearray(), bytearray()
+    for i in range(70_000):
+        name = b"%05d" % i
+        entries += resources.central_part(name, 0, 0, 0, len(body), 0)
+        body += resources.local_part(name, 0, 0, 0, 0)
+    assert len(entries) == 70_000 * 51
+    with zipfile.ZipFile(io.BytesIO(body + entries + resources.directory_end(70_000, len(entries), len(body)))) as z:
+        assert len(z.namelist()) == 70_000 and z.read("69999") == b""
+    far = resources.central_part(b"x", 0, 0, 0, 1 << 33)
+    assert far.endswith(b"x" + b"\1\0\x08\0" + (1 << 33).to_bytes(8, "little")) and far[42:46] == b"\xff" * 4
+
+
 def test_a_failed_write_leaves_nothing(spark, tmp_path):
     """A task that fails takes the whole job's files with it; what an earlier job wrote stays."""
     good = spark.createDataFrame([("a.bin", bytearray(b"one")), ("../b.bin", bytearray(b"two"))], "file_name string, data binary")
@@ -289,8 +326,9 @@ def test_metadata_of_a_whole_hybrid_and_the_command_line(spark, tmp_path, capsys
     assert (got.author, got.title, got.subject, got.name) == ("me; you", "New: one", None, "New__one")
     assert [r.value for r in book.decoded_tags.filter("tag = 116").collect()] == ["7"] and bytes(book.text.first().text) == b"text"
     book.close()
-    for command in ("text", "dump", "parts"):
+    for command in ("text", "dump", "parts", "epub"):
         assert main([command, str(tmp_path / "in"), "-o", str(tmp_path / command)]) == 0
+    assert [zipfile.ZipFile(p).testzip() for p in (tmp_path / "epub").glob("*_book.epub")] == [None]
     assert [p.read_bytes() for p in (tmp_path / "text").glob("*.rawml")] == [b"text"]
     assert len(list((tmp_path / "dump").glob("*record_*"))) == 2
     assert main(["summary", str(tmp_path / "in")]) == 0
