@@ -233,3 +233,15 @@ def test_fonts_inflate_no_further_than_declared():
 @pytest.mark.parametrize("flags, tail, kept", [(0, b"", 4), (1, b"\xc3\x01", 4), (2, b"zz\x83", 4), (6, b"y\x82zz\x83", 4), (7, b"\x00y\x82zz\x83", 4)])
 def test_trailing_entries_of_all_flags(flags, tail, kept):
     assert len(b"text" + tail) - codecs.trailing(b"text" + tail, flags) == kept
+
+
+def test_equal_records_are_decoded_once():
+    """In either compression; what is too long for its limit stays damage, whichever limit came first."""
+    body = b"lorem " * 10922
+    coded = codecs.lz(body)
+    assert codecs.unlz(coded, 65535) == body and codecs.unlz(bytes(bytearray(coded)), 65535) is codecs.unlz(coded, 65535)
+    assert codecs.unlz(coded, 4096) is None and codecs.unlz(coded, 65535) == body
+    huff, cdic, record = fixtures.huff_record(), fixtures.cdic_record(), fixtures.packed([104, 105])
+    first, second = codecs.unhuff([record, bytes(bytearray(record))], huff, [cdic], 4096)
+    assert first == b"hi" and first is second
+    assert codecs.unhuff([record], huff, [cdic], 1) == [None]

@@ -58,3 +58,21 @@ def test_titles_of_odd_pages(spark, tmp_path):
     wanted = sorted(con.execute(plans.ORACLES["title_fallback"]).fetchall(), key=repr)
     assert len(wanted) == len(pages)
     assert sorted((tuple(r) for r in plans.QUERIES["title_fallback"](spark, str(tmp_path)).collect()), key=repr) == wanted
+
+
+def against_sql(spark, folder, name, **tables):
+    """A query's rows and its SQL's over tables (rows, schema)."""
+    con = duckdb.connect()
+    for table, (own, schema) in tables.items():
+        spark.createDataFrame(own, schema).write.parquet(f"{folder}/{table}.parquet")
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet/*.parquet'")
+    wanted = con.execute(plans.ORACLES[name])
+    columns = [c[0] for c in wanted.description]
+    wanted = sorted(wanted.fetchall(), key=repr)
+    return sorted((tuple(r) for r in plans.QUERIES[name](spark, str(folder)).select(*columns).collect()), key=repr), wanted
+
+
+def test_limits_of_odd_numbers(spark, tmp_path):
+    """Negative, missing, repeated and long document numbers: each row gets a container of its own."""
+    got, wanted = against_sql(spark, tmp_path, "limits", documents=([(i,) for i in (0, 1, 2, 2, -1, -2, None, 3 * 10**12 + 2)], "doc_id long"))
+    assert len(wanted) == 24 and got == wanted
