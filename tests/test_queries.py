@@ -76,3 +76,10 @@ def test_limits_of_odd_numbers(spark, tmp_path):
     """Negative, missing, repeated and long document numbers: each row gets a container of its own."""
     got, wanted = against_sql(spark, tmp_path, "limits", documents=([(i,) for i in (0, 1, 2, 2, -1, -2, None, 3 * 10**12 + 2)], "doc_id long"))
     assert len(wanted) == 24 and got == wanted
+
+
+def test_manifest_of_long_numbers(spark, tmp_path):
+    """Ids of numbers with more than five digits, negative ones and none."""
+    ids = [(i,) for i in (0, 1, 99_999, 100_000, 1_234_567, 10**10 + 3, -1, -123_456, None)]
+    got, wanted = against_sql(spark, tmp_path, "manifest_union", documents=(ids, "doc_id long"), pages=(ids, "page_id long"))
+    assert len(wanted) == 23 and got == wanted
