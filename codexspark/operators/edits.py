@@ -1,12 +1,12 @@
-"""Edits of containers as rewrites of their record table: cut, insert and delete ranges, take one half of a hybrid, write
-record 0 anew. Numbers are given again by a window over the keys; payloads are carried, never looked into."""
+"""Edits of containers as rewrites of their record table: cut, insert and delete ranges, write record 0
+anew. Numbers are given again by a window over the keys; payloads are carried, never looked into."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codexspark.functions.binary import NOTSET, be, first_value
+from codexspark.functions.binary import be, let
 from codexspark.sources.writer import exth_bytes
 
 
@@ -38,7 +38,7 @@ def inserted(recs: DataFrame, new: DataFrame, places: DataFrame) -> DataFrame:
 
 def overlaid(data: Column, at: int, value: Column, width: int = 4) -> Column:
     """data with a big-endian number written over it."""
-    return F.when(F.length(data) >= at + width, F.overlay(data, be(value, width), F.lit(at + 1), F.lit(width))).otherwise(data)
+    return let(F.struct(data.alias("d"), value.alias("v")), lambda x: F.when(F.length(x["d"]) >= at + width, F.overlay(x["d"], be(x["v"], width), F.lit(at + 1), F.lit(width))).otherwise(x["d"]))
 
 
 def with_tags(record0: DataFrame, tags: DataFrame) -> DataFrame:
@@ -52,92 +52,3 @@ def with_tags(record0: DataFrame, tags: DataFrame) -> DataFrame:
     flags = F.col("exth_flags").bitwiseAND(F.lit(0xFFFFFFBF).cast("long")) + F.when(F.size("_tags") > 0, 0x40).otherwise(0)
     head = F.when(F.col("exth_flags").isNotNull(), overlaid(head, 128, flags)).otherwise(head)
     return rows.withColumn("data", F.concat(head, list_, name, F.unhex(F.repeat(F.lit("00"), 64)))).drop("_tags")
-
-
-def _first_value(tags: DataFrame, tag: int, name: str) -> DataFrame:
-    return tags.filter(F.col("tag") == tag).groupBy("doc_id").agg(F.min_by(first_value(F.col("data")), "ord").alias(name))
-
-
-def older_half(recs: DataFrame, heads: DataFrame, boundary: DataFrame) -> DataFrame:
-    """Records of hybrids (doc_id, base_seq of the newer half) without the newer half: from its boundary to the last
-    record, which stays, and without embedded sources; fonts and resource lists are cut to their first four bytes. heads
-    are those of the older half."""
-    rows = recs.join(boundary.select("doc_id", "base_seq"), "doc_id").join(heads.select("doc_id", "image_index", "srcs_index", F.coalesce("srcs_count", F.lit(0)).alias("srcs_count")), "doc_id", "left")
-    last = F.max("seq").over(Window.partitionBy("doc_id"))
-    rows = rows.withColumn("_last", last).filter((F.col("seq") < F.col("base_seq") - 1) | (F.col("seq") == F.col("_last")))
-    source = (F.coalesce("srcs_index", F.lit(NOTSET)) != NOTSET) & F.col("seq").between(F.col("srcs_index"), F.col("srcs_index") + F.col("srcs_count") - 1)
-    rows = rows.filter(~F.coalesce(source, F.lit(False)))
-    stub = (F.col("seq") >= F.coalesce("image_index", F.lit(NOTSET))) & F.substring("data", 1, 4).isin(bytearray(b"FONT"), bytearray(b"RESC"))
-    rows = rows.withColumn("data", F.when(stub, F.substring("data", 1, 4)).otherwise(F.col("data")))
-    return renumbered(rows.select("doc_id", "seq", "data"), ["seq"])
-
-
-def older_tags(tags: DataFrame) -> DataFrame:
-    """The older half's tags without the newer one's place and cover."""
-    data = F.when((F.col("tag") == 121) & (F.length("data") == 4), F.lit(b"\xff\xff\xff\xff")).otherwise(F.col("data"))
-    return tags.filter("tag <> 129").withColumn("data", data)
-
-
-def newer_half(recs: DataFrame, old_heads: DataFrame, new_heads: DataFrame, old_tags: DataFrame, new_tags: DataFrame, boundary: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(records, shift): the newer half of hybrids (doc_id, base_seq) with the older half's resources moved in front of
-    its own, and (doc_id, shift), by how much its later records moved. A hybrid whose counts of resources (tag 125) or
-    first resources are missing is left out."""
-    counts = _first_value(old_tags, 125, "n_old").join(_first_value(new_tags, 125, "n_new"), "doc_id")
-    at = old_heads.filter(F.col("image_index") != NOTSET).select("doc_id", F.col("image_index").alias("old_at"))
-    at = at.join(new_heads.filter(F.col("image_index") != NOTSET).select("doc_id", F.col("image_index").alias("new_at")), "doc_id")
-    plan = boundary.select("doc_id", "base_seq").join(counts, "doc_id").join(at, "doc_id")
-    rows = recs.join(plan, "doc_id")
-    moved = (F.col("seq") >= F.col("old_at")) & (F.col("seq") < F.col("old_at") + F.col("n_old"))
-    own = F.col("seq") >= F.col("base_seq")
-    key = F.when(own, F.col("seq") - F.col("base_seq")).otherwise(F.col("new_at"))
-    rows = rows.filter(moved | own).withColumn("_k", key).withColumn("_side", F.when(own, 1).otherwise(0)).withColumn("_n", F.col("seq"))
-    return renumbered(rows.select("doc_id", "seq", "data", "_k", "_side", "_n"), ["_k", "_side", "_n"]), plan.select("doc_id", F.col("n_old").alias("shift"))
-
-
-def newer_tags(tags: DataFrame, shift: DataFrame, heads: DataFrame) -> DataFrame:
-    """The newer half's tags after newer_half(): more resources; a start of reading beyond the text goes."""
-    rows = tags.join(shift, "doc_id").join(heads.select("doc_id", "text_record_count"), "doc_id")
-    rows = rows.filter(~((F.col("tag") == 116) & (first_value(F.col("data")) > F.col("text_record_count"))))
-    data = F.when((F.col("tag") == 125) & (F.length("data") == 4), be(first_value(F.col("data")) + F.col("shift"), 4)).otherwise(F.col("data"))
-    return rows.select("doc_id", "ord", "tag", data.alias("data"))
-
-
-def newer_record0(data: Column, shift: Column) -> Column:
-    """The newer half's record 0 with places behind its resources moved: flow table and the short trailers (fields that
-    are NOTSET stay)."""
-    number = lambda at: F.conv(F.hex(F.substring(data, at + 1, 4)), 16, 10).cast("long")
-    out = data
-    for at in (192, 200, 208, 256, 120):
-        out = F.when(number(at) < NOTSET - shift, overlaid(out, at, number(at) + shift)).otherwise(out)
-    return out
-
-
-def older_record0(data: Column) -> Column:
-    """The older half's record 0 without what points into the newer one: flags, and embedded sources, which went."""
-    number = lambda at: F.conv(F.hex(F.substring(data, at + 1, 4)), 16, 10).cast("long")
-    out = overlaid(data, 128, number(128).bitwiseAND(0x7FF))
-    return F.when((number(224) != NOTSET) & (number(228) != NOTSET), overlaid(overlaid(out, 224, F.lit(NOTSET)), 228, F.lit(0))).otherwise(out)
-
-
-def with_record0(recs: DataFrame, zero: DataFrame) -> DataFrame:
-    """recs with the record 0 of zero (doc_id, data)."""
-    return recs.filter("seq > 0").unionByName(zero.select("doc_id", F.lit(0).alias("seq"), "data"))
-
-
-def older_document(recs: DataFrame, heads: DataFrame, tags: DataFrame, boundary: DataFrame) -> DataFrame:
-    """(doc_id, seq, data): the older half of hybrids as documents of their own, headers and tags included."""
-    own = heads.join(boundary.select("doc_id"), "doc_id", "left_semi").withColumn("data", older_record0(F.col("data"))).withColumn("exth_flags", F.col("exth_flags").bitwiseAND(0x7FF))
-    return with_record0(older_half(recs, heads, boundary), with_tags(own, older_tags(tags)))
-
-
-def newer_document(recs: DataFrame, old_heads: DataFrame, new_heads: DataFrame, old_tags: DataFrame, new_tags: DataFrame, boundary: DataFrame) -> DataFrame:
-    """The same of the newer half."""
-    rows, shift = newer_half(recs, old_heads, new_heads, old_tags, new_tags, boundary)
-    own = new_heads.join(shift, "doc_id").withColumn("data", newer_record0(F.col("data"), F.col("shift")))
-    own = own.withColumn("exth_flags", F.col("exth_flags").bitwiseAND(0x7FF).bitwiseOR(0x800))
-    return with_record0(rows, with_tags(own, newer_tags(new_tags, shift, new_heads)))
-
-
-def versions(containers_with_halves: DataFrame) -> DataFrame:
-    """(doc_id, halves): how many versions of the document a container holds."""
-    return containers_with_halves.groupBy("doc_id").agg(F.count("*").alias("halves"))

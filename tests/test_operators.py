@@ -331,3 +331,42 @@ def test_metadata_of_a_whole_hybrid_and_the_command_line(spark, tmp_path, capsys
     assert [p.read_bytes() for p in (tmp_path / "text").glob("*.rawml")] == [b"text"]
     assert len(list((tmp_path / "dump").glob("*record_*"))) == 2
     assert main(["summary", str(tmp_path / "in")]) == 0
+
+
+def test_containers_are_written_in_their_row(spark, tmp_path):
+    """Neither making containers nor writing them again from their records and headers shuffles; a damaged directory gives null."""
+    text = "two " * 5000
+    for compression in (1, 2, 17480):
+        made = fixtures.containers(docs(spark, "one", text), compression)
+        assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+        rows = fixtures.records(docs(spark, "one", text), compression)
+        names = docs(spark, "one", text).select("doc_id", F.concat(F.lit("doc_"), F.col("doc_id")).alias("name"))
+        assert sorted(made.collect()) == sorted(writer.assembled(rows, names).collect())
+    files = staged(made, "containers").unionByName(spark.createDataFrame([(7, b"BOOK" * 30), (8, None)], "doc_id long, content binary"))
+    again = writer.packed(files.select("doc_id", *C.pdb_columns(F.col("content")), reader.records_of(F.col("content")).alias("records")))
+    assert "Exchange" not in again._jdf.queryExecution().executedPlan().toString()
+    got, wanted = dict(again.collect()), dict(files.collect())
+    assert got.pop(7) is None and got.pop(8) is None and got == {k: v for k, v in wanted.items() if k < 7}
+
+
+def test_hybrids_are_taken_apart_in_their_row(spark):
+    """Sources, fonts and the newer half go from the older one; resources move into the newer one; a start beyond its text goes."""
+    number = fixtures.number_tag
+    tags = [number(121, F.lit(6)), number(125, F.lit(1)), fixtures.tag(129, F.lit("kindle:cover"))]
+    old = fixtures.record_array(F.lit("old"), tags=F.array(*tags), values={"srcs_index": F.lit(4), "srcs_count": F.lit(1)}, name=F.lit("Title"))
+    new = fixtures.record_array(F.lit("new"), 2, tags=F.array(number(125, F.lit(1)), number(116, F.lit(9))), values={"version": F.lit(8), "fdst_index": F.lit(3)}, newer=True)
+    rest = lambda *data: F.array(*[F.lit(d) for d in data])
+    records = F.concat(old, rest(b"\xff\xd8\xffimage", b"FONTfont", b"SRCSzip", b"BOUNDARY"), new, rest(b"FONTown", b"\xe9\x8e\r\n"))
+    files = fixtures.packed_records(docs(spark, "x"), records, F.lit("hybrid")).unionByName(fixtures.containers(docs(spark, "a", "plain")).filter("doc_id = 1"))
+    files = files.unionByName(spark.createDataFrame([(2, b"short"), (3, None)], "doc_id long, content binary"))
+    both = rewrite.versions(staged(files, "containers"))
+    assert "Exchange" not in both._jdf.queryExecution().executedPlan().toString()
+    rows = {r.doc_id: r for r in both.collect()}
+    assert [rows[i].halves for i in range(4)] == [2, 1, None, None] and rows[1].older is None and rows[1].newer is None
+    older, newer = (rewrite.taken_apart(bytes(x))[1] for x in (rows[0].older, rows[0].newer))
+    assert [d for _, d in older[1:]] == [b"old", b"\xff\xd8\xffimage", b"FONT", b"\xe9\x8e\r\n"]
+    assert rewrite.read_zero(older[0][1]) == ([(121, b"\xff\xff\xff\xff"), (125, b"\0\0\0\1")], b"Title")
+    assert [reader.header_field(older[0][1], n) for n in ("srcs_index", "srcs_count", "exth_flags")] == [None, 0, 0x40]
+    assert [d for _, d in newer[1:]] == [b"new", b"\xff\xd8\xffimage", b"FONTown", b"\xe9\x8e\r\n"]
+    assert rewrite.read_zero(newer[0][1])[0] == [(125, b"\0\0\0\2")]
+    assert [reader.header_field(newer[0][1], n) for n in ("fdst_index", "exth_flags", "image_index")] == [4, 0x840, 2]
