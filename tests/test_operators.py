@@ -370,3 +370,21 @@ def test_hybrids_are_taken_apart_in_their_row(spark):
     assert [d for _, d in newer[1:]] == [b"new", b"\xff\xd8\xffimage", b"FONTown", b"\xe9\x8e\r\n"]
     assert rewrite.read_zero(newer[0][1])[0] == [(125, b"\0\0\0\2")]
     assert [reader.header_field(newer[0][1], n) for n in ("fdst_index", "exth_flags", "image_index")] == [4, 0x840, 2]
+
+
+def test_archives_come_of_small_plans(spark, monkeypatch):
+    """What an archive consists of is put at rest group by group: no plan joins more than a few tables."""
+    from codexspark.sources import staging
+
+    seen, kept = {}, staging.staged
+
+    def counted(rows, label, release=False):
+        seen[label] = max(seen.get(label, 0), rows._jdf.queryExecution().optimizedPlan().toString().count("Join "))
+        return kept(rows, label, release)
+
+    monkeypatch.setattr(staging, "staged", counted)
+    book = Collection(kept(fixtures.containers(docs(spark, "text"), 2), "containers"))
+    names = sorted(r.name for r in book.archive_members.select("name").collect())
+    assert names == ["OEBPS/content.opf", "OEBPS/part00000.html", "OEBPS/resource00000.ncx"]
+    assert max(seen.values()) <= 15, seen
+    book.close()
